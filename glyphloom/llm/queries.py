@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, simhash
+from . import fmindex, mixing, sharding, simhash, suffixes
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,35 @@ FROM rated
 @query
 def op8_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.passages(read(spark, sf_dir, "documents"))
+
+
+@query
+def op10_fm_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmindex.dedup(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLES["op10_fm_substring_dedup"] = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), placed AS (
+  SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM split WHERE len(w) >= 50
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS h FROM placed
+), firsts AS (
+  SELECT h, min(doc_id) AS least FROM windows GROUP BY h
+), gone AS (
+  SELECT DISTINCT doc_id, i + j AS p FROM (SELECT doc_id, i FROM windows JOIN firsts USING (h) WHERE least < doc_id) x, range(0, 50) t(j)
+), lists AS (
+  SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id
+), kept AS (
+  SELECT s.doc_id, len(s.w) AS n, coalesce(len(l.ps), 0) AS r,
+    CASE WHEN l.ps IS NULL THEN s.w ELSE list_filter(s.w, lambda e, i: NOT list_contains(l.ps, i)) END AS k
+  FROM (SELECT * FROM split) s LEFT JOIN lists l USING (doc_id)
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
+"""
