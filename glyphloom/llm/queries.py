@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fmindex, media, mixing, quality, sharding, simhash, suffixes, topk, toxicity
+from . import fmindex, media, mixing, packing, quality, sharding, simhash, suffixes, topk, toxicity
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,10 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 @query
 def op9_telephony_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(read(spark, sf_dir, "documents"))
+
+
+@query
+def op7_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024)
