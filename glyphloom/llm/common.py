@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 #: A missing doc_id sorts after every other one.
 NO_ID = (1 << 63) - 1
-#: Text bytes that a kernel holds at once; its temporaries take about thirty times as much.
-SLICE_BYTES = 1 << 21
+#: Text bytes that a kernel holds at once; its temporaries take some sixty times as much.
+SLICE_BYTES = 1 << 19
+#: Rows of an Arrow batch on its way to Python, at most.
+BATCH_ROWS = 512
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,6 +35,13 @@ def shared_folder(spark: SparkSession) -> str:
     return top
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session sends texts to Python in small batches: a worker's memory is bounded by BATCH_ROWS texts and a kernel's slice."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: later steps don't depend on executors that are lost. It goes when the session's JVM ends."""
     spark = df.sparkSession
@@ -88,6 +97,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
             end = max(at + 1, int(np.searchsorted(offs, offs[at] + most, side="right")) - 1)
             yield batch.slice(at, end - at)
             at = end
+    pa.default_memory_pool().release_unused()
 
 
 _SPACE = np.zeros(256, bool)
@@ -119,7 +129,7 @@ def _powers(n: int, base: int = _B) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i up to n at least."""
     have = _POWERS.get(base)
     if have is None or len(have[0]) <= n:
-        size = 1 << max(16, int(n).bit_length())
+        size = int(n) * 5 // 4 + 1024
         up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         _POWERS[base] = have = np.multiply.accumulate(up), np.multiply.accumulate(down)
@@ -158,6 +168,7 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 def with_key(docs: DataFrame) -> DataFrame:
     """doc_id as it is, `did` for order and joins, `tkey` of the text: rows of equal (did, tkey) are equal documents."""
+    small_batches(docs.sparkSession)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"),

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces_for
+from .common import pieces_for, small_batches
 
 #: Bytes of text that a shard aims at. A window's neighbours are looked for in its shard.
 SHARD_BYTES = 1_500_000
@@ -137,6 +137,7 @@ def pack(docs: DataFrame, tokenizer: str, width: int = 1024, closing: int = 0, s
     A text's shard depends on doc_id and text, so copies under different doc_ids spread evenly; within a shard the order of rows is by doc_id and text,
     so a rerun makes the same pieces. sequence_id is 2**32 * shard + the sequence's number there. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     shards = pieces_for(rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long") + 1), F.lit(0))).first()[0], shard_bytes)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_sums, slices, span_hash, text_buffers, word_bounds, written
+from .common import byte_sums, slices, small_batches, span_hash, text_buffers, word_bounds, written
 
 #: The statistics of a document, in this order.
 NAMES = ("upper", "symbols", "exclaimed", "digits", "bare_words", "ended_words", "word_length", "stuttered", "repeated_words", "repeated_pairs")
@@ -124,6 +124,7 @@ def _table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def features(docs: DataFrame) -> DataFrame:
     """doc_id and a double column for each of NAMES: one row per row of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_table, ", ".join(["doc_id long", *[f"{x} double" for x in NAMES]]))
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_sums, slices, span_hash, text_buffers, written
+from .common import byte_sums, slices, small_batches, span_hash, text_buffers, written
 from .quality import held_out
 
 # Names of groups; each may stand for another one of its line.
@@ -113,7 +113,7 @@ def swapper(identities: tuple[tuple[str, ...], ...]):
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, most=1 << 23):
+    for batch in slices(batches, most=1 << 21):
         buf, offs = text_buffers(batch.column("text"))
         y = batch.column("y").to_numpy(zero_copy_only=False)
         for doc, key in tokens(buf, offs):
@@ -163,6 +163,7 @@ def train(
 
     Labels other than 0 and 1 and null doc_ids teach nothing. With labels of one kind, or none, the model has no features and scores their share.
     """
+    small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(4)), "y").limit(sample)
     # The sample is at most `sample` rows of two numbers, so it may be broadcast.
@@ -208,6 +209,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.scores(*text_buffers(batch.column("text"))))], names=["doc_id", "score"])
 
+    small_batches(docs.sparkSession)
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
     return made.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
