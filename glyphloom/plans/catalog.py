@@ -1,10 +1,491 @@
-"""Named queries over the driver's tables, with the SQL that a second engine answers them by."""
+"""Named queries over the driver's tables, with the SQL that a second engine answers them by.
+
+The labelled corpus is documents with labels: two labels, quality and toxic. lexicon_lang learns the four languages from all documents.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glyphloom.functions import text as T
+from glyphloom.operators import classify, duplicates, features, lexicon, lsa, morphology, tune
+from glyphloom.sources import reports
+from glyphloom.storage import cut
+from glyphloom.streaming import service
+
+from .sql import assemble, measured
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+LABELS = ["quality", "toxic"]
+LANGUAGES = ["de", "en", "es", "fr"]
+TOP, THRESHOLD = 2500, 0.3
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+
+
+def all_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return features.tokens(documents(spark, d))
+
+
+class Labelled:
+    """The labelled corpus: ids, tokens, term counts and gold labels."""
+
+    def __init__(self, spark: SparkSession, d: str) -> None:
+        labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", *LABELS)
+        self.docs = documents(spark, d).join(labels.select("doc_id"), "doc_id", "left_semi")
+        self.tok = features.tokens(self.docs)
+        self.counts = features.term_counts(self.tok)
+        self.gold = features.gold(labels.join(documents(spark, d).select("doc_id"), "doc_id", "left_semi"), LABELS)
+
+    def lexicon(self, kind: str = "FULL") -> DataFrame:
+        return lexicon.learn(self.tok, self.gold, TOP, kind)
+
+    def scored(self) -> DataFrame:
+        return classify.scores(self.docs, self.counts, self.lexicon(), TOP)
+
+    def said(self) -> DataFrame:
+        return classify.decide(self.scored(), THRESHOLD)
+
+    def swept(self) -> DataFrame:
+        return tune.swept(self.scored(), self.gold, tune.grid(self.docs.sparkSession))
+
+
+# ------------------------------------------------------------------ text
+
+
+@query(assemble("SELECT doc_id, cleaned FROM clean"))
+def clean_text(spark: SparkSession, d: str) -> DataFrame:
+    plain = T.strip(T.strip_mentions(T.strip(T.split_emojis(T.clean_line(F.coalesce("text", F.lit("")))))))
+    return documents(spark, d).select("doc_id", T.strip(T.strip_mentions(F.lower(plain))).alias("cleaned"))
+
+
+@query(assemble("SELECT doc_id, pos, token FROM tok"))
+def tokens(spark: SparkSession, d: str) -> DataFrame:
+    return all_tokens(spark, d)
+
+
+@query(
+    assemble(
+        "SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, w[i] AS token FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM pairs)",
+        pairs="SELECT doc_id, flatten(list_transform(toks, lambda t, i: CASE WHEN i > 1 THEN [t, toks[i - 1] || '-' || t] ELSE [t] END)) AS w FROM lists",
+    )
+)
+def bigrams(spark: SparkSession, d: str) -> DataFrame:
+    return features.bigram_tokens(documents(spark, d))
+
+
+_SAMPLES = ["I am ok @bob rt @al yes", "so happy\U0001f602!", "’x中\U0001f602\U0001f600", "mud~o", "~ab~", ">o<&a", "aab  bbb", "", "http//t.co/x #a:b"]
+_VALUES = ", ".join(f"({n}, '{x}')" for n, x in enumerate(_SAMPLES))
+_ARABIC = ", ".join(f"({n}, '{x}')" for n, x in enumerate(["وكتبها", "مُدِّ", "abc", ""]))
+
+
+@query(
+    rf"""SELECT n, regexp_replace(s, '[ \t\n\x0B\f\r]*((rt[ \t\n\x0B\f\r]*)?@[^ \t\n\x0B\f\r]+)+', '', 'g') AS unmentioned,
+    regexp_replace(regexp_replace(s, '([^\x{{0000}}-\x{{0100}}])', ' \1 ', 'g'), ' +', ' ', 'g') AS spaced,
+    CASE WHEN s = '' THEN false ELSE unicode(s) > 3000 END AS emoji, translate(s, '><&o', 'OIW') AS matchable, regexp_replace(s, '//t\.co/[^ \t\n\x0B\f\r]*|http|#|:', '', 'g') AS unlinked
+    FROM (VALUES {_VALUES}) v(n, s)"""
+)
+def text_functions(spark: SparkSession, d: str) -> DataFrame:
+    s = F.col("s")
+    table = spark.createDataFrame(list(enumerate(_SAMPLES)), "n int, s string")
+    return table.select("n", T.strip_mentions(s).alias("unmentioned"), T.split_emojis(s).alias("spaced"), T.is_emoji(s).alias("emoji"), T.matchable(s).alias("matchable"), T.strip_urls(s).alias("unlinked"))
+
+
+@query(
+    f"""SELECT n, list_reduce(list_concat([''], list_filter(string_split(s, ''), lambda c: c <> '')), lambda made, c:
+    CASE WHEN c = 'o' THEN made WHEN c = '~' AND made <> '' THEN made || right(made, 1) ELSE made || c END) AS spelled FROM (VALUES {_VALUES}) v(n, s)"""
+)
+def shaddas(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(_SAMPLES)), "n int, s string").select("n", T.shaddas(F.col("s")).alias("spelled"))
+
+
+@query(f"""SELECT n, translate(s, '{T.ARABIC}', '{T.BUCKWALTER.replace("'", "''")}') AS bw, translate(translate(s, '{T.ARABIC}', '{T.BUCKWALTER.replace("'", "''")}'), '{T.BUCKWALTER.replace("'", "''")}', '{T.ARABIC}') AS back FROM (VALUES {_ARABIC}) v(n, s)""")
+def transliteration(spark: SparkSession, d: str) -> DataFrame:
+    words = ["وكتبها", "مُدِّ", "abc", ""]
+    table = spark.createDataFrame(list(enumerate(words)), "n int, s string").select("n", T.to_buckwalter(F.col("s")).alias("bw"))
+    return table.withColumn("back", T.to_arabic(F.col("bw")))
+
+
+_EMOJI_ROWS = [(1, 0, "a"), (1, 1, "\U0001f602"), (2, 0, "\U0001f600"), (2, 1, "\U0001f602"), (3, 0, "’"), (3, 1, "b")]
+_EMOJI_VALUES = ", ".join(f"({a}, {b}, '{c}')" for a, b, c in _EMOJI_ROWS)
+
+
+@query(
+    f"""WITH t AS (SELECT * FROM (VALUES {_EMOJI_VALUES}) v(doc_id, pos, token)),
+    f AS (SELECT token, min(doc_id * 1000 + pos) AS place FROM t WHERE unicode(token) > 3000 GROUP BY token),
+    s AS (SELECT token, 'eMJ' || (row_number() OVER (ORDER BY place) - 1) AS surrogate FROM f)
+    SELECT doc_id, pos, coalesce(surrogate, token) AS token FROM t LEFT JOIN s USING (token)"""
+)
+def emoji_surrogates(spark: SparkSession, d: str) -> DataFrame:
+    tok = spark.createDataFrame(_EMOJI_ROWS, "doc_id int, pos int, token string")
+    return features.with_surrogates(tok, features.emoji_surrogates(tok))
+
+
+# ------------------------------------------------------------------ features
+
+
+@query(assemble("SELECT doc_id, token, n, tf FROM tf"))
+def term_freq(spark: SparkSession, d: str) -> DataFrame:
+    return features.term_frequency(all_tokens(spark, d))
+
+
+@query(assemble("SELECT token, df FROM df"))
+def doc_freq(spark: SparkSession, d: str) -> DataFrame:
+    return features.document_frequency(all_tokens(spark, d))
+
+
+@query(assemble("SELECT doc_id, token, n, tf, df, w FROM weights"))
+def tfidf(spark: SparkSession, d: str) -> DataFrame:
+    return features.tfidf(all_tokens(spark, d))
+
+
+@query(assemble("SELECT doc_id, token, rank, w FROM (SELECT doc_id, token, w, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, token) AS INTEGER) AS rank FROM weights) WHERE rank <= 10"))
+def tfidf_topk(spark: SparkSession, d: str) -> DataFrame:
+    return features.tfidf(all_tokens(spark, d), per_doc=10).select("doc_id", "token", "rank", "w")
+
+
+@query(assemble("SELECT token, df, idf FROM vocab SEMI JOIN (SELECT token FROM weights WHERE w >= 0.001e0) USING (token)"))
+def vocab_pruned(spark: SparkSession, d: str) -> DataFrame:
+    return features.pruned_vocabulary(all_tokens(spark, d), 0.001)
+
+
+@query(assemble("SELECT doc_id, round(size, 9) AS size FROM sizes"))
+def doc_norms(spark: SparkSession, d: str) -> DataFrame:
+    return features.norms(all_tokens(spark, d)).select("doc_id", F.round("size", 9).alias("size"))
+
+
+@query(assemble("SELECT token, label, doc_id, n FROM posted"))
+def postings(spark: SparkSession, d: str) -> DataFrame:
+    x = Labelled(spark, d)
+    return features.postings(x.tok, x.gold)
+
+
+@query(assemble("SELECT token, label, CAST(floor(doc_id / 1024) AS BIGINT) AS block, list(doc_id ORDER BY doc_id) AS docs FROM (SELECT token, label, doc_id, unnest(range(n)) FROM posted) GROUP BY ALL"))
+def inverted_index(spark: SparkSession, d: str) -> DataFrame:
+    x = Labelled(spark, d)
+    return features.inverted_index(x.tok, x.gold)
+
+
+@query(
+    assemble(
+        """SELECT doc_id, other_id, rank, cos FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY cos DESC NULLS LAST, other_id) AS INTEGER) AS rank FROM
+        (SELECT q AS doc_id, o AS other_id, round(dot / nullif(a.size * b.size, 0), 9) AS cos FROM dots JOIN sizes a ON a.doc_id = q JOIN sizes b ON b.doc_id = o)) WHERE rank <= 10""",
+        dots="SELECT a.doc_id AS q, b.doc_id AS o, sum(a.w * b.w) AS dot FROM weights a JOIN weights b USING (token) WHERE a.doc_id % 50 = 0 AND a.doc_id <> b.doc_id GROUP BY ALL",
+    )
+)
+def cosine_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """A search: the queries are the rows whose id is divisible by 50, against all rows."""
+    queries = documents(spark, d).where("doc_id % 50 = 0")
+    return features.neighbours(all_tokens(spark, d), queries).select("doc_id", "other_id", "rank", "cos")
+
+
+@query(assemble("SELECT doc_id, string_agg(token || ': ' || CAST(CAST(round(w, 3) AS DECIMAL(38, 3)) AS VARCHAR), ', ' ORDER BY n) AS line FROM (SELECT doc_id, token, w, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, token) AS n FROM weights) WHERE n <= 50 GROUP BY doc_id"))
+def feature_lines(spark: SparkSession, d: str) -> DataFrame:
+    return reports.feature_lines(features.tfidf(all_tokens(spark, d)))
+
+
+# ------------------------------------------------------------------ lexicon
+
+
+@query(assemble("SELECT label, token, cnt FROM cnt"))
+def label_word_counts(spark: SparkSession, d: str) -> DataFrame:
+    x = Labelled(spark, d)
+    return lexicon.label_counts(x.tok, x.gold)
+
+
+@query(assemble("SELECT label, token, CAST(sum(cnt) AS BIGINT) AS cnt FROM cnt GROUP BY ROLLUP (label, token)"))
+def label_totals_rollup(spark: SparkSession, d: str) -> DataFrame:
+    x = Labelled(spark, d)
+    return lexicon.label_totals(lexicon.label_counts(x.tok, x.gold))
+
+
+@query(assemble("SELECT token, label, round(q, 6) + 0.0e0 AS weight FROM q"))
+def lexicon_tfidf(spark: SparkSession, d: str) -> DataFrame:
+    return Labelled(spark, d).lexicon("TFIDF")
+
+
+@query(assemble("SELECT token, label, round(d, 6) + 0.0e0 AS weight FROM d"))
+def lexicon_dist(spark: SparkSession, d: str) -> DataFrame:
+    return Labelled(spark, d).lexicon("DIST")
+
+
+@query(assemble("SELECT token, label, weight FROM lex"))
+def lexicon_full(spark: SparkSession, d: str) -> DataFrame:
+    return Labelled(spark, d).lexicon("FULL")
+
+
+@query(
+    assemble(
+        "SELECT token, label, weight FROM lex",
+        ldocs="SELECT doc_id FROM documents",
+        gold="SELECT doc_id, label, CAST(coalesce(lang = label, false) AS INTEGER) AS gs FROM documents CROSS JOIN (VALUES ('de'), ('en'), ('es'), ('fr')) l(label)",
+    )
+)
+def lexicon_lang(spark: SparkSession, d: str) -> DataFrame:
+    table = spark.read.parquet(f"{d}/documents.parquet")
+    return lexicon.learn(features.tokens(table), features.gold_of_class(table, "lang", LANGUAGES), TOP)
+
+
+@query(assemble("SELECT label, CAST(sum(CASE WHEN weight > 0 THEN CAST(weight AS DECIMAL(28, 6)) ELSE 0 END) AS DOUBLE) AS mass FROM lex GROUP BY label"))
+def positive_mass(spark: SparkSession, d: str) -> DataFrame:
+    return lexicon.positive_mass(Labelled(spark, d).lexicon())
+
+
+@query(
+    assemble(
+        "SELECT token, label, round(weight / nullif(mass * (SELECT count(*) FROM masses) / (SELECT sum(mass) FROM masses), 0), 6) AS weight FROM lex JOIN masses USING (label)",
+        masses="SELECT label, CAST(sum(CASE WHEN weight > 0 THEN CAST(weight AS DECIMAL(28, 6)) ELSE 0 END) AS DOUBLE) AS mass FROM lex GROUP BY label",
+    )
+)
+def balance(spark: SparkSession, d: str) -> DataFrame:
+    return lexicon.balance(Labelled(spark, d).lexicon())
+
+
+@query(assemble("SELECT token, label, round(100.0e0 * (1.0e0 / (row_number() OVER (PARTITION BY label ORDER BY weight DESC, token) + 1) - 1.0e0 / (count(*) OVER (PARTITION BY label) + 1)), 6) AS score FROM lex"))
+def reciprocal_rank(spark: SparkSession, d: str) -> DataFrame:
+    return lexicon.reciprocal_rank(Labelled(spark, d).lexicon())
+
+
+@query(assemble("SELECT token, coalesce(max(weight) FILTER (label = 'quality'), 0.0e0) AS quality, coalesce(max(weight) FILTER (label = 'toxic'), 0.0e0) AS toxic FROM lex GROUP BY token"))
+def lexicon_wide(spark: SparkSession, d: str) -> DataFrame:
+    return lexicon.as_rows(Labelled(spark, d).lexicon(), LABELS)
+
+
+@query(assemble("SELECT token, label, weight FROM lex"))
+def lexicon_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    return lexicon.as_columns(lexicon.as_rows(Labelled(spark, d).lexicon(), LABELS), LABELS)
+
+
+@query(assemble("SELECT DISTINCT label, first_value(token) OVER (PARTITION BY label ORDER BY weight DESC, token) AS heaviest, first_value(token) OVER (PARTITION BY label ORDER BY weight, token) AS lightest FROM lex"))
+def lexicon_extremes(spark: SparkSession, d: str) -> DataFrame:
+    return lexicon.extremes(Labelled(spark, d).lexicon())
+
+
+_WIDE = "SELECT token, max(weight) FILTER (label = 'quality') AS a, max(weight) FILTER (label = 'toxic') AS b FROM lex GROUP BY token"
+
+
+@query(assemble("SELECT concat_ws(chr(9), token, CAST(CAST(round(a, 2) AS DECIMAL(38, 2)) AS VARCHAR), CAST(CAST(round(b, 2) AS DECIMAL(38, 2)) AS VARCHAR)) AS line FROM wide", wide=_WIDE))
+def lexicon_lines(spark: SparkSession, d: str) -> DataFrame:
+    return reports.lexicon_lines(lexicon.as_rows(Labelled(spark, d).lexicon(), LABELS), LABELS)
+
+
+@query(assemble("SELECT concat_ws(chr(9), token, CAST(CAST(round(a, 3) AS DECIMAL(38, 3)) AS VARCHAR), CAST(CAST(round(b, 3) AS DECIMAL(38, 3)) AS VARCHAR)) AS line FROM wide UNION ALL SELECT concat_ws(chr(9), '', 'quality', 'toxic')", wide=_WIDE))
+def lexicon_export(spark: SparkSession, d: str) -> DataFrame:
+    return reports.lexicon_export(lexicon.as_rows(Labelled(spark, d).lexicon(), LABELS), LABELS, header=True)
+
+
+# ------------------------------------------------------------------ classification
+
+
+@query(assemble("SELECT doc_id, label, s, m FROM scored"))
+def doc_scores(spark: SparkSession, d: str) -> DataFrame:
+    return Labelled(spark, d).scored()
+
+
+@query(assemble("SELECT doc_id, label, ratio, decision FROM said"))
+def doc_decisions(spark: SparkSession, d: str) -> DataFrame:
+    return Labelled(spark, d).said()
+
+
+@query(assemble("SELECT concat_ws(chr(9), doc_id, CAST(CAST(round(max(s) FILTER (label = 'quality'), 2) AS DECIMAL(38, 2)) AS VARCHAR), CAST(CAST(round(max(s) FILTER (label = 'toxic'), 2) AS DECIMAL(38, 2)) AS VARCHAR)) AS line FROM scored GROUP BY doc_id"))
+def score_lines(spark: SparkSession, d: str) -> DataFrame:
+    return reports.score_lines(Labelled(spark, d).scored(), LABELS)
+
+
+_EXTREMES = {
+    "hits": "SELECT doc_id, label, token, pos, weight FROM ltok JOIN lex USING (token)",
+    "bests": "SELECT doc_id, label, first(token ORDER BY weight DESC, pos) AS best FROM hits WHERE weight > 0 GROUP BY ALL",
+    "worsts": "SELECT doc_id, label, first(token ORDER BY weight, pos) AS worst FROM hits GROUP BY ALL",
+    "both_ends": "SELECT doc_id, label, best, worst FROM ldocs CROSS JOIN (SELECT DISTINCT label FROM lex) LEFT JOIN bests USING (doc_id, label) LEFT JOIN worsts USING (doc_id, label)",
+}
+
+
+@query(assemble("SELECT doc_id, label, best, worst FROM both_ends", **_EXTREMES))
+def best_worst_word(spark: SparkSession, d: str) -> DataFrame:
+    x = Labelled(spark, d)
+    return classify.best_and_worst(x.docs, x.tok, x.lexicon())
+
+
+@query(assemble("SELECT label, tp, fp, fn, tn FROM conf"))
+def confusion(spark: SparkSession, d: str) -> DataFrame:
+    x = Labelled(spark, d)
+    return classify.confusion(x.said(), x.gold)
+
+
+@query(assemble(measured("conf")))
+def prfj(spark: SparkSession, d: str) -> DataFrame:
+    x = Labelled(spark, d)
+    return classify.prfj(classify.confusion(x.said(), x.gold))
+
+
+@query(assemble(measured("conf", "label")))
+def prfj_by_label(spark: SparkSession, d: str) -> DataFrame:
+    x = Labelled(spark, d)
+    return classify.prfj(classify.confusion(x.said(), x.gold), "label")
+
+
+@query(assemble("SELECT label, token, err FROM errs"))
+def word_errors(spark: SparkSession, d: str) -> DataFrame:
+    x = Labelled(spark, d)
+    return classify.word_errors(x.counts, x.said(), x.gold)
+
+
+@query(
+    assemble(
+        """SELECT doc_id, label, label || ':' || CAST(CAST(round(ratio, 2) AS DECIMAL(38, 2)) AS VARCHAR) AS cell, CASE WHEN decision = 1 AND gs = 1 THEN 'GREEN' WHEN decision = 1 THEN 'RED' WHEN gs = 1 THEN 'BLUE' ELSE 'BLACK' END AS colour, best, worst
+        FROM said JOIN gold USING (doc_id, label) JOIN both_ends USING (doc_id, label)""",
+        **_EXTREMES,
+    )
+)
+def evaluation_report(spark: SparkSession, d: str) -> DataFrame:
+    x = Labelled(spark, d)
+    return classify.report(x.docs, x.tok, x.lexicon(), x.said(), x.gold)
+
+
+# ------------------------------------------------------------------ tuning
+
+
+@query(assemble("SELECT lex.token, lex.label, CASE WHEN err < 0 AND weight > 0 THEN 0.0e0 ELSE weight END AS weight FROM lex LEFT JOIN errs ON lex.token = errs.token AND lex.label = errs.label"))
+def selfcorrect(spark: SparkSession, d: str) -> DataFrame:
+    x = Labelled(spark, d)
+    return tune.corrected(x.docs, x.counts, x.gold, x.lexicon(), THRESHOLD, 1, TOP)
+
+
+@query(assemble("SELECT count(*) AS removed FROM lex JOIN errs USING (label, token) WHERE err < 0 AND weight > 0"))
+def removed_words(spark: SparkSession, d: str) -> DataFrame:
+    x = Labelled(spark, d)
+    return tune.removed_words(x.lexicon(), classify.word_errors(x.counts, x.said(), x.gold))
+
+
+@query(assemble("SELECT label, threshold, tp, fp, fn, tn FROM swept"))
+def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
+    return Labelled(spark, d).swept()
+
+
+@query(assemble(measured("swept", "threshold")))
+def sweep_prfj(spark: SparkSession, d: str) -> DataFrame:
+    return classify.prfj(Labelled(spark, d).swept(), "threshold")
+
+
+@query(assemble("SELECT label, CASE WHEN max(j) > 0 THEN first(threshold ORDER BY j DESC, threshold DESC) ELSE 1.0e0 END AS threshold FROM curve GROUP BY label"))
+def label_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    return tune.label_thresholds(Labelled(spark, d).swept())
+
+
+@query(
+    assemble(
+        "SELECT label, first(threshold + (before - threshold) / 2 ORDER BY threshold DESC) FILTER (r > p) AS sweetspot FROM stepped GROUP BY label",
+        stepped="SELECT *, lag(threshold, 1, 1.0e0) OVER (PARTITION BY label ORDER BY threshold DESC) AS before FROM curve",
+    )
+)
+def sweetspot(spark: SparkSession, d: str) -> DataFrame:
+    return tune.sweet_spot(Labelled(spark, d).swept())
+
+
+@query()
+def tuned_lexicon(spark: SparkSession, d: str) -> DataFrame:
+    x = Labelled(spark, d)
+    lex, thresholds = tune.tune(x.docs, cut(x.counts), x.gold, cut(x.lexicon()), words=TOP)
+    return lex.join(F.broadcast(thresholds), "label")
+
+
+@query()
+def trained_and_tested(spark: SparkSession, d: str) -> DataFrame:
+    """Trained on four fifths of the labelled documents by a hash, tested on the others."""
+    x = Labelled(spark, d)
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
+    return tune.create_and_tune(x.docs.where(~fold), x.docs.where(fold), x.gold)
+
+
+# ------------------------------------------------------------------ duplicates, LSA
+
+
+@query(assemble("SELECT doc_id, min(doc_id) OVER (PARTITION BY toks) AS kept_id, count(*) OVER (PARTITION BY toks) AS copies FROM lists"))
+def exact_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return duplicates.exact(documents(spark, d))
+
+
+@query()
+def near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return duplicates.near(documents(spark, d))
+
+
+def lsa_features(spark: SparkSession, d: str, terms: int = 64) -> DataFrame:
+    """The matrix's columns are the vocabulary's `terms` words of most documents; its rows all documents."""
+    tok = all_tokens(spark, d)
+    return features.tfidf(tok).join(F.broadcast(lexicon.top_words(tok, terms)), "token").select("doc_id", "token", "w")
+
+
+@query(
+    assemble(
+        "SELECT token, CAST(row_number() OVER (ORDER BY token) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT token FROM weights SEMI JOIN (SELECT token FROM vocab ORDER BY df DESC, token LIMIT 64) USING (token))"
+    )
+)
+def term_index(spark: SparkSession, d: str) -> DataFrame:
+    return lsa.term_index(lsa_features(spark, d))
+
+
+@query()
+def svd(spark: SparkSession, d: str) -> DataFrame:
+    rows = cut(lsa_features(spark, d))
+    found = lsa.factors(rows, cut(lsa.term_index(rows)), 10)
+    return spark.createDataFrame([(i, round(float(s), 9)) for i, s in enumerate(found.s)], "i int, s double")
+
+
+@query()
+def svd_reconstruct(spark: SparkSession, d: str) -> DataFrame:
+    rows = cut(lsa_features(spark, d))
+    index = cut(lsa.term_index(rows))
+    return lsa.compare(rows, lsa.reconstruct(lsa.prune(lsa.factors(rows, index, 10), first=8), index, 0.0005), 0.001)
+
+
+# ------------------------------------------------------------------ morphology, service
+
+
+def different_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of the documents, read as Buckwalter words."""
+    return all_tokens(spark, d).select("token").distinct()
+
+
+@query()
+def morphology_lookup(spark: SparkSession, d: str) -> DataFrame:
+    pairs = morphology.lookup_either(F.col("token"), "NN", "VB")
+    return different_tokens(spark, d).select("token", F.transform(pairs, morphology.shown).alias("analysis"))
+
+
+@query()
+def stem_words(spark: SparkSession, d: str) -> DataFrame:
+    return different_tokens(spark, d).select("token", morphology.stem_word(F.col("token")).alias("segments"))
+
+
+@query()
+def stemmed_requests(spark: SparkSession, d: str) -> DataFrame:
+    """The service's answers to all turns of the conversations."""
+    turns = spark.read.parquet(f"{d}/conversations.parquet").select(F.coalesce("text", F.lit("")).alias("value"))
+    return service.answers(turns, morphology.stem_text)
+
+
+@query()
+def analyser_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Our analyses beside those as nouns only, as another analyser's."""
+    words = different_tokens(spark, d).select(F.lit("").alias("form"), F.col("token").alias("bw"), morphology.lookup_either(F.col("token"), "VB", "NN").alias("analysis"), morphology.lookup(F.col("token"), "NN").alias("noun"))
+    other = F.when(F.col("noun").isNull(), F.array().cast("array<string>")).otherwise(F.array(morphology.plain(F.col("noun"))))
+    return morphology.agreement_counts(morphology.agreement(words.withColumn("others", other)))
