@@ -51,17 +51,17 @@ def plan(docs: DataFrame, seed: int = 42, **law: object) -> DataFrame:
     One source may hold any part of the rows: sizes are summed before the shuffle and only a row per source is joined.
     """
     sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size")), "sizes")
-    goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), **law)
+    goal = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), **law), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     both = sized.join(goal.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     return both.withColumn("rate", rate).withColumn("copies", (F.floor("rate") + (draws(F.col("doc_id"), seed) < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
 
 
 def mix(docs: DataFrame, seed: int = 42, **law: object) -> DataFrame:
-    """docs, each row as often as plan() takes it; sources' rates are a row each, joined to the whole rows."""
+    """docs, each row as often as plan() takes it. Sources' rates are a row each in a written table, whose size shows Spark whether they may be broadcast."""
     sized = docs.select(F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"))
     goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), **law)
-    rates = goal.select(F.col("source").alias("_of"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("_rate"))
+    rates = written(goal.select(F.col("source").alias("_of"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("_rate")), "rates")
     both = docs.join(rates, docs["source"].cast("string").eqNullSafe(F.col("_of")))
     copies = (F.floor("_rate") + (draws(docs["doc_id"].cast("long"), seed) < F.col("_rate") - F.floor("_rate")).cast("long")).cast("int")
     return both.withColumn("_n", F.explode(F.array_repeat(F.lit(0), copies))).select(*[docs[c] for c in docs.columns])
