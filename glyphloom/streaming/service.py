@@ -18,11 +18,13 @@ def identity(value: Column) -> Column:
     return value
 
 
-def answers(requests: DataFrame, task: Task = identity) -> DataFrame:
-    """value, answer of requests (value), batch or stream; a request over REQUEST_BYTES is cut there, at a whole character."""
-    most = F.expr(f"CASE WHEN octet_length(value) <= {REQUEST_BYTES} THEN value ELSE regexp_replace(decode(substring(encode(value, 'utf-8'), 1, {REQUEST_BYTES}), 'utf-8'), '\\\\x{{FFFD}}+$', '') END")
-    asked = requests.select(most.alias("value"))
-    return asked.select("value", task(F.col("value")).alias("answer"))
+def answers(requests: DataFrame, task: Task = identity, most: int | None = None) -> DataFrame:
+    """value, answer of requests (value), batch or stream; with `most`, only so many bytes of a longer request are read, up to its last whole character."""
+    value = F.col("value")
+    if most is not None:
+        head = F.make_valid_utf8(F.substring(value.cast("binary"), 1, most).cast("string"))
+        value = F.when(F.octet_length(value) <= most, value).otherwise(F.regexp_replace(head, "\uFFFD+$", ""))
+    return requests.select(value.alias("value")).select("value", task(F.col("value")).alias("answer"))
 
 
 def socket_requests(spark: SparkSession, port: int = FIRST_PORT, host: str = HOST) -> DataFrame:
@@ -35,9 +37,9 @@ def file_requests(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.text(folder)
 
 
-def serve(requests: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, task: Task = identity, name: str = "answers") -> StreamingQuery:
+def serve(requests: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, task: Task = identity, name: str = "answers", most: int | None = REQUEST_BYTES) -> StreamingQuery:
     """Answer requests batch by batch; sink gets each batch's answers and its number, by which it can drop a batch that comes again."""
-    return answers(requests, task).writeStream.queryName(name).foreachBatch(sink).option("checkpointLocation", checkpoint).start()
+    return answers(requests, task, most).writeStream.queryName(name).foreachBatch(sink).option("checkpointLocation", checkpoint).start()
 
 
 def start_services(spark: SparkSession, sink: Callable[[DataFrame, int], None], checkpoint: str, task: Task = identity, first: int = FIRST_PORT, count: int = 5) -> list[StreamingQuery]:
@@ -47,4 +49,4 @@ def start_services(spark: SparkSession, sink: Callable[[DataFrame, int], None],
 
 def ask(spark: SparkSession, message: str, task: Task = identity) -> str:
     """The answer to one request."""
-    return answers(spark.createDataFrame([(message,)], "value string"), task).first()["answer"]
+    return answers(spark.createDataFrame([(message,)], "value string"), task, REQUEST_BYTES).first()["answer"]
