@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A missing doc_id sorts after every other one.
@@ -61,6 +61,21 @@ def dropped(df: DataFrame) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as df's own columns call for."""
+    taken, made = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        made.append(name)
+    return made
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
 def pieces_for(rows: int, each: int) -> int:
     """How many parts hold rows at about `each` a part."""
     return max(1, -(-int(rows) // int(each)))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, slices, text_buffers, with_key, word_bounds, written
+from .common import NO_ID, fresh, own_columns, slices, text_buffers, with_key, word_bounds, written
 from .passages import WINDOW, Sieve, repeated
 
 
@@ -219,12 +219,16 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, **options: object) -> Da
 
     Rows without a removal keep their text as it was, a null too. docs may have any columns.
     """
-    made = dedup(docs, window, True, **options).where("n_removed > 0").select(F.col("did").alias("_did"), F.col("tkey").alias("_tkey"), F.col("kept_text").alias("_kept"), (F.col("n_removed") < F.col("n_words")).alias("_left")).dropDuplicates(["_did", "_tkey"])
-    changed = written(made, "changed")
-    keys = {"_did": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_tkey": F.xxhash64(F.coalesce("text", F.lit("")))}
-    both = docs.withColumns(keys).withColumn("_maybe", Sieve(changed, F.col("_tkey")).holds(F.col("_tkey")))
-    same = both.where(~F.col("_maybe")).select(*docs.columns)
-    text = F.coalesce("_kept", "text").alias("text")
-    cols = [text if c == "text" else F.coalesce(F.length("_kept").cast("long"), F.col(c).cast("long")).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    moved = both.where("_maybe").join(changed, ["_did", "_tkey"], "left").where(F.coalesce("_left", F.lit(True))).select(*cols)
+    did, tkey, left, maybe, body = fresh(docs, "did", "tkey", "left_over", "maybe", "kept_text")
+    made = dedup(docs, window, True, **options).where("n_removed > 0")
+    made = made.select(F.col("did").alias(did), F.col("tkey").alias(tkey), F.col("kept_text").alias(body), (F.col("n_removed") < F.col("n_words")).alias(left))
+    changed = written(made.dropDuplicates([did, tkey]), "changed")
+    both = docs.withColumns({did: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), tkey: F.xxhash64(F.coalesce("text", F.lit("")))})
+    both = both.withColumn(maybe, Sieve(changed, F.col(tkey)).holds(F.col(tkey)))
+    same = both.where(~F.col(maybe)).select(*own_columns(docs))
+    new = {"text": F.coalesce(body, "text").alias("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.coalesce(F.length(body).cast("long"), F.col("n_chars").cast("long")).alias("n_chars")
+    cols = [new.get(c, own) for c, own in zip(docs.columns, own_columns(docs), strict=True)]
+    moved = both.where(maybe).join(changed, [did, tkey], "left").where(F.coalesce(left, F.lit(True))).select(*cols)
     return same.unionByName(moved)

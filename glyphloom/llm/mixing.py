@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, own_columns, written
 
 #: A 52-bit hash as a number from 0 up to 1.
 _STEPS = float(1 << 52)
@@ -59,9 +59,10 @@ def plan(docs: DataFrame, seed: int = 42, **law: object) -> DataFrame:
 
 def mix(docs: DataFrame, seed: int = 42, **law: object) -> DataFrame:
     """docs, each row as often as plan() takes it. Sources' rates are a row each in a written table, whose size shows Spark whether they may be broadcast."""
+    of, rate, n = fresh(docs, "of", "rate", "n")
     sized = docs.select(F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"))
     goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), **law)
-    rates = written(goal.select(F.col("source").alias("_of"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("_rate")), "rates")
-    both = docs.join(rates, docs["source"].cast("string").eqNullSafe(F.col("_of")))
-    copies = (F.floor("_rate") + (draws(docs["doc_id"].cast("long"), seed) < F.col("_rate") - F.floor("_rate")).cast("long")).cast("int")
-    return both.withColumn("_n", F.explode(F.array_repeat(F.lit(0), copies))).select(*[docs[c] for c in docs.columns])
+    rates = written(goal.select(F.col("source").alias(of), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias(rate)), "rates")
+    both = docs.join(rates, docs["source"].cast("string").eqNullSafe(F.col(of)))
+    copies = (F.floor(rate) + (draws(docs["doc_id"].cast("long"), seed) < F.col(rate) - F.floor(rate)).cast("long")).cast("int")
+    return both.withColumn(n, F.explode(F.array_repeat(F.lit(0), copies))).select(*own_columns(docs))

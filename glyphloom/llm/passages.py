@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_sums, mixed, pieces_for, prefix_sums, signed, slices, span_hash, text_buffers, word_bounds, written
+from .common import byte_sums, dropped, mixed, pieces_for, prefix_sums, signed, slices, span_hash, text_buffers, word_bounds, written
 
 WINDOW, GRAM = 50, 12
 #: Words that a shard aims at, and distinct segments from which a minimiser is hot.
@@ -174,6 +174,7 @@ def repeated(docs: DataFrame, kernel: Kernel, window: int = WINDOW, gram: int =
     every = written(docs.select("did", "tkey", "text").mapInArrow(_segments_of(window, gram), "did long, tkey long, start int, n int, mini long, seg long"), "segments")
     shared = every.groupBy("mini").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select("mini")
     found = written(every.join(shared, "mini", "left_semi"), "shared")
+    dropped(every)
     one = F.min(F.struct("did", "tkey", "start"))
     distinct = written(found.groupBy("seg", "mini", "n").agg(one.alias("one"), F.max("did").alias("hi")), "distinct")
     total = distinct.agg(F.coalesce(F.sum(F.col("n") + window - 1), F.lit(0))).first()[0]
@@ -181,8 +182,10 @@ def repeated(docs: DataFrame, kernel: Kernel, window: int = WINDOW, gram: int =
     crowds = distinct.groupBy("mini").count().where(F.col("count") > hot).select("mini", F.lit(True).alias("hot"))
     marked = distinct.join(crowds, "mini", "left").select("one.did", "one.tkey", F.struct("one.start", "n", "seg", "mini", F.coalesce("hot", F.lit(False)).alias("hot"), F.col("one.did").alias("lo"), "hi").alias("ask"))
     asked = written(marked.groupBy("did", "tkey").agg(F.collect_list("ask").alias("asked")), "asked")
+    dropped(distinct)
     holders = docs.where(Sieve(asked, F.col("tkey")).holds(F.col("tkey"))).select("did", "tkey", "text")
     units = written(holders.join(asked, ["did", "tkey"]).select("text", "asked").mapInArrow(_contents(window), _UNIT), "units")
+    dropped(asked)
     shard = F.pmod("place", F.lit(shards)).cast("int").alias("shard")
     cold = units.where("key = seg").select(shard, "key", "n", "words", "lo", "hi")
     warm = units.where("key <> seg").groupBy("key", "place").agg(F.first("n").alias("n"), F.first("words").alias("words"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
@@ -196,6 +199,7 @@ def repeated(docs: DataFrame, kernel: Kernel, window: int = WINDOW, gram: int =
         lone = units.where("key = seg").select("key").distinct()
         result = solved.join(lone, "key", "left_semi").withColumnRenamed("key", "seg").unionByName(wide)
     else:
+        dropped(units)
         result = solved.withColumnRenamed("key", "seg")
     return found.select("seg", "did", "tkey", "start").join(result, "seg").select("did", "tkey", "start", "least", "most")
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, pieces_for, signed, slices, text_buffers, with_key, word_bounds, written
+from .common import NO_ID, fresh, own_columns, pieces_for, signed, slices, text_buffers, with_key, word_bounds, written
 from .components import components
 from .xxh import xxh64
 
@@ -210,9 +210,10 @@ def kept(docs: DataFrame, radius: int = 3) -> DataFrame:
 
     Where several rows have that doc_id, the one whose text's hash is smallest stays, once. A null doc_id counts as larger than all others.
     """
-    cols = [F.col(c) for c in docs.columns]
-    did, tkey = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce("text", F.lit("")))
+    did, tkey = fresh(docs, "did", "tkey")
     prints = written(fingerprint(docs), "fingerprints")
     named = prints.join(classes(prints, radius, "root"), "fp")
-    chosen = named.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("_did"), F.col("tkey").alias("_tkey"))).alias("k")).select("k._did", "k._tkey")
-    return docs.withColumns({"_did": did, "_tkey": tkey}).join(chosen, ["_did", "_tkey"], "left_semi").dropDuplicates(["_did", "_tkey"]).select(*cols)
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.col("tkey").alias("t")))
+    chosen = named.groupBy("root").agg(first.alias("k")).select(F.col("k.d").alias(did), F.col("k.t").alias(tkey))
+    keyed = docs.withColumns({did: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), tkey: F.xxhash64(F.coalesce("text", F.lit("")))})
+    return keyed.join(chosen, [did, tkey], "left_semi").dropDuplicates([did, tkey]).select(*own_columns(docs))
