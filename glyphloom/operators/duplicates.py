@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphloom.functions import text as T
-from glyphloom.storage import cut
+from glyphloom.storage import written
 
 
 def with_tokens(docs: DataFrame) -> DataFrame:
-    """docs' doc_id and tokens, an array."""
-    return docs.select("doc_id", T.tokens(F.col("text")).alias("tokens"))
+    """docs' doc_id and tokens, an array; dealt by doc_id first, as tokens take time and files may be few."""
+    return docs.select("doc_id", "text").repartition("doc_id").select("doc_id", T.tokens(F.col("text")).alias("tokens"))
 
 
 def exact(docs: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def exact(docs: DataFrame) -> DataFrame:
 
     Copies are grouped by a hash of their tokens: minima and counts are combined before the shuffle, so a large group is one row a task.
     """
-    keyed = with_tokens(docs).select("doc_id", F.sha2(F.to_json(F.struct("tokens")), 256).alias("key"))
+    keyed = written(with_tokens(docs).select("doc_id", F.sha2(F.to_json(F.struct("tokens")), 256).alias("key")), "keys")
     first = keyed.groupBy("key").agg(F.min("doc_id").alias("kept_id"), F.count("*").alias("copies"))
     return keyed.join(first, "key").select("doc_id", "kept_id", "copies")
 
@@ -58,8 +58,8 @@ def near(docs: DataFrame, cost: int = 2, similar: Callable[[list[str], list[str]
     folded again while that changes, which soon ends, as groups are short beside ranges. Only these documents, one a range, come to the driver.
     """
     alike = similar or (lambda a, b: a == b or alignment_cost(a, b, cost) == cost)
-    rows = with_tokens(docs).withColumn("features", F.size(F.array_distinct("tokens")))
-    placed = cut(rows.repartitionByRange("tokens", "doc_id").withColumn("range", F.spark_partition_id()))
+    rows = written(with_tokens(docs).withColumn("features", F.size(F.array_distinct("tokens"))), "tokens")
+    placed = written(rows.repartitionByRange("tokens", "doc_id").withColumn("range", F.spark_partition_id()), "ranges")
     schema = "doc_id long, group_id long, features int, range int, head array<string>"
 
     def folded(opened: dict[int, tuple[int, list[str]]]) -> DataFrame:
@@ -79,7 +79,7 @@ def near(docs: DataFrame, cost: int = 2, similar: Callable[[list[str], list[str]
 
     opened: dict[int, tuple[int, list[str]]] = {}
     while True:
-        made = cut(folded(opened))
+        made = written(folded(opened), "groups")
         last = {r["range"]: (r["group_id"], list(r["head"])) for r in made.where("head IS NOT NULL").collect()}
         after = {k: last[before] for before, k in zip(sorted(last), sorted(last)[1:])}
         if after == opened:

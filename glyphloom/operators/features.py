@@ -12,8 +12,12 @@ from glyphloom.functions import text as T
 
 
 def tokens(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, token of docs (doc_id, text)."""
-    return docs.select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "token"))
+    """doc_id, pos, token of docs (doc_id, text).
+
+    Texts are dealt by doc_id before they become rows of tokens, which take several times the room: counts, sums and ranks
+    per document then need no shuffle of their own.
+    """
+    return docs.select("doc_id", "text").repartition("doc_id").select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "token"))
 
 
 def gold(labels: DataFrame, names: list[str]) -> DataFrame:

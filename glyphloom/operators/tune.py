@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphloom.storage import cut
+from glyphloom.storage import written
 
 from . import classify, features, lexicon
 
@@ -67,17 +67,18 @@ def corrected(docs: DataFrame, counts: DataFrame, gs: DataFrame, lex: DataFrame,
 def tune(docs: DataFrame, counts: DataFrame, gs: DataFrame, lex: DataFrame, threshold: float = 0.15, rounds: int = 3, words: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(lexicon, thresholds) after rounds of a correction and new label thresholds. Lineage is cut each round."""
     now: float | DataFrame = threshold
+    counts = written(counts.join(lex.select("token").distinct(), "token", "left_semi"), "counts")  # only the lexicon's words score or can be corrected
     for _ in range(rounds):
-        lex = cut(corrected(docs, counts, gs, lex, now, 1, words))
-        now = cut(label_thresholds(swept(classify.scores(docs, counts, lex, words), gs, grid(lex.sparkSession))))
+        lex = written(corrected(docs, counts, gs, lex, now, 1, words), "lexicon")
+        now = written(label_thresholds(swept(classify.scores(docs, counts, lex, words), gs, grid(lex.sparkSession))), "thresholds")
     return lex, now
 
 
 def create_and_tune(train: DataFrame, test: DataFrame, gs: DataFrame, threshold: float = 0.15, top: int = 2500, rounds: int = 3) -> DataFrame:
     """p, r, f, j on test of a lexicon that is learnt and tuned on train; both are (doc_id, text), gs covers both."""
     tok = features.tokens(train)
-    counts, own = cut(features.term_counts(tok)), gs.join(train.select("doc_id"), "doc_id", "left_semi")
-    lex, thresholds = tune(train, counts, own, cut(lexicon.learn(tok, own, top)), threshold, rounds, top)
+    counts, own = features.term_counts(tok), gs.join(train.select("doc_id"), "doc_id", "left_semi")
+    lex, thresholds = tune(train, counts, own, written(lexicon.learn(tok, own, top), "lexicon"), threshold, rounds, top)
     said = classify.decide(classify.scores(test, features.term_counts(features.tokens(test)), lex, top), thresholds)
     return classify.prfj(classify.confusion(said, gs))
 

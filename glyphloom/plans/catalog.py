@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from glyphloom.functions import text as T
 from glyphloom.operators import classify, duplicates, features, lexicon, lsa, morphology, tune
 from glyphloom.sources import reports
-from glyphloom.storage import cut
+from glyphloom.storage import written
 from glyphloom.streaming import service
 
 from .sql import assemble, measured
@@ -403,7 +403,7 @@ def sweetspot(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def tuned_lexicon(spark: SparkSession, d: str) -> DataFrame:
     x = Labelled(spark, d)
-    lex, thresholds = tune.tune(x.docs, cut(x.counts), x.gold, cut(x.lexicon()), words=TOP)
+    lex, thresholds = tune.tune(x.docs, x.counts, x.gold, written(x.lexicon(), "lexicon"), words=TOP)
     return lex.join(F.broadcast(thresholds), "label")
 
 
@@ -445,15 +445,15 @@ def term_index(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def svd(spark: SparkSession, d: str) -> DataFrame:
-    rows = cut(lsa_features(spark, d))
-    found = lsa.factors(rows, cut(lsa.term_index(rows)), 10)
+    rows = written(lsa_features(spark, d), "matrix")
+    found = lsa.factors(rows, written(lsa.term_index(rows), "terms"), 10)
     return spark.createDataFrame([(i, round(float(s), 9)) for i, s in enumerate(found.s)], "i int, s double")
 
 
 @query()
 def svd_reconstruct(spark: SparkSession, d: str) -> DataFrame:
-    rows = cut(lsa_features(spark, d))
-    index = cut(lsa.term_index(rows))
+    rows = written(lsa_features(spark, d), "matrix")
+    index = written(lsa.term_index(rows), "terms")
     return lsa.compare(rows, lsa.reconstruct(lsa.prune(lsa.factors(rows, index, 10), first=8), index, 0.0005), 0.001)
 
 

@@ -1,15 +1,36 @@
-"""Cutting lineage in the folder that the cluster shares."""
+"""Tables in the folder that the cluster shares: they cut lineage and outlive lost executors."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, checkpointed in spark.checkpoint.dir; a temporary folder only where the session names none, as in tests."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='glyphloom')}")
-    return df.checkpoint()
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, as spark.checkpoint.dir names it; a temporary one only where that is unset, as in tests."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top:
+        top = f"file://{tempfile.mkdtemp(prefix='glyphloom')}"
+        spark.conf.set("spark.checkpoint.dir", top)
+    return top
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read again. Unlike checkpoint() it computes df once. The table goes when the session's JVM ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/glyphloom-{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._glyphloom_path = path
+    return made
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete a table of written() that nothing reads any more."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(df._glyphloom_path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
