@@ -1,12 +1,10 @@
-"""What the operators share: column picking, written tables that cut lineage, and numpy over Arrow text.
+"""What the operators share: keys and columns, and numpy over Arrow text.
 
 A document's words are `[^\\x20\\x09-\\x0D]+` over its UTF-8 bytes everywhere in this package.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphloom.storage import dropped, written  # noqa: F401  the operators take them from here
+
 #: A missing doc_id sorts after every other one.
 NO_ID = (1 << 63) - 1
 #: Text bytes that a kernel holds at once; its temporaries take some sixty times as much.
@@ -26,15 +26,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares, as spark.checkpoint.dir names it; a temporary one only where that is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not top:
-        top = f"file://{tempfile.mkdtemp(prefix='glyphloom')}"
-        spark.conf.set("spark.checkpoint.dir", top)
-    return top
-
-
 def small_batches(spark: SparkSession) -> None:
     """From now on the session sends texts to Python in small batches: a worker's memory is bounded by BATCH_ROWS texts and a kernel's slice."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -42,25 +33,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: later steps don't depend on executors that are lost. It goes when the session's JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/glyphloom-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    made = spark.read.schema(df.schema).parquet(path)
-    made._glyphloom_path = path
-    return made
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete a table of written() that nothing reads any more."""
-    spark = df.sparkSession
-    at = spark._jvm.org.apache.hadoop.fs.Path(df._glyphloom_path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, with as many underscores before them as df's own columns call for."""
     taken, made = {c.lower() for c in df.columns}, []
