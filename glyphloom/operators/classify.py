@@ -77,3 +77,11 @@ def report(docs: DataFrame, tok: DataFrame, lex: DataFrame, decisions: DataFrame
     said, true = F.col("decision") == 1, F.col("gs") == 1
     colour = F.when(said & true, "GREEN").when(said, "RED").when(true, "BLUE").otherwise("BLACK")
     return rows.select("doc_id", "label", F.concat_ws(":", "label", T.fixed(F.col("ratio"), 2)).alias("cell"), colour.alias("colour"), "best", "worst")
+
+
+def evaluate(docs: DataFrame, tok: DataFrame, lex: DataFrame, gs: DataFrame, threshold: float | DataFrame, label: str | None = None) -> dict[str, DataFrame]:
+    """measures (p, r, f, j), errors (label, token, err) and report of a lexicon on labelled documents; of one label if that is given, though ratios are to all."""
+    counts = tok.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    said = decide(scores(docs, counts, lex), threshold)
+    said = said if label is None else said.where(F.col("label") == label)
+    return {"measures": prfj(confusion(said, gs)), "errors": word_errors(counts, said, gs), "report": report(docs, tok, lex, said, gs)}

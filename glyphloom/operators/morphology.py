@@ -184,6 +184,11 @@ def matches(a: Column, b: Column) -> Column:
     return F.when(any_tag, a["form"] == b["form"]).when(a["tag"] == b["tag"], any_form)
 
 
+def in_script(pairs: Column) -> Column:
+    """An analysis in Arabic script: form/tag, separated by spaces."""
+    return F.array_join(F.transform(pairs, lambda p: F.concat_ws("/", T.to_arabic(p["form"]), p["tag"])), " ")
+
+
 def lookup_all(gold: DataFrame, groups: dict[str, tuple[str, ...]] = STANDARD) -> DataFrame:
     """gold (form, tag, bw) with `source` and `analysis`: nouns as NN, then VB; tag VB as VB, then NN; other tags go."""
     noun = F.startswith("tag", F.lit("NN"))
@@ -207,6 +212,12 @@ def show_index(index: DataFrame, most: int = 20) -> DataFrame:
     return ranked.groupBy("segment", "size").agg(F.array_sort(F.collect_list("form")).alias("words"))
 
 
+def show(analysed: DataFrame, sources: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
+    """The rows whose source is main or among `sources`, the first `most` of them by form, tag and letters; all where most is None or 0."""
+    rows = analysed.where(F.col("source").isin("main", *sources)).orderBy("form", "tag", "bw")
+    return rows.limit(most) if most else rows
+
+
 def plain(analysis: Column) -> Column:
     """An analysis as forms joined by +, in the other analyser's spelling."""
     text = F.array_join(F.transform(F.coalesce(analysis, F.array().cast(PAIRS)), lambda p: F.concat_ws("/", p["form"], p["tag"])), "+")

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from glyphloom.functions import text as T
 from glyphloom.operators import classify, duplicates, features, lexicon, lsa, morphology, tune
-from glyphloom.sources import reports
-from glyphloom.storage import written
+from glyphloom.sources import corpora, reports
+from glyphloom.storage import scratch, written
 from glyphloom.streaming import service
 
-from .sql import assemble, measured
+from .sql import TSV, assemble, measured
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -139,6 +139,15 @@ def emoji_surrogates(spark: SparkSession, d: str) -> DataFrame:
     return features.with_surrogates(tok, features.emoji_surrogates(tok))
 
 
+@query(TSV)
+def labelled_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """The labelled documents, written as TSV lines and read as a corpus."""
+    rows = documents(spark, d).join(spark.read.parquet(f"{d}/labels.parquet").select("doc_id", *LABELS), "doc_id")
+    path = scratch(spark, "tsv")
+    corpora.write_tsv(rows, path, LABELS)
+    return corpora.labelled_tsv(spark, path, labels=LABELS)[0]
+
+
 # ------------------------------------------------------------------ features
 
 

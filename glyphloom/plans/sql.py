@@ -67,6 +67,12 @@ PARTS = {
 }
 
 
+_WRITTEN = r"CAST(doc_id AS VARCHAR) || chr(9) || replace(replace(coalesce(text, ''), chr(10), '\n'), chr(9), ' ') || chr(9) || quality || chr(9) || toxic"
+_READ = _strip(_emojis(rf"replace(replace({_strip(_WRITTEN)}, '=', ''), '\n', ' ')"))
+TSV = f"""SELECT c[1] AS doc_id, {_strip(_mentions("c[2]"))} AS text, [CAST({_strip("c[3]")} AS INTEGER), CAST({_strip("c[4]")} AS INTEGER)] AS gs
+    FROM (SELECT string_split({_READ}, chr(9)) AS c FROM documents JOIN labels USING (doc_id))"""
+
+
 def assemble(final: str, **own: str) -> str:
     """final behind a WITH of the parts that it names, and those that they name."""
     parts, used = PARTS | own, []

@@ -2,35 +2,60 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphloom.functions import text as T
 
 
-def labelled_tsv(spark: SparkSession, path: str, arabic: bool = False) -> tuple[DataFrame, list[str]]:
+# Where the usual corpora lie below a data folder, by language and use.
+CORPORA = {
+    ("EN", "train"): "Raw/EN/E-c-En-train.csv",
+    ("EN", "dev"): "Raw/EN/2018-E-c-En-dev.csv",
+    ("AR", "train"): "Raw/AR/2018-E-c-Ar-train.csv",
+    ("AR", "dev"): "Raw/AR/2018-E-c-Ar-dev.csv",
+}
+
+
+def language_of(path: str) -> str | None:
+    """The folder below Raw in a corpus path, or None."""
+    found = re.search(r"(?:^|/)Raw/(.*)/", path)
+    return found[1] if found else None
+
+
+def labelled_tsv(spark: SparkSession, path: str, arabic: bool = False, labels: list[str] | None = None) -> tuple[DataFrame, list[str]]:
     """(rows, labels) of a UTF-8 TSV: id, text and a 0/1 column for each label, under a header whose names from the third on are the labels.
 
     Lines are cleaned before they are split; empty ones go, and so do lines that repeat the header. rows is (doc_id string, text, gs array<int>).
+    A folder of many files without headers is read with its labels given.
     """
     cleaned = T.split_emojis(T.clean_arabic(T.clean_line(F.col("value"))) if arabic else T.clean_line(F.col("value")))
     lines = spark.read.text(path).select(cleaned.alias("line")).where("line <> ''")
-    head = lines.first()
-    if head is None:
-        return spark.createDataFrame([], "doc_id string, text string, gs array<int>"), []
+    if labels is None:
+        head = lines.first()
+        if head is None:
+            return spark.createDataFrame([], "doc_id string, text string, gs array<int>"), []
+        lines, labels = lines.where(F.col("line") != head["line"]), head["line"].split()[2:]
     cells = F.split(T.strip(F.col("line")), "\t")
-    rows = lines.where(F.col("line") != head["line"]).select(
+    rows = lines.select(
         F.get(cells, 0).alias("doc_id"), T.strip(T.strip_mentions(F.coalesce(F.get(cells, 1), F.lit("")))).alias("text"),
         F.transform(F.slice(cells, 3, 1 << 20), lambda x: F.coalesce(T.strip(x).try_cast("int"), F.lit(0))).alias("gs"),
     )
-    return rows, head["line"].split()[2:]
+    return rows, labels
+
+
+def write_tsv(rows: DataFrame, path: str, names: list[str]) -> None:
+    """doc_id, text and the columns `names` as TSV lines without a header; line breaks are written out, tabs become spaces."""
+    text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit(" "))
+    rows.select(F.concat_ws("\t", F.col("doc_id").cast("string"), text, *[F.col(n).cast("string") for n in names])).write.mode("overwrite").text(path)
 
 
 def gold_of(rows: DataFrame, labels: list[str]) -> DataFrame:
     """doc_id, label, gs of labelled_tsv() rows; what is longer, row or labels, is cut."""
-    both = F.arrays_zip(F.array(*map(F.lit, labels)).alias("label"), F.col("gs").alias("gs"))
-    cells = rows.select("doc_id", F.explode(F.slice(both, 1, F.least(F.lit(len(labels)), F.size("gs")))).alias("c"))
-    return cells.select("doc_id", F.col("c")["0"].alias("label"), F.col("c")["gs"].alias("gs")) if "0" in cells.schema["c"].dataType.names else cells.select("doc_id", "c.label", "c.gs")
+    cells = rows.select("doc_id", F.posexplode("gs").alias("i", "gs")).where(F.col("i") < len(labels))
+    return cells.select("doc_id", F.get(F.array(*map(F.lit, labels)), F.col("i")).alias("label"), "gs")
 
 
 def gold_standard(spark: SparkSession, path: str, until: int | None = None) -> DataFrame:

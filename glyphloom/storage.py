@@ -17,13 +17,18 @@ def shared_folder(spark: SparkSession) -> str:
     return top
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again. Unlike checkpoint() it computes df once. The table goes when the session's JVM ends."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is there goes when the session's JVM ends."""
     path = f"{shared_folder(spark)}/glyphloom-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written to scratch() and read again. Unlike checkpoint() it computes df once."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     made._glyphloom_path = path
     return made

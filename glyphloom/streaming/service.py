@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 Task = Callable[[Column], Column]
 
@@ -50,3 +51,22 @@ def start_services(spark: SparkSession, sink: Callable[[DataFrame, int], None],
 def ask(spark: SparkSession, message: str, task: Task = identity) -> str:
     """The answer to one request."""
     return answers(spark.createDataFrame([(message,)], "value string"), task, REQUEST_BYTES).first()["answer"]
+
+
+class ServiceLog(StreamingQueryListener):
+    """Writes each service's start, batches and end to a logger; add it with spark.streams.addListener()."""
+
+    def __init__(self, logger: logging.Logger | None = None) -> None:
+        self.log = logger or logging.getLogger("glyphloom.service")
+
+    def onQueryStarted(self, event) -> None:
+        self.log.info("%s started", event.name)
+
+    def onQueryProgress(self, event) -> None:
+        self.log.info("%s answered %s requests in batch %s", event.progress.name, event.progress.numInputRows, event.progress.batchId)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.log.info("%s ended%s", event.id, f": {event.exception}" if event.exception else "")

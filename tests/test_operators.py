@@ -233,6 +233,8 @@ def test_columns_of_the_grammar(spark):
     words = spark.createDataFrame([("wsyktbwnh",), (None,), ("o",)], "w string")
     row = words.select(morphology.lookup(F.col("w"), "VB").alias("a"), morphology.stem_word(F.col("w")).alias("s")).collect()
     assert row[0].a[0].tag == "VCONJ" and row[1].a is None and row[1].s is None and row[2].s == [""]
+    shown = words.limit(1).select(morphology.in_script(morphology.lookup(F.col("w"), "VB")).alias("x")).first()["x"]
+    assert shown.startswith("و/VCONJ س/FUT ي/IV كتب/VSTEM")
     text = spark.createDataFrame([("وسيكتبونه",)], "t string").select(morphology.stem_text(F.col("t")).alias("x")).first()["x"]
     assert text.replace(" ", "") == "وسيكتبونه" and " " in text
 
@@ -258,12 +260,29 @@ def test_labelled_tsv(spark, tmp_path):
     assert sorted(map(tuple, corpora.gold_of(rows, labels).collect())) == [("1", "joy", 1), ("1", "sad", 0), ("2", "joy", 0), ("2", "sad", 1)]
 
 
+def test_corpus_folders(spark, tmp_path):
+    assert corpora.language_of(corpora.CORPORA["AR", "dev"]) == "AR" and corpora.language_of("/data/Raw/EN/x.csv") == "EN" and corpora.language_of("x.csv") is None
+    rows = spark.createDataFrame([(1, "a\tb\nc", 1), (2, None, 0)], "doc_id long, text string, x int").repartition(2)
+    corpora.write_tsv(rows, f"file://{tmp_path}/t", ["x"])
+    got, labels = corpora.labelled_tsv(spark, f"file://{tmp_path}/t", labels=["x"])
+    assert labels == ["x"] and sorted(map(tuple, got.collect())) == [("1", "a b c", [1]), ("2", "", [0])]
+
+
+def test_evaluation(example):
+    docs, tok, gold = example
+    made = classify.evaluate(docs, tok, lexicon.learn(tok, gold), gold, 0.5)
+    assert made["measures"].first() == (1.0, 1.0, 1.0, 1.0) and made["report"].count() == 12
+    assert classify.evaluate(docs, tok, lexicon.learn(tok, gold), gold, 0.5, "sad")["report"].count() == 4
+    assert {r.cnt for r in lexicon.label_counts(tok, gold, first=1).where("token = 'happy'").collect()} == {2}
+
+
 def test_gold_standard(spark, tmp_path):
     (tmp_path / "g.csv").write_text("head\nhead\nمُدّ,NN\nمُدّ,NN\nك,XX\nكتب,VBD\nكتب\n", encoding="utf-8")
     gold = corpora.gold_standard(spark, f"file://{tmp_path}/g.csv")
     assert sorted((r.tag, r.bw) for r in gold.collect()) == [("NN", "mudd"), ("VBD", "ktb")]
     done = morphology.lookup_all(gold).collect()
     assert [(r.tag, r.source) for r in done] == [("NN", "main")]
+    assert morphology.show(morphology.lookup_all(gold), most=1).count() == 1
     assert morphology.show_index(morphology.index_by_segment(morphology.lookup_all(gold))).count() > 0
 
 
@@ -289,3 +308,13 @@ def test_service_answers_a_stream(spark, tmp_path):
         q.stop()
     assert sorted((r.value, r.answer) for r in got) == [("one", "ONE"), ("two", "TWO")]
     assert service.ask(spark, "é" * 600) == "é" * 512 and service.ask(spark, "x" * 1025) == "x" * 1024
+
+
+def test_command_line(spark, capsys):
+    from glyphloom import __main__ as cli
+
+    real, cli.local_session = cli.local_session, lambda: spark
+    try:
+        assert cli.main(["--task", "identity", "ask", "some words"]) == "some words"
+    finally:
+        cli.local_session = real
