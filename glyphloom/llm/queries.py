@@ -64,7 +64,30 @@ def op8_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.passages(read(spark, sf_dir, "documents"))
+    """The passages as text: first word + number of words, in order."""
+    found = suffixes.passages(read(spark, sf_dir, "documents"))
+    listed = F.array_join(F.transform("passages", lambda p: F.concat_ws("+", p["start"].cast("string"), p["length"].cast("string"))), ",")
+    return found.select("doc_id", "other_doc_id", "n_words", listed.alias("passages"))
+
+
+ORACLES["op3_suffix_array_dedup"] = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS h FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM split WHERE len(w) >= 50)
+), shared AS (
+  SELECT h, min(doc_id) AS least, max(doc_id) AS most FROM windows GROUP BY h HAVING min(doc_id) <> max(doc_id)
+), matched AS (
+  SELECT doc_id, i, CASE WHEN least < doc_id THEN least ELSE most END AS other FROM windows JOIN shared USING (h)
+), opened AS (
+  SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id, other ORDER BY i) <= 50 THEN 0 ELSE 1 END AS opens FROM matched
+), numbered AS (
+  SELECT *, sum(opens) OVER (PARTITION BY doc_id, other ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM opened
+), runs AS (
+  SELECT doc_id, other, min(i) - 1 AS start, max(i) - min(i) + 50 AS length FROM numbered GROUP BY doc_id, other, run
+)
+SELECT doc_id, other AS other_doc_id, CAST(sum(length) AS BIGINT) AS n_words, string_agg(start || '+' || length, ',' ORDER BY start) AS passages FROM runs GROUP BY doc_id, other
+"""
 
 
 @query
