@@ -1,6 +1,6 @@
 """Corpus features: tokens, term and document frequencies, tf times 1/df, norms, postings.
 
-`tok` is (doc_id, pos, token). All outputs are long tables; nothing is gathered per term or document unless said.
+`tok` is (doc_id, pos, token); where positions don't matter it may as well be its term_counts(). All outputs are long tables; nothing is gathered per term or document unless said.
 """
 
 from __future__ import annotations
@@ -31,7 +31,9 @@ def gold_of_class(docs: DataFrame, column: str, names: list[str]) -> DataFrame:
 
 
 def term_counts(tok: DataFrame) -> DataFrame:
-    """doc_id, token, n."""
+    """doc_id, token, n; of what already is such a table, itself."""
+    if "n" in tok.columns:
+        return tok
     return tok.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
 
 

@@ -76,9 +76,9 @@ def tune(docs: DataFrame, counts: DataFrame, gs: DataFrame, lex: DataFrame, thre
 
 def create_and_tune(train: DataFrame, test: DataFrame, gs: DataFrame, threshold: float = 0.15, top: int = 2500, rounds: int = 3) -> DataFrame:
     """p, r, f, j on test of a lexicon that is learnt and tuned on train; both are (doc_id, text), gs covers both."""
-    tok = features.tokens(train)
-    counts, own = features.term_counts(tok), gs.join(train.select("doc_id"), "doc_id", "left_semi")
-    lex, thresholds = tune(train, counts, own, written(lexicon.learn(tok, own, top), "lexicon"), threshold, rounds, top)
+    counts = written(features.term_counts(features.tokens(train)), "train")
+    own = gs.join(train.select("doc_id"), "doc_id", "left_semi")
+    lex, thresholds = tune(train, counts, own, written(lexicon.learn(counts, own, top), "lexicon"), threshold, rounds, top)
     said = classify.decide(classify.scores(test, features.term_counts(features.tokens(test)), lex, top), thresholds)
     return classify.prfj(classify.confusion(said, gs))
 

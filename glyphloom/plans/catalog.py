@@ -56,7 +56,7 @@ class Labelled:
         self.gold = features.gold(labels.join(documents(spark, d).select("doc_id"), "doc_id", "left_semi"), LABELS)
 
     def lexicon(self, kind: str = "FULL") -> DataFrame:
-        return lexicon.learn(self.tok, self.gold, TOP, kind)
+        return lexicon.learn(self.counts, self.gold, TOP, kind)
 
     def scored(self) -> DataFrame:
         return classify.scores(self.docs, self.counts, self.lexicon(), TOP)
@@ -412,7 +412,8 @@ def sweetspot(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def tuned_lexicon(spark: SparkSession, d: str) -> DataFrame:
     x = Labelled(spark, d)
-    lex, thresholds = tune.tune(x.docs, x.counts, x.gold, written(x.lexicon(), "lexicon"), words=TOP)
+    counts = written(x.counts, "counts")
+    lex, thresholds = tune.tune(x.docs, counts, x.gold, written(lexicon.learn(counts, x.gold, TOP), "lexicon"), words=TOP)
     return lex.join(F.broadcast(thresholds), "label")
 
 
