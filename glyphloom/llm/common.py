@@ -5,6 +5,7 @@ A document's words are `[^\\x20\\x09-\\x0D]+` over its UTF-8 bytes everywhere in
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,6 +74,15 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return buf, offs - offs[0]
 
 
+def trimmed() -> None:
+    """Give memory that a worker has freed back to the machine; a worker may sit idle beside others for a while."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most` text bytes; a row that is longer comes alone."""
     for batch in batches:
@@ -84,7 +94,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
             end = max(at + 1, int(np.searchsorted(offs, offs[at] + most, side="right")) - 1)
             yield batch.slice(at, end - at)
             at = end
-    pa.default_memory_pool().release_unused()
+    trimmed()
 
 
 _SPACE = np.zeros(256, bool)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_sums, dropped, mixed, pieces_for, prefix_sums, signed, slices, span_hash, text_buffers, word_bounds, written
+from .common import byte_sums, dropped, mixed, pieces_for, prefix_sums, signed, slices, span_hash, text_buffers, trimmed, word_bounds, written
 
 WINDOW, GRAM = 50, 12
 #: Words that a shard aims at, and distinct segments from which a minimiser is hot.
@@ -163,6 +163,7 @@ def _solve(kernel: Kernel, window: int):
         n = part.column("n").to_numpy().astype(np.int64)
         lo, hi = (part.column(c).to_numpy() for c in ("lo", "hi"))
         least, most = kernel(words, n + window - 1, lo, hi, window)
+        trimmed()
         ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
         return pa.table({"key": part.column("key"), "least": pa.ListArray.from_arrays(ends, pa.array(least)), "most": pa.ListArray.from_arrays(ends, pa.array(most))})
 

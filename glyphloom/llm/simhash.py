@@ -27,7 +27,7 @@ from .xxh import xxh64
 #: Fingerprints a block aims at, and those from which it is dealt out in tiles.
 BLOCK, TILE = 1024, 4096
 #: Queries compared with a block together.
-QUERIES_AT_ONCE = 256
+QUERIES_AT_ONCE = 64
 #: Planes between two looks at which words are still needed.
 LOOK_EVERY = 8
 
@@ -132,6 +132,8 @@ def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.
     parent = np.arange(len(nodes))
     for i, j in within(left, block, radius):
         a, b = i, j + shift
+        apart = parent[a] != parent[b]  # in a ball of near copies nearly all pairs are linked already
+        a, b = a[apart], b[apart]
         while True:  # hook the larger root to the smaller one, then halve the paths, until all pairs agree
             ra, rb = parent[a], parent[b]
             apart = ra != rb

@@ -1,9 +1,6 @@
-import hashlib
 from collections import Counter
 
 import pytest
-import public_tokenizers
-from pyspark.sql import functions as F
 
 from glyphloom.llm import mixing
 from glyphloom.llm.queries import QUERIES
@@ -35,7 +32,7 @@ def expected_stages(spark):
 
 def test_stages_against_brute_force(spark):
     docs, first, second, third = expected_stages(spark)
-    rows, columns, got = spark.read.parquet(f"{SF}/documents.parquet"), None, []
+    rows, got = spark.read.parquet(f"{SF}/documents.parquet"), []
     columns = rows.columns
     for _, stage in corpus_pipeline.STAGES[:4]:
         rows = spark.createDataFrame(stage(spark, rows, SF).collect(), rows.schema)
