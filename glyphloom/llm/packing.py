@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces_for, small_batches
+from .common import pieces_for, small_batches, trimmed
 
 #: Bytes of text that a shard aims at. A window's neighbours are looked for in its shard.
 SHARD_BYTES = 1_500_000
@@ -41,7 +41,7 @@ def encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
     special = [t.content for t in whole.get_added_tokens_decoder().values()]
     ranks = path.removesuffix(".json") + ".tiktoken"
     if not os.path.exists(ranks):
-        return lambda texts: [np.array(e.ids, np.int64) for e in whole.encode_batch(texts, add_special_tokens=False)]
+        return lambda texts: [np.array(e.ids, np.int32) for e in whole.encode_batch(texts, add_special_tokens=False)]
     import public_tokenizers
     import tiktoken
 
@@ -50,7 +50,7 @@ def encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
     def encode(texts: list[str]) -> list[np.ndarray]:
-        return [np.array(whole.encode(t, add_special_tokens=False).ids if any(s in t for s in special) else fast.encode_ordinary(t), np.int64) for t in texts]
+        return [np.array(whole.encode(t, add_special_tokens=False).ids if any(s in t for s in special) else fast.encode_ordinary(t), np.int32) for t in texts]
 
     return encode
 
@@ -145,9 +145,11 @@ def pack(docs: DataFrame, tokenizer: str, width: int = 1024, closing: int = 0, s
     def run(part: pa.Table) -> pa.Table:
         encode = encoder(tokenizer)
         part = part.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        ids = [np.append(x, closing) for x in encode(part.column("text").to_pylist())]
+        ids = [np.append(x, np.int32(closing)) for x in encode(part.column("text").to_pylist())]
         most = max(int(x.max()) for x in ids) + 1
-        return pa.table(pack_shard(part.column("doc_id").to_pylist(), ids, width, most, int(part.column("shard")[0].as_py()) << 32), schema=_SCHEMA)
+        made = pa.table(pack_shard(part.column("doc_id").to_pylist(), ids, width, most, int(part.column("shard")[0].as_py()) << 32), schema=_SCHEMA)
+        trimmed()
+        return made
 
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
     return dealt.groupBy("shard").applyInArrow(run, _FIELDS)
