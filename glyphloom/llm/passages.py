@@ -180,7 +180,8 @@ def repeated(docs: DataFrame, kernel: Kernel, window: int = WINDOW, gram: int =
     distinct = written(found.groupBy("seg", "mini", "n").agg(one.alias("one"), F.max("did").alias("hi")), "distinct")
     total = distinct.agg(F.coalesce(F.sum(F.col("n") + window - 1), F.lit(0))).first()[0]
     shards = pieces_for(total, shard_words)
-    crowds = distinct.groupBy("mini").count().where(F.col("count") > hot).select("mini", F.lit(True).alias("hot"))
+    # Written, so that its size shows Spark whether it may be broadcast: joined by mini, a hot one's segments would meet in a task.
+    crowds = written(distinct.groupBy("mini").count().where(F.col("count") > hot).select("mini", F.lit(True).alias("hot")), "crowds")
     marked = distinct.join(crowds, "mini", "left").select("one.did", "one.tkey", F.struct("one.start", "n", "seg", "mini", F.coalesce("hot", F.lit(False)).alias("hot"), F.col("one.did").alias("lo"), "hi").alias("ask"))
     asked = written(marked.groupBy("did", "tkey").agg(F.collect_list("ask").alias("asked")), "asked")
     dropped(distinct)
