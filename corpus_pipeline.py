@@ -12,7 +12,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphloom.llm import fmindex, mixing, packing, quality, simhash
+from glyphloom.llm import fmindex, mixing, nearsets, packing, quality
 from glyphloom.llm.common import read, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -24,8 +24,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: of each component of near copies the document with the smallest doc_id stays."""
-    return simhash.kept(docs)
+    """Of each component of near copies, at Jaccard 0.8 or more of their 5-word shingles, the document with the smallest doc_id stays."""
+    return nearsets.kept(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

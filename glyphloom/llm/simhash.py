@@ -212,9 +212,13 @@ def kept(docs: DataFrame, radius: int = 3) -> DataFrame:
 
     Where several rows have that doc_id, the one whose text's hash is smallest stays, once. A null doc_id counts as larger than all others.
     """
-    did, tkey = fresh(docs, "did", "tkey")
     prints = written(fingerprint(docs), "fingerprints")
-    named = prints.join(classes(prints, radius, "root"), "fp")
+    return firsts(docs, prints.join(classes(prints, radius, "root"), "fp"))
+
+
+def firsts(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of docs with the smallest doc_id, then hash of the text, of each root of named (doc_id, tkey, root)."""
+    did, tkey = fresh(docs, "did", "tkey")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.col("tkey").alias("t")))
     chosen = named.groupBy("root").agg(first.alias("k")).select(F.col("k.d").alias(did), F.col("k.t").alias(tkey))
     keyed = docs.withColumns({did: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), tkey: F.xxhash64(F.coalesce("text", F.lit("")))})
