@@ -208,6 +208,12 @@ def cosine_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 @query(assemble("SELECT doc_id, string_agg(token || ': ' || CAST(CAST(round(w, 3) AS DECIMAL(38, 3)) AS VARCHAR), ', ' ORDER BY n) AS line FROM (SELECT doc_id, token, w, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, token) AS n FROM weights) WHERE n <= 50 GROUP BY doc_id"))
 def feature_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The 50 heaviest terms, as the SQL beside it says; feature_lines_whole has all."""
+    return reports.feature_lines(features.tfidf(all_tokens(spark, d)), 50)
+
+
+@query(assemble("SELECT doc_id, string_agg(token || ': ' || CAST(CAST(round(w, 3) AS DECIMAL(38, 3)) AS VARCHAR), ', ' ORDER BY w DESC, token) AS line FROM weights GROUP BY doc_id"))
+def feature_lines_whole(spark: SparkSession, d: str) -> DataFrame:
     return reports.feature_lines(features.tfidf(all_tokens(spark, d)))
 
 

@@ -37,12 +37,13 @@ def score_lines(scored: DataFrame, labels: list[str]) -> DataFrame:
     return wide.select(F.concat_ws("\t", F.col("doc_id").cast("string"), *[T.fixed(F.coalesce(F.col(f"`{x}`"), F.lit(0.0)), 2) for x in labels]).alias("line"))
 
 
-def feature_lines(features: DataFrame, most: int = 50) -> DataFrame:
-    """doc_id, line: each document's `most` heaviest terms as "term: weight", heaviest first."""
+def feature_lines(features: DataFrame, most: int | None = None) -> DataFrame:
+    """doc_id, line: all of each document's terms, or its `most` heaviest, as "term: weight", heaviest first."""
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("w").desc(), "token"))
-    ranked = features.withColumn("n", rank).where(F.col("n") <= most)
+    ranked = features.withColumn("n", rank)
+    ranked = ranked if most is None else ranked.where(F.col("n") <= most)
     lists = ranked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", F.concat_ws(": ", "token", T.fixed(F.col("w"), 3)).alias("t")))).alias("parts"))
     return lists.select("doc_id", F.array_join(F.col("parts.t"), ", ").alias("line"))
 
