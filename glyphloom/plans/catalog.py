@@ -444,10 +444,11 @@ def near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return duplicates.near(documents(spark, d))
 
 
-def lsa_features(spark: SparkSession, d: str, terms: int = 64) -> DataFrame:
-    """The matrix's columns are the vocabulary's `terms` words of most documents; its rows all documents."""
+def lsa_features(spark: SparkSession, d: str, terms: int | None = None) -> DataFrame:
+    """The matrix's columns are the whole vocabulary, or its `terms` words of most documents; its rows all documents."""
     tok = all_tokens(spark, d)
-    return features.tfidf(tok).join(F.broadcast(lexicon.top_words(tok, terms)), "token").select("doc_id", "token", "w")
+    made = features.tfidf(tok).select("doc_id", "token", "w")
+    return made if terms is None else made.join(F.broadcast(lexicon.top_words(tok, terms)), "token").select("doc_id", "token", "w")
 
 
 @query(
@@ -456,6 +457,12 @@ def lsa_features(spark: SparkSession, d: str, terms: int = 64) -> DataFrame:
     )
 )
 def term_index(spark: SparkSession, d: str) -> DataFrame:
+    """The 64 words of most documents, as the SQL beside it says; term_index_whole has all."""
+    return lsa.term_index(lsa_features(spark, d, 64))
+
+
+@query(assemble("SELECT token, CAST(row_number() OVER (ORDER BY token) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT token FROM weights)"))
+def term_index_whole(spark: SparkSession, d: str) -> DataFrame:
     return lsa.term_index(lsa_features(spark, d))
 
 
