@@ -88,16 +88,16 @@ def threshold_top(queries: np.ndarray, own: np.ndarray, block: np.ndarray, ids:
 def search(vectors: DataFrame, queries: Column, k: int = 10, scale: int = 1024, candidates: int = CANDIDATES, block: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: of vectors (vec_id, embedding), each row's k best others where `queries` holds of its vec_id.
 
-    Vectors that are null or hold a null or non-finite component take no part, nor does a null vec_id. Of rows that repeat a vec_id the
-    least vector counts. Shorter vectors are filled with zeros. Ties go to the smaller vec_id; a query with fewer others gets all.
+    Vectors that are null or hold a null or non-finite component take no part, nor does a null vec_id. Of rows that repeat a vec_id all count,
+    as queries and as candidates of other ids; such queries share one ranking by their id, and no row of it is in that. Shorter vectors are filled with zeros. Ties go to the smaller vec_id; a query with fewer others gets all.
     """
     taken = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v")).where(F.col("vec_id").isNotNull() & fit_for_scores(F.col("v")))
-    rows = written(taken.groupBy("vec_id").agg(F.min(whole(F.col("v"), scale)).alias("v")), "vectors")
+    rows = written(taken.select("vec_id", whole(F.col("v"), scale).alias("v")), "vectors")
     asked = rows.where(queries)
     n, m, width = *rows.agg(F.count("*"), F.count_if(queries)).first(), rows.agg(F.max(F.size("v"))).first()[0] or 1
     across, down = pieces_for(n, candidates), pieces_for(m, block)
     each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    part = lambda count: F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int")
+    part = lambda count: F.pmod(F.xxhash64("vec_id", "v"), F.lit(count)).cast("int")
     left = asked.select("vec_id", "v", part(down).alias("down"), each(across).alias("across"))
     right = rows.select("vec_id", "v", part(across).alias("across"), each(down).alias("down"))
 
