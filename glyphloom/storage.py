@@ -7,21 +7,35 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares, as spark.checkpoint.dir names it; a temporary one only where that is unset, as in tests."""
+    """The folder that the cluster shares, as spark.checkpoint.dir names it.
+
+    Where that is unset, a temporary one, but only if all of Spark runs in this process, as in tests: elsewhere executors would not see each other's files.
+    """
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not top:
-        top = f"file://{tempfile.mkdtemp(prefix='glyphloom')}"
-        spark.conf.set("spark.checkpoint.dir", top)
-    return top
+    if top:
+        return top
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='glyphloom')}"
+    return _LOCAL[context.applicationId]
+
+
+def _path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; what is there goes when the session's JVM ends."""
     path = f"{shared_folder(spark)}/glyphloom-{name}-{uuid.uuid4().hex}"
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    at, store = _path(spark, path)
+    store.deleteOnExit(at)
     return path
 
 
@@ -36,6 +50,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def dropped(df: DataFrame) -> None:
     """Delete a table of written() that nothing reads any more."""
-    spark = df.sparkSession
-    at = spark._jvm.org.apache.hadoop.fs.Path(df._glyphloom_path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    at, store = _path(df.sparkSession, df._glyphloom_path)
+    store.delete(at, True)
