@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphloom.storage import dropped, written  # noqa: F401  the operators take them from here
@@ -54,6 +54,36 @@ def pieces_for(rows: int, each: int) -> int:
     return max(1, -(-int(rows) // int(each)))
 
 
+#: Copies of a row that one row stands for, at most, when they are dealt out.
+CHUNK = 4096
+
+
+def copies_of(table: DataFrame, many: str, nth: str) -> DataFrame:
+    """Each row of a written table as often as its column `many` says, numbered from 0 in `nth`, instead of that column; a row of very many copies is dealt to other tasks in chunks."""
+    cols = [x for c, x in zip(table.columns, own_columns(table), strict=True) if c != many]
+    chunk = fresh(table, "chunk")[0]
+    few = table.where(F.col(many) <= CHUNK).withColumn(chunk, F.lit(0).cast("long"))
+    pieces = [few]
+    crowd = table.where(F.col(many) > CHUNK)
+    if not crowd.isEmpty():
+        every = crowd.withColumn(chunk, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(many) - 1) / F.lit(CHUNK)))))
+        pieces.append(every.repartition(F.xxhash64(*own_columns(every))))
+    at = F.col(chunk) * CHUNK
+    made = [p.select(*cols, F.explode(F.sequence(at, F.least(F.col(many) - 1, at + (CHUNK - 1)))).alias(nth)) for p in pieces]
+    return made[0] if len(made) == 1 else made[0].unionByName(made[1])
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with the row's number from 0 in the order of its columns `order`. Ranges are numbered apart; only their counts, one a range, are summed in one task."""
+    part, start = fresh(df, "part", "start")
+    ranged = written(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranges")
+    before = F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ranged.groupBy(part).agg(F.count("*").alias("n")).select(part, before.alias(start))
+    row = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    cols = own_columns(df)
+    return ranged.withColumn(name, row).join(starts, part).select(*cols, (F.col(start) + F.col(name) - 1).alias(name))
+
+
 # ---------------------------------------------------------------- Arrow text as numpy
 
 

@@ -32,7 +32,9 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op6_source_mixing"] = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, md5(coalesce(text, '')) AS text_key, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), told AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, source, text_key) - 1 AS nth FROM sized
 ), sums AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
 ), weighed AS (
@@ -48,8 +50,8 @@ WITH sized AS (
   SELECT source, source_size, least(cap, weight * level) AS target FROM levels
 ), rated AS (
   SELECT d.doc_id, d.size, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0 END AS rate,
-    CAST(('0x' || substr(md5('42:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) / 4503599627370496.0e0 AS draw
-  FROM sized d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source
+    CAST(('0x' || substr(md5(concat_ws(':', '42', coalesce(CAST(d.doc_id AS VARCHAR), 'null'), text_key, CAST(nth AS VARCHAR))), 1, 13)) AS BIGINT) / 4503599627370496.0e0 AS draw
+  FROM told d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source
 )
 SELECT doc_id, size, source_size, target,
   CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
@@ -134,13 +136,13 @@ def op5_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op5_threshold_topk"] = """
 WITH v AS (
-  SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS w FROM embeddings
+  SELECT row_number() OVER () AS n, vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS w FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), pairs AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.w AS DOUBLE[]), CAST(c.w AS DOUBLE[])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+  SELECT q.n, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.w AS DOUBLE[]), CAST(c.w AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.n <> c.n
 ), ranked AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM pairs
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM pairs
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """

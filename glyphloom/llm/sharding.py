@@ -7,10 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces_for
+from .common import copies_of, pieces_for, written
 
-#: Rows that one task numbers.
-BLOCK_ROWS = 50_000
+#: Rows that one task numbers, and rows that a group of equal rows is counted in, at most.
+BLOCK_ROWS, PARTS = 50_000, 64
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -41,27 +41,25 @@ def shard(docs: DataFrame, shards: int = 16, block_rows: int = BLOCK_ROWS) -> Da
     """doc_id, size, text_crc32, law, shard, slot, grown_shard: one row per row of docs (doc_id, text).
 
     doc_id and the number of shards alone decide the shard, so equal doc_ids share it. A null doc_id is one more key.
-    A null text counts as empty: size 1, crc 0. Slots follow doc_id, then size and crc; repeated rows get slots of their own in any order.
-    Any shard may be large: rows are numbered in hashed blocks of about block_rows and a table of block counts gives each block's first slot.
+    A null text counts as empty: size 1, crc 0; texts may be of any length. Slots follow no order that means anything; repeated rows get slots of their own.
+    Any shard, and any doc_id, may be large: rows that agree in doc_id, size and crc travel as one row with their number, these are numbered in
+    hashed blocks of about block_rows, and a table of block sizes gives each block's first slot. The texts are read once.
     No rows give no rows. Other columns of docs are ignored.
     """
-    blocks = pieces_for(docs.count(), block_rows * shards)
-    key = F.col("doc_id").cast("long")
-
-    def placed(df: DataFrame) -> DataFrame:
-        return df.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(blocks)).cast("int")).withColumn("shard", jump_shard(F.col("doc_id"), shards))
-
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = placed(docs.select(key.alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")))
-    counts = placed(docs.select(key.alias("doc_id"))).groupBy("shard", "block").count()
-    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("shard", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    within = Window.partitionBy("shard", "block").orderBy("doc_id", "size", "text_crc32")
-    return (
-        rows.withColumn("nth", F.row_number().over(within))
-        .join(first, ["shard", "block"])
-        .select(
-            "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-            (F.col("first") + F.col("nth") - 1).alias("slot"), jump_shard(F.col("doc_id"), shards + 1).alias("grown_shard"),
-        )
-    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    # Equal rows are counted apart by where they were read, so that a group of any size is several rows.
+    part = F.pmod(F.spark_partition_id(), F.lit(PARTS)).alias("part")
+    equal = rows.select("*", part).groupBy("doc_id", "size", "text_crc32", "part").agg(F.count("*").alias("many"))
+    equal = written(equal.withColumns({"shard": jump_shard(F.col("doc_id"), shards), "grown_shard": jump_shard(F.col("doc_id"), shards + 1)}), "keys")
+    blocks = pieces_for(equal.count(), block_rows * shards)
+    dealt = equal.withColumn("block", F.pmod(F.xxhash64("doc_id", "size", "text_crc32", "part"), F.lit(blocks)).cast("int"))
+    ahead = lambda w, x: F.coalesce(F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = dealt.groupBy("shard", "block").agg(F.sum("many").alias("rows")).select("shard", "block", ahead(Window.partitionBy("shard").orderBy("block"), "rows").alias("first"))
+    within = Window.partitionBy("shard", "block").orderBy("doc_id", "size", "text_crc32", "part")
+    placed = dealt.withColumn("before", ahead(within, "many")).join(first, ["shard", "block"]).withColumn("start", F.col("first") + F.col("before"))
+    if equal.agg(F.max("many")).first()[0] not in (None, 1):
+        placed = copies_of(written(placed, "slots"), "many", "nth")
+    else:
+        placed = placed.withColumn("nth", F.lit(0))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("nth")).alias("slot"), "grown_shard")
