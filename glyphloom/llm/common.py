@@ -49,6 +49,11 @@ def own_columns(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
 
 
+def partitions_for(groups: int, each: int = 8, most: int = 50_000) -> int:
+    """Partitions that many groups of bounded size are dealt to, about `each` a task: as many more as the input grows, up to what a driver can keep track of."""
+    return min(most, pieces_for(groups, each))
+
+
 def pieces_for(rows: int, each: int) -> int:
     """How many parts hold rows at about `each` a part."""
     return max(1, -(-int(rows) // int(each)))
@@ -185,6 +190,34 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int
     return mixed(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+#: Primes below 2**31, and a number for each whose powers repeat late, for prime_hash().
+_FIELDS = ((2**31 - 1, 48271), (2**31 - 19, 69621))
+_ROWS: dict[tuple[int, int], np.ndarray] = {}
+
+
+def _row(n: int, prime: int, base: int) -> np.ndarray:
+    """base**i modulo prime for i up to n at least."""
+    have = _ROWS.get((prime, base))
+    if have is None or len(have) <= n:
+        have, step = np.ones(1, np.int64), base
+        while len(have) <= n:
+            have = np.concatenate([have, have * step % prime])
+            step = step * step % prime
+        _ROWS[prime, base] = have
+    return have
+
+
+def prime_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 62-bit hash of each values[start:end], uint64 in, int64 out: a polynomial modulo each of two primes, where no pattern of values cancels as it may modulo a power of two."""
+    made = np.zeros(len(starts), np.int64)
+    for prime, base in _FIELDS:
+        up, down = _row(len(values), prime, base), _row(len(values), prime, pow(base, -1, prime))
+        sums = np.zeros(len(values) + 1, np.int64)
+        np.cumsum((values % np.uint64(prime)).astype(np.int64) * up[: len(values)] % prime, out=sums[1:])
+        made = (made << 31) | (sums[ends] - sums[starts]) % prime * down[starts] % prime
+    return made
+
+
 def byte_sums(buf: np.ndarray) -> np.ndarray:
     return prefix_sums(buf.astype(np.uint64) + np.uint64(1))
 

@@ -1,9 +1,15 @@
 """Operator 10: substring dedup by a compressed FM-index per shard.
 
-A shard's units are one text over the alphabet of its words, with a mark after each unit. Its Burrows-Wheeler transform is kept as a
-wavelet matrix over packed bits with popcount ranks. All units are streamed through at once from right to left: each step prepends a
-word by backward search, and once more than `window` words match, the interval widens to all suffixes that share `window` words. That
-is the matching statistic, cut at the threshold, with the interval of the suffix array that shows which documents hold the window.
+Of each minimiser's segments in a shard, the first ones by doc_id are the text of an index and all others are streamed through it. The
+text is over the alphabet of its words, with a mark after each segment; of it remain the Burrows-Wheeler transform as a wavelet matrix over
+packed bits with popcount ranks, a second wavelet matrix that says to which segment each suffix belongs, and a bit for each suffix that
+does not share `window` words with the one before it. The suffix array itself is not kept.
+
+A segment is streamed from right to left: each step prepends a word by backward search. A full window is an interval of suffixes above the
+threshold, of whose segments the second matrix gives the first; from there the interval widens to the suffixes that share `window` words, which lets
+the last word go. Where no suffix goes on, shorter pieces are searched for until the longest match that still goes on is known: that is the
+matching statistic, and the search resumes with it. What a round does not find, it leaves to the next one, whose index has twice as many segments
+of each minimiser.
 """
 
 from __future__ import annotations
@@ -19,6 +25,9 @@ from pyspark.sql import functions as F
 from .common import NO_ID, fresh, own_columns, slices, text_buffers, with_key, word_bounds, written
 from .passages import WINDOW, Sieve, repeated
 
+#: Steps of a stream between two looks at which segments are through.
+LOOK_EVERY = 16
+
 
 class BitRank:
     """Packed bits; ones(i) counts the set ones before i."""
@@ -33,9 +42,20 @@ class BitRank:
         w = i >> 6
         return self.before[w] + np.bitwise_count(self.words[w] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)))
 
+    def place(self, k: np.ndarray) -> np.ndarray:
+        """Where the k-th set bit is, k from 1; the bits' end beyond the last one."""
+        w = np.minimum(np.searchsorted(self.before, k, side="left") - 1, len(self.words) - 1)
+        word, left, at = self.words[w], (k - self.before[w]).astype(np.int64), np.zeros(len(k), np.int64)
+        for half in (32, 16, 8, 4, 2, 1):
+            low = np.bitwise_count(word & np.uint64((1 << half) - 1)).astype(np.int64)
+            up = left > low
+            left, at = np.where(up, left - low, left), np.where(up, at + half, at)
+            word = np.where(up, word >> np.uint64(half), word)
+        return w * 64 + at
+
 
 class WaveletMatrix:
-    """rank(c, i): how often symbol c stands before i."""
+    """rank(c, i): how often symbol c stands before i; least(l, r): the smallest symbol from l up to r."""
 
     def __init__(self, symbols: np.ndarray, largest: int) -> None:
         self.levels: list[tuple[int, int, BitRank]] = []
@@ -54,76 +74,158 @@ class WaveletMatrix:
     def rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
         return self._walk(c, i) - self.start[c]
 
+    def least(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        made = np.zeros(len(left), np.int64)
+        for shift, zeros, bits in self.levels:
+            a, b = bits.ones(left), bits.ones(right)
+            one = right - left == b - a
+            made |= one.astype(np.int64) << shift
+            left, right = np.where(one, zeros + a, left - a), np.where(one, zeros + b, right - b)
+        return made
+
 
 class FMIndex:
-    """Over `text`, symbols from 0 (the mark) to `largest`, for patterns of up to `depth` symbols, 33 to 63."""
-
-    def __init__(self, text: np.ndarray, largest: int, depth: int) -> None:
-        n = len(text)
-        rank, half = text.astype(np.int64), None
-        order = np.argsort(rank, kind="stable")
-        step = 1
-        while step <= depth:  # prefix doubling, up to the first power of two above the depth
-            if 2 * step > depth:
-                half = (step, rank)
+    """Over texts, which are runs of words (numbers from 0) of these lengths; for patterns of `window` words, 2 or more."""
+
+    def __init__(self, words: np.ndarray, lengths: np.ndarray, window: int) -> None:
+        self.vocabulary, symbols = np.unique(words, return_inverse=True)
+        self.window = window
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        text = np.zeros(len(words) + len(lengths), np.int64)  # 0 is the mark
+        text[np.arange(len(words)) + owner] = symbols + 1
+        n = self.size = len(text)
+        rank, step = text.copy(), 1
+        while True:  # ranks by the first `step` symbols, doubled
+            shift = min(step, window - step)
             after = np.full(n, -1, np.int64)
-            after[: n - step] = rank[step:] if step < n else 0
-            pair = rank * (n + largest + 2) + after + 1
+            after[: max(0, n - shift)] = rank[shift:]
+            pair = rank * (n + len(self.vocabulary) + 2) + after + 1
             order = np.argsort(pair, kind="stable")
+            new = np.diff(pair[order], prepend=-1) != 0
             rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.diff(pair[order], prepend=pair[order[:1]]) != 0)
-            step *= 2
-        self.suffixes = order
-        self.bwt = WaveletMatrix(text[order - 1], largest)
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=largest + 1))])
-        # Suffixes share `depth` symbols where the two spans of half the doubled length that cover them agree.
-        size, ranks = half
-        shifted = np.full(n, -1, np.int64)
-        far = depth - size
-        shifted[: max(0, n - far)] = ranks[far:]
-        a, b = ranks[order], shifted[order]
-        new = np.ones(n, bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        self.begins = np.flatnonzero(new)
-        self.group = np.cumsum(new) - 1
-        self.bounds = np.append(self.begins, n)
-
-    def prepend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            rank[order] = np.cumsum(new)
+            step += shift
+            if step == window:
+                break
+        # Suffixes are in the order of their first `window` symbols, in which runs of equal ones are the intervals that can be asked for.
+        self.bwt = WaveletMatrix(text[order - 1], len(self.vocabulary))
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(self.vocabulary) + 1))])
+        self.owners = WaveletMatrix(np.repeat(np.arange(len(lengths)), lengths + 1)[order], max(0, len(lengths) - 1))
+        self.begins = BitRank(new)
+
+    def prepend(self, symbol: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of symbol + pattern."""
-        base = self.first[symbol]
-        return base + self.bwt.rank(symbol, lo), base + self.bwt.rank(symbol, hi)
-
-
-def windows_by_fm(words: np.ndarray, lengths: np.ndarray, lo: np.ndarray, hi: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """A passages.Kernel."""
-    vocabulary, symbols = np.unique(words, return_inverse=True)
-    starts = np.cumsum(lengths) - lengths
-    unit = np.repeat(np.arange(len(lengths)), lengths)
-    text = np.zeros(len(words) + len(lengths), np.int64)
-    text[np.arange(len(words)) + unit] = symbols + 1
-    starts = starts + np.arange(len(lengths))
-    owner = np.zeros(len(text), np.int64)
-    owner[np.repeat(starts, lengths + 1) + _counting(lengths + 1)] = np.repeat(np.arange(len(lengths)), lengths + 1)
-    index = FMIndex(text, len(vocabulary), window)
-    holder = owner[index.suffixes]
-    least, most = np.minimum.reduceat(lo[holder], index.begins), np.maximum.reduceat(hi[holder], index.begins)
+        both = self.first[np.concatenate([symbol, symbol])] + self.bwt.rank(np.concatenate([symbol, symbol]), np.concatenate([left, right]))
+        return both[: len(symbol)], both[len(symbol) :]
+
+    def widened(self, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The suffixes that share `window` symbols with the one at left."""
+        group = self.begins.ones(left + 1)
+        end = self.begins.place(group + 1)
+        return self.begins.place(group), np.minimum(end, self.size)
+
+    def stream(self, words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(lane, at, text): the windows of words[start : start + length] of each lane that the texts have, by their first word there, and the first text that has each."""
+        window = self.window
+        symbols = np.searchsorted(self.vocabulary, words)
+        symbols = np.where(self.vocabulary[np.minimum(symbols, len(self.vocabulary) - 1)] == words, symbols + 1, -1)
+        found: list[tuple[np.ndarray, ...]] = []
+        lane, base = np.arange(len(starts)), starts
+        j, end = lengths - 1, lengths.copy()  # the word to prepend; the match ends before `end`
+        left, right = np.zeros(len(starts), np.int64), np.full(len(starts), self.size)
+        # A failed match at `at`: of what begins there, `good` words are in the texts and `bad` are not; `size` words are searched for, 0 while matching.
+        at, good, bad, size = np.full(len(starts), -1), np.zeros_like(j), np.zeros_like(j), np.zeros_like(j)
+        turn = 0
+        while len(lane):
+            turn += 1
+            symbol = symbols[base + j]
+            l, r = self.prepend(np.maximum(symbol, 0), left, right)
+            ok = (symbol > 0) & (l < r)
+            probing = size > 0
+            left, right = np.where(ok, l, left), np.where(ok, r, right)
+            # Matching goes on: a match of more than a window lets its last word go; a whole window is found.
+            on = ok & ~probing
+            long = np.flatnonzero(on & (end - j == window + 1))
+            if len(long):
+                left[long], right[long] = self.widened(left[long])
+                end[long] -= 1
+            hit = np.flatnonzero(on & (end - j == window))
+            if len(hit):
+                found.append((lane[hit], j[hit], left[hit], right[hit]))
+            # Matching fails: at a new place nothing is known but that the match so far is too long.
+            off = ~ok & ~probing
+            good = np.where(off & (at != j), 0, good)
+            bad = np.where(off, end - j, bad)
+            at = np.where(off, j, at)
+            # A search for `size` words from `at` on ends.
+            done, failed = ok & probing & (j == at), ~ok & probing
+            good, bad = np.where(done, size, good), np.where(failed, size, bad)
+            asked = off | done | failed
+            known = asked & (bad - good == 1)
+            end = np.where(known, at + good, end)
+            # The longest match is known: matching goes on with it, which a search that has just found it holds already.
+            resume = known & done
+            restart = known & ~done
+            more = asked & ~known
+            size = np.where(more, np.minimum(np.maximum(1, 2 * good), good + np.maximum(1, (bad - good) // 2)), np.where(known, 0, size))
+            j = np.where(restart, end - 1, np.where(more, at + size - 1, j - 1))
+            j = np.where(resume, at - 1, j)
+            hit = np.flatnonzero(resume & (good == window))
+            if len(hit):
+                found.append((lane[hit], at[hit], left[hit], right[hit]))
+            fresh_start = restart | more
+            left, right = np.where(fresh_start, 0, left), np.where(fresh_start, self.size, right)
+            # No window ends before `window` words; a match that has reached the first word is complete.
+            over = (end < window) | (j < 0)
+            if over.any() and (turn % LOOK_EVERY == 0 or over.all()):
+                live = ~over
+                lane, base, j, end, left, right = lane[live], base[live], j[live], end[live], left[live], right[live]
+                at, good, bad, size = at[live], good[live], bad[live], size[live]
+            elif over.any():
+                # What is through idles on its first word, and finds nothing: its end is too near.
+                j, end = np.where(over, 0, j), np.where(over, 0, end)
+        if not found:
+            return (np.zeros(0, np.int64),) * 3
+        lanes, places, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        return lanes, places, self.owners.least(a, b)
+
+
+def windows_by_fm(words: np.ndarray, lengths: np.ndarray, group: np.ndarray, lo: np.ndarray, hi: np.ndarray, window: int) -> tuple[np.ndarray]:
+    """A passages.Kernel: the least lo of each window."""
     n = lengths - window + 1
-    out = np.cumsum(n) - n
-    low, high = np.empty(int(n.sum()), np.int64), np.empty(int(n.sum()), np.int64)
-    order = np.argsort(-lengths, kind="stable")
-    size = lengths[order]
-    left, right = np.zeros(len(order), np.int64), np.full(len(order), len(text), np.int64)
-    for step in range(int(size[0]) if len(size) else 0):
-        live = int(np.searchsorted(-size, -step, side="left"))  # units longer than `step`
-        at = order[:live]
-        pos = starts[at] + size[:live] - 1 - step
-        left[:live], right[:live] = index.prepend(text[pos], left[:live], right[:live])
-        if step + 1 >= window:
-            g = index.group[left[:live]]
-            left[:live], right[:live] = index.bounds[g], index.bounds[g + 1]
-            to = out[at] + size[:live] - 1 - step
-            low[to], high[to] = least[g], most[g]
-    return low, high
+    least = np.repeat(lo, n)  # what no other segment has
+    begin, out = np.cumsum(lengths) - lengths, np.cumsum(n) - n
+    order = np.lexsort((lo, group))
+    begin, out, n, group, lo, take = begin[order], out[order], n[order], group[order], lo[order], 1
+    while len(n):
+        head = np.flatnonzero(np.diff(group, prepend=-1))
+        many = np.diff(np.append(head, len(group)))
+        nth = np.arange(len(group)) - np.repeat(head, many)
+        shared = np.repeat(many, many) > 1  # a minimiser's only segment has its windows alone
+        text = np.flatnonzero(shared & (nth < take))
+        text = text[np.argsort(lo[text], kind="stable")]
+        streamed = np.flatnonzero(shared & (nth >= (take if take == 1 else 0)))
+        if not len(streamed):
+            break
+        size = n + window - 1
+        body = words[np.repeat(begin[text], size[text]) + _counting(size[text])]
+        lane, at, first = FMIndex(body, size[text], window).stream(words, begin[streamed], size[streamed])
+        own = streamed[lane]
+        least[out[own] + at] = lo[text[first]]
+        # The runs of windows that were not found go on; those of the texts are settled.
+        missed = np.ones(int(n.sum()), bool)
+        flat = np.cumsum(n) - n
+        missed[flat[own] + at] = False
+        missed[np.repeat(nth < take, n) | ~np.repeat(shared, n)] = False
+        left = np.flatnonzero(missed)
+        owner = np.repeat(np.arange(len(n)), n)[left]
+        new = np.ones(len(left), bool)
+        new[1:] = (np.diff(left) != 1) | (np.diff(owner) != 0)
+        s = np.flatnonzero(new)
+        of, off = owner[s], left[s] - flat[owner[s]]
+        begin, out, n, group, lo = begin[of] + off, out[of] + off, np.diff(np.append(s, len(left))), group[of], lo[of]
+        take *= 2
+    return (least,)
 
 
 def _counting(lengths: np.ndarray) -> np.ndarray:
@@ -201,7 +303,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False, **opti
     `window` words keep all. The hash is that of the kept words joined by one space; kept_text keeps their own white space.
     """
     rows = with_key(docs)
-    runs = repeated(rows, windows_by_fm, window, **options)
+    runs = repeated(rows, windows_by_fm, ("least",), window, **options)
     hits = F.filter(F.transform("least", lambda x, j: F.when(x < F.col("did"), F.col("start") + j)), lambda x: x.isNotNull())
     gone = runs.select("did", "tkey", hits.alias("at")).where(F.size("at") > 0).groupBy("did", "tkey").agg(F.flatten(F.collect_list("at")).alias("at"))
     gone = written(gone, "gone")

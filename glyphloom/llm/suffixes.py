@@ -13,8 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, with_key
-from .passages import GRAM, WINDOW, gram_hashes, repeated, sliding_min
+from .common import NO_ID, mixed, with_key
+from .passages import GRAMS, WINDOW, gram_hashes, repeated, sliding_min
 
 
 def _agreeing(contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -28,14 +28,15 @@ def _agreeing(contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.argmin(same, axis=1)
 
 
-def windows_by_suffixes(words: np.ndarray, lengths: np.ndarray, lo: np.ndarray, hi: np.ndarray, window: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """A passages.Kernel."""
+def windows_by_suffixes(words: np.ndarray, lengths: np.ndarray, group: np.ndarray, lo: np.ndarray, hi: np.ndarray, window: int, gram: int = GRAMS[0]) -> tuple[np.ndarray, np.ndarray]:
+    """A passages.Kernel: the least lo and the greatest hi of each window. Words are compared by their numbers; hashes only choose the positions."""
+    words = words.astype(np.uint64) + np.uint64(1)  # 0 stands beyond a unit's ends
     width = window - gram + 1
     starts = np.cumsum(lengths) - lengths
     n = lengths - window + 1
     unit = np.repeat(np.arange(len(n)), n)
     begin = starts[unit] + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    hashes = gram_hashes(words, gram)
+    hashes = gram_hashes(mixed(words), gram)
     least = sliding_min(hashes, width)[begin]
     # The leftmost gram that has the window's least hash: for equal windows the same offset.
     offset = np.full(len(begin), -1)
@@ -94,7 +95,7 @@ def passages(docs: DataFrame, window: int = WINDOW, **options: object) -> DataFr
     positions; n_words counts their words. Documents without a repeated passage have no row, nor do null, empty or shorter texts.
     Passages that only rows of one doc_id share don't count. A null doc_id takes part as the largest and stays null.
     """
-    runs = repeated(with_key(docs), windows_by_suffixes, window, **options)
+    runs = repeated(with_key(docs), windows_by_suffixes, ("least", "most"), window, **options)
     some = runs.where(F.exists(F.arrays_zip("least", "most"), lambda x: x["least"] != x["most"]))
     each = some.groupBy("did", "tkey").agg(F.collect_list(F.struct("start", "least", "most")).alias("runs"))
 
