@@ -1,8 +1,8 @@
 """Operator 4: a counterfactually regularised toxicity classifier.
 
-A text's features are its distinct tokens and their leading bytes, so that inflected forms count too. A logistic regression over the
-features that tell the classes apart is fitted to labelled texts; for each of these that names a group of people, a second text names
-another group instead, and the fit also pays for the squared difference of the two scores before the logistic. A group's name alone
+A text's features are its distinct tokens and their leading bytes, so that inflected forms count too. A logistic regression over all
+features that tell the classes apart is fitted to labelled texts; for each of these that names a group of people, other texts name each
+of the other groups instead, and the fit also pays for the squared differences of their scores before the logistic. A group's name alone
 can then not make a text toxic.
 """
 
@@ -31,8 +31,8 @@ IDENTITIES = (
     ("disabled", "healthy"),
     ("young", "old"),
 )
-#: Labelled documents that a model is fitted to, at most, and features that it has, at most.
-SAMPLE, FEATURES = 12_000, 4096
+#: Labelled documents that a model is fitted to, at most. Its features are as many as they tell, so it is bounded too.
+SAMPLE = 12_000
 #: Leading bytes of a token that are features; 0 is the whole token.
 PREFIXES = (0, 4, 5, 6)
 
@@ -99,15 +99,23 @@ class Model:
 
 
 def swapper(identities: tuple[tuple[str, ...], ...]):
-    """A function of a text: the text with each group's name replaced by the next one of its line, or None if it names none."""
-    to = {name: line[(i + 1) % len(line)] for line in identities for i, name in enumerate(line)}
-    if not to:
-        return lambda text: None
-    names = re.compile(r"(?<![^\W_])(" + "|".join(sorted(map(re.escape, to), key=len, reverse=True)) + r")(?![^\W_])", re.IGNORECASE)
+    """A function of a text: the texts in which each group's name is replaced by the next one of its line, the one after that, and so on; none if it names none."""
+    place = {name: (line, i) for line in identities for i, name in enumerate(line)}
+    if not place:
+        return lambda text: []
+    names = re.compile(r"(?<![^\W_])(" + "|".join(sorted(map(re.escape, place), key=len, reverse=True)) + r")(?![^\W_])", re.IGNORECASE)
 
-    def swap(text: str) -> str | None:
-        made, n = names.subn(lambda m: to[m[0].lower()], text)
-        return made if n else None
+    def swap(text: str) -> list[str]:
+        lines = [place[m.lower()][0] for m in names.findall(text)]
+
+        def other(shift: int):
+            def of(m: re.Match) -> str:
+                line, i = place[m[0].lower()]
+                return line[(i + 1 + shift % max(1, len(line) - 1)) % len(line)]
+
+            return of
+
+        return [names.sub(other(shift), text) for shift in range(max((len(x) for x in lines), default=1) - 1)]
 
     return swap
 
@@ -157,18 +165,22 @@ def logistic(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray
 
 def train(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", identities: tuple[tuple[str, ...], ...] = IDENTITIES, fairness: float = 1.0,
-    ridge: float = 1e-4, sample: int = SAMPLE, features: int = FEATURES, least_z: float = 3.0,
+    ridge: float = 1e-4, sample: int = SAMPLE, least_z: float = 3.0,
 ) -> Model:
-    """A model of docs (doc_id, text) by labels (doc_id, label) that aren't held out: of the `sample` documents with the smallest hashes.
+    """A model of docs (doc_id, text) by labels (doc_id, label) that aren't held out: of the `sample` labelled doc_ids with the smallest hashes.
 
-    Labels other than 0 and 1 and null doc_ids teach nothing. With labels of one kind, or none, the model has no features and scores their share.
+    Labels other than 0 and 1 and null doc_ids teach nothing, nor does a doc_id that is labelled both ways; one that is labelled the same way
+    twice counts once. Of rows that repeat a doc_id the one whose text's hash is smallest teaches. So a model sees `sample` texts at most, each whole, however
+    long. With labels of one kind, or none, the model has no features and scores their share.
     """
     small_batches(docs.sparkSession)
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
-    chosen = known.orderBy(F.xxhash64("doc_id", F.lit(4)), "y").limit(sample)
-    # The sample is at most `sample` rows of two numbers, so it may be broadcast.
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most")
+    chosen = known.select("doc_id", "y").orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id").limit(sample)
+    # The sample is at most `sample` rows of two numbers, so it may be broadcast; rows of one doc_id are combined before the shuffle.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    lessons = written(texts.join(F.broadcast(chosen), "doc_id"), "lessons")
+    one = F.min_by("text", F.xxhash64("text")).alias("text")
+    lessons = written(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(one), "lessons")
     totals = lessons.agg(F.coalesce(F.sum(1 - F.col("y")), F.lit(0)).alias("n0"), F.coalesce(F.sum("y"), F.lit(0)).alias("n1")).first()
     n0, n1 = float(totals["n0"]), float(totals["n1"])
     empty = Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log((n1 + 0.5) / (n0 + 0.5))))
@@ -177,8 +189,8 @@ def train(
     found = lessons.select("text", "y").mapInArrow(_counted, "key long, n0 long, n1 long").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     p = (F.col("n0") + F.col("n1")) / (n0 + n1)
     z = (F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))
-    telling = found.where((F.col("n0") + F.col("n1") >= 3) & (p < 1)).select("key", z.alias("z")).where(F.abs("z") >= least_z).orderBy(F.abs("z").desc(), "key").limit(features)
-    keys = np.sort(np.array([r["key"] for r in telling.collect()], np.int64).view(np.uint64))  # `features` rows at most
+    telling = found.where((F.col("n0") + F.col("n1") >= 3) & (p < 1)).select("key", z.alias("z")).where(F.abs("z") >= least_z).select("key")
+    keys = np.sort(telling.toPandas()["key"].to_numpy(np.int64).view(np.uint64))  # of `sample` texts
     if not len(keys):
         return empty
     model, swap = Model(keys, np.zeros(len(keys)), 0.0), swapper(identities)
@@ -191,19 +203,19 @@ def train(
         for part in parts:
             for a in range(0, len(part), 500):
                 some = part.iloc[a : a + 500]
-                other = [swap(t) for t in some["text"]]
-                again = iter(hits([t for t in other if t is not None]))
-                yield pd.DataFrame({"y": some["y"].to_numpy(), "own": hits(list(some["text"])), "other": [None if t is None else next(again) for t in other]})
+                others = [swap(t) for t in some["text"]]
+                again = iter(hits([t for each in others for t in each]))
+                yield pd.DataFrame({"y": some["y"].to_numpy(), "own": hits(list(some["text"])), "others": [[next(again) for _ in each] for each in others]})
 
-    rows = lessons.select("text", "y").mapInPandas(present, "y int, own array<int>, other array<int>").toPandas()
+    rows = lessons.select("text", "y").mapInPandas(present, "y int, own array<int>, others array<array<int>>").toPandas()  # `sample` rows at most
     own = [np.asarray(x, np.int64) for x in rows["own"]]
-    pairs = [(a, np.asarray(b, np.int64)) for a, b in zip(own, rows["other"], strict=True) if b is not None]
+    pairs = [(a, np.asarray(b, np.int64)) for a, each in zip(own, rows["others"], strict=True) for b in each]
     model.weights, model.bias = logistic(own, rows["y"].to_numpy(float), pairs, len(keys), ridge, fairness)
     return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """doc_id, held_out, score, predicted: one row per row of docs (doc_id, text), from its whole text. Null and empty texts get the score of no feature."""
+    """doc_id, held_out, score, predicted: one row per row of docs (doc_id, text), from its whole text, however long. Null and empty texts get the score of no feature; no rows give no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -61,6 +62,68 @@ def test_discriminant_is_the_gaussian_formula():
     assert np.allclose(model.log_odds(rows), want)
 
 
+def test_fit_shrinks_as_the_docstring_says():
+    rng = np.random.default_rng(1)
+    x = [rng.normal(size=(n, 4)) @ rng.normal(size=(4, 4)) + m for n, m in ((300, 0), (40, 2))]
+    model = quality.fit(np.array([300.0, 40.0]), np.stack([a.sum(0) for a in x]), np.stack([a.T @ a for a in x]), shrink=0.1, floor=0.05)
+    pooled = np.diag(np.vstack(x).var(axis=0))
+    for c, a in enumerate(x):
+        alpha = 0.1 + 4 / (len(a) + 4)
+        cov = np.cov(a.T, bias=True)
+        assert np.allclose(model.factors[c] @ model.factors[c].T, (1 - alpha) * cov + alpha * np.diag(np.diag(cov)) + 0.05 * pooled)
+        assert np.allclose(model.whiteners[c] @ model.factors[c], np.eye(4)) and np.allclose(model.means[c], a.mean(0))
+    assert np.allclose(np.exp(model.log_prior), [300.5 / 341, 40.5 / 341])
+
+
+def plain_statistics(text):
+    """quality.statistics() of one text, word by word."""
+    raw = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    end, letter = b".,;:'\"-?()", lambda b: 65 <= b <= 90
+    sign = lambda b: 0x21 <= b < 0x7F and not chr(b).isalnum()
+    n, p = len(words), 40.0
+    counts = dict.fromkeys(("upper", "symbols", "bang", "digits", "bare", "ended", "stutter", "again", "again2"), 0)
+    counts["symbols"] = sum(sign(b) and b not in end for b in raw)
+    counts["bang"], counts["digits"] = raw.count(b"!"), sum(48 <= b < 58 for b in raw)
+    low = [w.lower() for w in words]
+    for i, w in enumerate(words):
+        last = w[-2] if sign(w[-1]) and len(w) > 1 else w[-1]
+        counts["upper"] += letter(w[min(1, len(w) - 1)]) and letter(last)
+        counts["bare"] += all(sign(b) for b in w)
+        counts["ended"] += sign(w[-1])
+        counts["stutter"] += i > 0 and low[i] == low[i - 1]
+    counts["again"] = n - len(set(low))
+    counts["again2"] = max(0, n - 1) - len(set(zip(low, low[1:])))
+    share = lambda x, of, usual: math.log((x + usual * p) / (of + p))
+    c = counts
+    return [
+        share(c["upper"], n, 0.02), share(c["symbols"], n, 0.02), share(c["bang"], n, 0.02), share(c["digits"], n, 0.05), share(c["bare"], n, 0.02), share(c["ended"], n, 0.12),
+        math.log((sum(map(len, words)) + 5.5 * p) / (n + p)), share(c["stutter"], n, 0.01), share(c["again"], n * math.log(n + 2) / 8, 0.2), share(c["again2"], n, 0.02),
+    ]
+
+
+def test_statistics_and_scores_against_brute_force(spark):
+    """The whole of op1 by plain loops: statistics of all documents, class moments, shrunk covariances, densities."""
+    d = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    rows = {i: np.array(plain_statistics(t)) for i, t in docs.items()}
+    odd = ["A b c. d!!", "", None, "x x x x | |", "AB12 é ###", "NO WAY (really) it's 10,000 - ok?", "! !", "Über ÜBER"]
+    assert np.allclose(quality.statistics(*text_buffers(pa.array(odd))), [plain_statistics(t) for t in odd])
+    taught = {c: np.array([rows[i] for i, y in labels.items() if y == c and not held(i)]) for c in (0, 1)}
+    pooled = np.diag(np.vstack(list(taught.values())).var(axis=0))
+    total = sum(map(len, taught.values()))
+    density = {}
+    for c, a in taught.items():
+        alpha, cov = min(1, 0.1 + 10 / (len(a) + 10)), np.cov(a.T, bias=True)
+        cov = (1 - alpha) * cov + alpha * np.diag(np.diag(cov)) + 0.05 * pooled
+        inverse, prior = np.linalg.inv(cov), math.log((len(a) + 0.5) / (total + 1)) - 0.5 * np.linalg.slogdet(cov)[1]
+        density[c] = {i: prior - 0.5 * (x - a.mean(0)) @ inverse @ (x - a.mean(0)) for i, x in rows.items()}
+    want = {i: 1 / (1 + math.exp(min(500, max(-500, density[0][i] - density[1][i])))) for i in rows}
+    got = {r.doc_id: r.score for r in QUERIES["op1_quality_qda"](spark, d).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-6, abs_tol=1e-9) for i in want)
+
+
 def test_statistics_are_those_of_each_text_alone():
     texts = ["A b c. d!!", "", None, "x x x x | |", "AB12 é ###", "one two one two"]
     together = quality.statistics(*text_buffers(pa.array(texts)))
@@ -92,7 +155,70 @@ def test_filter_keeps_what_the_query_predicts(spark):
 
 def test_identity_swap():
     swap = toxicity.swapper((("women", "men"), ("gay", "straight")))
-    assert swap("Women and gay, men!") == "men and straight, women!" and swap("menu gayety") is None
+    assert swap("Women and gay, men!") == ["men and straight, women!"] and swap("menu gayety") == []
+    swap = toxicity.swapper((("a1", "b1", "c1", "d1"), ("x1", "y1")))
+    assert swap("B1 or x1") == ["c1 or y1", "d1 or y1", "a1 or y1"] and toxicity.swapper(())("any") == []
+
+
+def plain_features(text):
+    """The distinct features of a text: lower-case tokens, and their leading bytes."""
+    low = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode())
+    tokens = re.findall(rb"[0-9A-Za-z\x80-\xff]+", low)
+    return {(k, t[:k] if k else t) for t in tokens for k in toxicity.PREFIXES if len(t) >= k}
+
+
+def test_toxicity_model_against_brute_force(spark):
+    """The whole of op4 but for the step rule: features, their choice, and that the weights minimise the objective as written out with dense matrices."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    taught = [(text[r.doc_id], r.toxic) for r in labels.collect() if not held(r.doc_id)]
+    y = np.array([t for _, t in taught], float)
+    has = [plain_features(t) for t, _ in taught]
+    n1, n0 = y.sum(), len(y) - y.sum()
+    counts = {f: (sum(1 for h, t in zip(has, y) if f in h and not t), sum(1 for h, t in zip(has, y) if f in h and t)) for f in set().union(*has)}
+    chosen = []
+    for f, (a, b) in counts.items():
+        p = (a + b) / len(y)
+        if a + b >= 3 and p < 1 and abs((b / n1 - a / n0) / math.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))) >= 3:
+            chosen.append(f)
+    assert len(model.keys) == len(chosen)
+    key = {f: next(k for (_, k), size in zip(toxicity.tokens(*text_buffers(pa.array([f[1]], pa.binary()))), toxicity.PREFIXES) if size == f[0])[0] for f in chosen}
+    assert sorted(key.values()) == model.keys.tolist()
+    place = {f: int(np.searchsorted(model.keys, key[f])) for f in chosen}
+
+    def row(t):
+        made = np.zeros(len(chosen) + 1)
+        made[[place[f] for f in plain_features(t) if f in place]] = 1
+        made[-1] = 1
+        return made
+
+    swap = toxicity.swapper(toxicity.IDENTITIES)
+    x = np.array([row(t) for t, _ in taught])
+    change = np.array([row(t) - row(o) for t, _ in taught for o in swap(t)]).reshape(-1, len(chosen) + 1)
+    share = np.where(y > 0, 0.5 / n1, 0.5 / n0)
+
+    def objective(w):
+        z = x @ w
+        return (share * (np.logaddexp(0, z) - y * z)).sum() + 0.5e-4 * (w[:-1] ** 2).sum() + (change @ w @ (change @ w)) / max(1, len(change))
+
+    w = np.append(model.weights, model.bias)
+    z = x @ w
+    slope = x.T @ (share * (1 / (1 + np.exp(-z)) - y)) + np.append(1e-4 * w[:-1], 0) + 2 / max(1, len(change)) * change.T @ (change @ w)
+    rng = np.random.default_rng(0)
+    assert np.abs(slope).max() < 1e-3 and all(objective(w) < objective(w + 0.05 * rng.normal(size=len(w))) for _ in range(20))  # it is convex
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert all(math.isclose(got[i], 1 / (1 + math.exp(-float(row(t) @ w))), rel_tol=1e-9) for i, t in text.items())
+
+
+def test_labels_and_rows_that_repeat_teach_once(spark):
+    rows = [(i, f"word{i % 7} " + ("awful scum" if i % 3 == 0 else "fine"), int(i % 3 == 0)) for i in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    docs, labels = table.drop("toxic"), table.drop("text")
+    one = toxicity.train(docs, labels)
+    twice = toxicity.train(docs.unionAll(docs).unionAll(docs.where("doc_id = 3")), labels.unionAll(labels))
+    assert one.keys.tolist() == twice.keys.tolist() and np.allclose(one.weights, twice.weights)
 
 
 def test_counterfactual_penalty_frees_neutral_mentions(spark):
