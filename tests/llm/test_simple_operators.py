@@ -172,15 +172,73 @@ def test_topk_odd_rows(spark):
 # ------------------------------------------------------------------ media
 
 
+def slow_pcm(payload, tag, to=4000):
+    """The stored sound, sample by sample."""
+    if tag == media.IMA_ADPCM:
+        samples = [x for a in range(0, len(payload), 64) for x in slow_adpcm(payload[a : a + 64])]
+    else:
+        samples = [slow_law(b, tag) for b in payload]
+    out = []
+    for n in range(len(samples) * to // 8000):
+        i, rest = divmod(n * 8000, to)
+        out.append((samples[i] * (to - rest) + samples[min(i + 1, len(samples) - 1)] * rest) // to)
+    return out
+
+
+def slow_law(byte, tag):
+    """G.711's expansion of one byte, bit by bit."""
+    if tag == media.MU_LAW:
+        byte = ~byte & 255
+        size = ((2 * (byte & 15) + 33) * 2 ** (byte >> 4 & 7) - 33) * 4
+        return -size if byte >= 128 else size
+    byte ^= 0x55
+    low, power = byte & 15, byte >> 4 & 7
+    size = (2 * low + 1 if power == 0 else (2 * low + 33) * 2 ** (power - 1)) * 8
+    return size if byte >= 128 else -size
+
+
 def test_media_round_trip(spark):
     docs = texts(spark)
+    kinds = Counter()
     for r in QUERIES["op9_telephony_media"](spark, SF).collect():
         body = (docs[r.doc_id].text or "").encode()
         padded = body + b"\0" * (max(64, -(-len(body) // 64) * 64) - len(body))
-        file = media.wav(padded)
-        assert (r.n_bytes, r.payload_bytes, r.media_bytes) == (len(body), len(padded), len(file))
-        assert r.payload_sha256 == hashlib.sha256(padded).hexdigest() and r.media_sha256 == hashlib.sha256(file).hexdigest()
-        assert r.tail_crc32 == zlib.crc32(padded[-64:])
+        tag = (media.MU_LAW, media.A_LAW, media.IMA_ADPCM)[zlib.crc32(body) % 3]
+        kinds[tag] += 1
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(body), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        # The file, field by field.
+        fmt = struct.pack("<HHIIHHHH", tag, 1, 8000, 8000 * 64 // 121, 64, 4, 2, 121) if tag == 17 else struct.pack("<HHIIHHH", tag, 1, 8000, 8000, 1, 8, 0)
+        count = len(padded) // 64 * 121 if tag == 17 else len(padded)
+        chunks = b"fmt " + struct.pack("<I", len(fmt)) + fmt + b"fact" + struct.pack("<II", 4, count) + b"data" + struct.pack("<I", len(padded)) + padded
+        file = b"RIFF" + struct.pack("<I", 4 + len(chunks)) + b"WAVE" + chunks
+        assert (r.media_bytes, r.media_sha256) == (len(file), hashlib.sha256(file).hexdigest())
+        if len(padded) < 6000:
+            sound = slow_pcm(padded, tag)
+            turns = sum((a < 0) != (b < 0) for a, b in zip(sound, sound[1:]))
+            crc = zlib.crc32(struct.pack(f"<{len(sound)}h", *sound))
+            name = {6: "a-law", 7: "mu-law", 17: "ima-adpcm"}[tag]
+            assert r.feature == f"{name};samples={len(sound)},peak={max(map(abs, sound))},energy={sum(x * x for x in sound)},turns={turns},crc32={crc:08x}"
+    assert len(kinds) == 3
+
+
+def test_encoders():
+    rng = np.random.default_rng(4)
+    for tag in (media.MU_LAW, media.A_LAW):
+        table = media.TABLES[tag]
+        assert table.tolist() == [slow_law(b, tag) for b in range(256)]
+        assert table[media.law(table, tag)].tolist() == table.tolist()
+        x = rng.integers(-32768, 32768, 2000).astype(np.int16)
+        nearest = [min(abs(int(v) - int(t)) for t in table) for v in x]
+        assert np.abs(table[media.law(x, tag)].astype(int) - x).tolist() == nearest
+    t = np.arange(3000)
+    sound = (9000 * np.sin(t / 11) + 3000 * np.sin(t / 3.1)).astype(np.int16)
+    coded = media.encode(sound, media.IMA_ADPCM)
+    assert len(coded) == 25 * 64 and [x for a in range(0, len(coded), 64) for x in slow_adpcm(coded[a : a + 64])] == media.decode(np.frombuffer(coded, np.uint8), media.IMA_ADPCM).tolist()
+    heard = media.decode(np.frombuffer(coded, np.uint8), media.IMA_ADPCM)[: len(sound)].astype(float)
+    assert ((heard - sound) ** 2).mean() < 0.002 * (sound.astype(float) ** 2).mean()
+    for tag in media.CODECS:
+        made = media.sounds([media.wav(media.encode(sound, tag), tag)], 8000)[0]
+        assert np.frombuffer(made, "<i2")[: len(sound)].tolist() == media.decode(np.frombuffer(media.encode(sound, tag), np.uint8), tag)[: len(sound)].tolist()
 
 
 def slow_adpcm(block):
@@ -204,7 +262,10 @@ def test_decoders():
     assert media.adpcm(blocks).tolist() == [slow_adpcm(b.tobytes()) for b in blocks]
     mu, a = media.TABLES[media.MU_LAW], media.TABLES[media.A_LAW]
     assert (mu[0], mu[127], mu[128], mu[255]) == (-32124, 0, 32124, 0) and (a[0x2A], a[0xAA], a[0x55], a[0xD5]) == (-32256, 32256, -8, 8)
-    assert media.resample(np.array([0, 10, -5])).tolist() == [0, 5, 10, 2, -5, -5] and media.resample(np.array([0, 10, 20, 30]), 16000, 8000).tolist() == [0, 20]
+    whole = lambda x, *rates: media.resample(np.array(x), np.array([0, len(x)]), *rates)[0].tolist()
+    assert whole([0, 10, -5], 8000, 16000) == [0, 5, 10, 2, -5, -5] and whole([0, 10, 20, 30], 16000, 8000) == [0, 20]
+    two, cuts = media.resample(np.array([0, 10, -5, 7, 9]), np.array([0, 3, 3, 5]), 8000, 16000)
+    assert two.tolist() == [0, 5, 10, 2, -5, -5, 7, 8, 9, 9] and cuts.tolist() == [0, 6, 6, 10]
     for tag in (media.MU_LAW, media.A_LAW, media.IMA_ADPCM):
         assert media.unwav(media.wav(blocks.tobytes(), tag)) == (tag, 8000, blocks.tobytes())
 
@@ -215,5 +276,8 @@ def test_media_odd_rows(spark):
     assert media.digest(docs).count() == 5 and rows[1, 0].payload_bytes == 64 and rows[3, 64].payload_bytes == 64 and rows[None, 200000].payload_bytes == 200000
     assert rows[1, 0].feature == rows[2, 0].feature
     sound = media.with_pcm(media.stored(docs)).collect()
-    assert all(len(r.pcm) == 4 * max(64, -(-r.n_bytes // 64) * 64) for r in sound)
+    for r in sound:
+        tag, _, payload = media.unwav(r.media)
+        assert len(r.pcm) == (len(payload) // 64 * 121 if tag == media.IMA_ADPCM else len(payload)) // 2 * 2
+    assert media.with_pcm(spark.createDataFrame([(None,), (bytearray(media.wav(b"\0" * 64)),)], "media binary")).where("pcm IS NULL").count() == 1
     assert media.digest(docs.limit(0)).count() == 0
