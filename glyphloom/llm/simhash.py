@@ -28,6 +28,8 @@ from .xxh import xxh64
 BLOCK, TILE = 1024, 4096
 #: Queries compared with a block together.
 QUERIES_AT_ONCE = 64
+#: Hashes whose bits are counted together.
+HASHES_AT_ONCE = 1 << 16
 #: Planes between two looks at which words are still needed.
 LOOK_EVERY = 8
 
@@ -60,38 +62,48 @@ def shingles(buf: np.ndarray, offs: np.ndarray, n: int = 3) -> tuple[np.ndarray,
     return small, at[which], at[last] + length[last], np.concatenate([[0], np.cumsum(per)])
 
 
-def fingerprints(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """The uint64 fingerprint of each document."""
-    small, starts, ends, first = shingles(buf, offs)
-    out = np.zeros(len(offs) - 1, np.uint64)
+def majority(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The uint64 of each document whose bits are set in over half of hashes[first[d]:first[d + 1]]; zero where there are none."""
     counts = np.diff(first)
+    ones = np.zeros((len(counts), 64), np.int64)
     some = np.flatnonzero(counts)
-    if len(some):
-        bits = np.unpackbits(xxh64(small, starts, ends).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, first[some], axis=0, dtype=np.int64)
-        out[some] = np.packbits(ones * 2 > counts[some, None], axis=1, bitorder="little").copy().view("<u8")[:, 0]
-    return out
+    begins = first[:-1][some]
+    for at in range(0, len(hashes), HASHES_AT_ONCE):
+        part = hashes[at : at + HASHES_AT_ONCE]
+        bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        a = int(np.searchsorted(begins, at, side="right")) - 1
+        b = int(np.searchsorted(begins, at + len(part), side="left"))
+        ones[some[a:b]] += np.add.reduceat(bits, np.maximum(begins[a:b] - at, 0), axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > counts[:, None], axis=1, bitorder="little").copy().view("<u8")[:, 0]
+
+
+def fingerprints(buf: np.ndarray, offs: np.ndarray, words: int = 3) -> np.ndarray:
+    """The uint64 fingerprint of each document."""
+    small, starts, ends, first = shingles(buf, offs, words)
+    return majority(xxh64(small, starts, ends), first)
 
 
 def planes(prints: np.ndarray) -> np.ndarray:
-    """64 rows, row j the bits j of all fingerprints, 64 of them a word; the last word is filled with copies of the last one."""
+    """A row for each bit of the fingerprints, of one uint64 or a row of several: row j the bits j of all, 64 of them a word; the last word is filled with copies of the last one."""
+    prints = prints.reshape(len(prints), -1)
     words = pieces_for(len(prints), 64)
-    full = np.concatenate([prints, np.repeat(prints[-1:], words * 64 - len(prints))])
-    bits = np.unpackbits(full.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    full = np.concatenate([prints, np.repeat(prints[-1:], words * 64 - len(prints), axis=0)])
+    bits = np.unpackbits(np.ascontiguousarray(full.astype("<u8")).view(np.uint8).reshape(len(full), -1), axis=1, bitorder="little")
     return np.packbits(bits.T, axis=1, bitorder="little").copy().view("<u8")
 
 
 def within(queries: np.ndarray, block: np.ndarray, radius: int = 3) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(i, j) of all queries[i] and block[j] that differ in `radius` bits or fewer; a pair may come with j in the filling only as the true last j."""
     sliced, digits = planes(block), max(1, int(radius).bit_length())
+    queries = queries.reshape(len(queries), -1)
     full, none = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0)
     for at in range(0, len(queries), QUERIES_AT_ONCE):
         q = queries[at : at + QUERIES_AT_ONCE]
         row, col = (x.ravel() for x in np.indices((len(q), sliced.shape[1])))
         count = [np.zeros(len(row), np.uint64) for _ in range(digits)]  # the counters, a digit a word
         over = np.zeros(len(row), np.uint64)
-        for j in range(64):
-            flip = np.where((q >> np.uint64(j)) & np.uint64(1), full, none)
+        for j in range(len(sliced)):
+            flip = np.where((q[:, j >> 6] >> np.uint64(j & 63)) & np.uint64(1), full, none)
             carry = sliced[j][col] ^ flip[row]
             for d in range(digits):
                 count[d], carry = count[d] ^ carry, count[d] & carry
@@ -131,22 +143,24 @@ def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.
     shift = 0 if right is None else len(left)
     parent = np.arange(len(nodes))
     for i, j in within(left, block, radius):
-        a, b = i, j + shift
-        apart = parent[a] != parent[b]  # in a ball of near copies nearly all pairs are linked already
-        a, b = a[apart], b[apart]
-        while True:  # hook the larger root to the smaller one, then halve the paths, until all pairs agree
-            ra, rb = parent[a], parent[b]
-            apart = ra != rb
-            if not apart.any():
-                break
-            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-            np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
-            while (nxt := parent[parent]).tobytes() != parent.tobytes():
-                parent = nxt
+        parent = joined(parent, i, j + shift)
     linked = np.flatnonzero(parent != np.arange(len(nodes)))
     return nodes[linked], nodes[parent[linked]]
 
 
+def joined(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The root of each node after links a, b: the larger root hooks to the smaller one, then paths are halved, until all links agree."""
+    while True:
+        ra, rb = parent[a], parent[b]
+        apart = ra != rb  # in a ball of near copies nearly all pairs are linked already
+        if not apart.any():
+            return parent
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
+        while (nxt := parent[parent]).tobytes() != parent.tobytes():
+            parent = nxt
+
+
 def _links_of(radius: int):
     def run(part: pd.DataFrame) -> pd.DataFrame:
         i, k = int(part["i"].iloc[0]), int(part["k"].iloc[0])
@@ -199,7 +213,7 @@ def classes(prints: DataFrame, radius: int = 3, named_by: str = "component_id")
 def near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
     """doc_id, fingerprint, component_id: one row per row of docs (doc_id, text).
 
-    Null, empty and white texts have fingerprint zero and link like any other. Equal texts, of whatever number, share one fingerprint,
+    Null, empty and white texts have fingerprint zero and link like any other; very long ones are read whole, their shingles in parts. Equal texts, of whatever number, share one fingerprint,
     which is compared once. Repeated rows stay. A null doc_id counts as larger than all others and is null as a component_id only where
     the whole component has no doc_id. No rows give no rows. Other columns of docs are ignored.
     """
@@ -208,9 +222,10 @@ def near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def kept(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """The rows of docs that their components keep, with docs' columns: of each component the one with the smallest doc_id.
+    """The rows of docs that their components at this radius keep, with docs' columns: of each component the one with the smallest doc_id.
 
     Where several rows have that doc_id, the one whose text's hash is smallest stays, once. A null doc_id counts as larger than all others.
+    nearsets.kept() does so at a similarity of the texts.
     """
     prints = written(fingerprint(docs), "fingerprints")
     return firsts(docs, prints.join(classes(prints, radius, "root"), "fp"))

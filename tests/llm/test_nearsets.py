@@ -3,7 +3,11 @@ import re
 
 import pytest
 
+import numpy as np
+import pyarrow as pa
+
 from glyphloom.llm import nearsets, simhash
+from glyphloom.llm.common import text_buffers
 
 SF = "/root/testdata/sf0.01"
 
@@ -42,6 +46,49 @@ def test_near_copies_against_brute_force(spark):
     assert {56, 467} - want and len(want) < simhash.kept(docs).count()
 
 
+def test_tiles_of_a_block_against_brute_force():
+    """Texts around one passage: every pair that is similar enough is connected by links of some pair of tiles, and no other."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(300):
+        words = list(base)
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(60)] = f"x{rng.randrange(40)}"
+        texts.append(" ".join(words[: rng.randint(40, 60)]))
+    texts = sorted(set(texts))
+    hashes, first = nearsets.sets(*text_buffers(pa.array(texts)))
+    found = [brute_set(t) for t in texts]
+    assert [b - a for a, b in zip(first, first[1:])] == [len(x) for x in found]
+    sliced, keys = nearsets.prints(hashes, first), np.zeros((len(texts), nearsets.BANDS), np.int64)
+    tile, links = np.array([i % 3 for i in range(len(texts))]), []
+    for i in range(3):
+        for k in range(i, 3):
+            a, b = nearsets.compared(np.arange(len(texts)), tile, sliced, keys, np.arange(len(texts)), hashes.view(np.int64), first, 0, i, k)
+            links += zip(a.tolist(), b.tolist())
+    similar = lambda x, y: 9 * len(x & y) >= 4 * (len(x) + len(y))
+    assert links and all(similar(found[a], found[b]) for a, b in links)
+
+    def parts(pairs):
+        parent = list(range(len(texts)))
+        for a, b in pairs:
+            while parent[a] != a:
+                a = parent[a]
+            while parent[b] != b:
+                b = parent[b]
+            parent[max(a, b)] = min(a, b)
+        out = []
+        for i in range(len(texts)):
+            while parent[i] != i:
+                i = parent[i]
+            out.append(i)
+        return out
+
+    assert parts(links) == parts([(i, j) for i in range(len(texts)) for j in range(i) if similar(found[i], found[j])])
+    bits = np.bitwise_count(sliced[:, None] ^ sliced[None, :]).sum(axis=2)
+    assert max(int(bits[i, j]) for i in range(len(texts)) for j in range(i) if similar(found[i], found[j])) <= nearsets.RADIUS - 10
+
+
 def test_changed_words_and_the_stage(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(2)

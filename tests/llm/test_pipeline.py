@@ -4,9 +4,9 @@ import pytest
 
 from glyphloom.llm import mixing
 from glyphloom.llm.queries import QUERIES
+from tests.llm.test_nearsets import brute_kept
 from tests.llm.test_packing import check_pieces
 from tests.llm.test_passages import W, brute
-from tests.llm.test_simhash import brute_components, brute_print
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 SF = "/root/testdata/sf0.001"
@@ -17,7 +17,7 @@ def expected_stages(spark):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     good = {r.doc_id for r in QUERIES["op1_quality_qda"](spark, SF).collect() if r.score >= 0.3}
     first = {d: r.text for d, r in docs.items() if d in good}
-    keep = {c for _, _, c in brute_components([(d, brute_print(t)) for d, t in first.items()])}
+    keep = brute_kept(list(first.items()))
     second = {d: t for d, t in first.items() if d in keep}
     rows = sorted(second.items())
     third = {}

@@ -62,6 +62,25 @@ def test_bit_sliced_comparison_finds_all_pairs():
         assert got == set(zip(i.tolist(), j.tolist()))
 
 
+def test_wide_fingerprints_and_hashes_in_parts(monkeypatch):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, (150, 2), dtype=np.uint64)
+    near = base.copy()
+    for _ in range(20):
+        near[np.arange(150), rng.integers(0, 2, 150)] ^= np.uint64(1) << rng.integers(0, 64, 150, dtype=np.uint64)
+    for radius in (3, 15, 52):
+        got = {(int(a), int(b)) for i, j in simhash.within(base, near, radius) for a, b in zip(i, j)}
+        i, j = np.nonzero(np.bitwise_count(base[:, None] ^ near[None, :]).sum(axis=2) <= radius)
+        assert got == set(zip(i.tolist(), j.tolist()))
+    hashes = rng.integers(0, 2**63, 5000, dtype=np.uint64)
+    first = np.array([0, 0, 1, 700, 700, 4000, 5000, 5000])
+    want = simhash.majority(hashes, first)
+    for size in (1, 37, 4096):
+        monkeypatch.setattr(simhash, "HASHES_AT_ONCE", size)
+        assert simhash.majority(hashes, first).tolist() == want.tolist()
+    assert want[0] == 0 and want[1] == hashes[0] and want[6] == 0
+
+
 def test_components_of_a_chain_a_star_and_a_clique(spark):
     chain = [(i, i + 1) for i in range(1, 300)]
     star = [(1000, 1000 + i) for i in range(1, 200)]
