@@ -2,14 +2,13 @@
 
 Of each minimiser's segments in a shard, the first ones by doc_id are the text of an index and all others are streamed through it. The
 text is over the alphabet of its words, with a mark after each segment; of it remain the Burrows-Wheeler transform as a wavelet matrix over
-packed bits with popcount ranks, a second wavelet matrix that says to which segment each suffix belongs, and a bit for each suffix that
-does not share `window` words with the one before it. The suffix array itself is not kept.
-
-A segment is streamed from right to left: each step prepends a word by backward search. A full window is an interval of suffixes above the
-threshold, of whose segments the second matrix gives the first; from there the interval widens to the suffixes that share `window` words, which lets
-the last word go. Where no suffix goes on, shorter pieces are searched for until the longest match that still goes on is known: that is the
-matching statistic, and the search resumes with it. What a round does not find, it leaves to the next one, whose index has twice as many segments
-of each minimiser.
+packed bits with popcount ranks, a second wavelet matrix that says to which segment each suffix belongs, and how many words, up to `window`,
+each suffix shares with the one before it: a byte, and bits by length to find the interval around it. The suffix array itself is not kept.
+
+A segment is streamed from right to left: each step prepends a word by backward search, or, where no suffix goes on, widens the interval to
+the suffixes that share the next shorter run. So the match at each word, its matching statistic, is known after two steps a word at most. A
+match of `window` words is an interval above the threshold, of whose segments the second matrix gives the first. What a round does not find, it
+leaves to the next one, whose index has more segments of each minimiser.
 """
 
 from __future__ import annotations
@@ -25,8 +24,10 @@ from pyspark.sql import functions as F
 from .common import NO_ID, fresh, own_columns, slices, text_buffers, with_key, word_bounds, written
 from .passages import WINDOW, Sieve, repeated
 
-#: Steps of a stream between two looks at which segments are through.
-LOOK_EVERY = 16
+#: Windows of a lane: longer segments are streamed in parts side by side.
+LANE = 256
+#: How many times as many segments of a minimiser the next index has.
+MORE = 4
 
 
 class BitRank:
@@ -107,83 +108,69 @@ class FMIndex:
             step += shift
             if step == window:
                 break
-        # Suffixes are in the order of their first `window` symbols, in which runs of equal ones are the intervals that can be asked for.
         self.bwt = WaveletMatrix(text[order - 1], len(self.vocabulary))
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(self.vocabulary) + 1))])
         self.owners = WaveletMatrix(np.repeat(np.arange(len(lengths)), lengths + 1)[order], max(0, len(lengths) - 1))
-        self.begins = BitRank(new)
+        # shared[i]: how many symbols suffix i has in common with the one before it, `window` at most. Level p of begins has a bit where that is
+        # below p: the suffixes that share p symbols stand between two of its bits.
+        padded = np.concatenate([text, np.zeros(window, np.int64)])
+        self.shared, self.level = np.zeros(n + 1, np.uint8), -(-n // 64) * 64
+        bits, alike = np.zeros((window + 1, self.level), bool), np.arange(1, n)
+        bits[:, 0] = True
+        for depth in range(window):
+            same = padded[order[alike] + depth] == padded[order[alike - 1] + depth]
+            bits[depth + 1, alike[~same]] = True
+            alike = alike[same]
+            self.shared[alike] = depth + 1
+        bits[1:] = np.logical_or.accumulate(bits[1:], axis=0)
+        self.begins = BitRank(bits.ravel())
 
     def prepend(self, symbol: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of symbol + pattern."""
         both = self.first[np.concatenate([symbol, symbol])] + self.bwt.rank(np.concatenate([symbol, symbol]), np.concatenate([left, right]))
         return both[: len(symbol)], both[len(symbol) :]
 
-    def widened(self, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The suffixes that share `window` symbols with the one at left."""
-        group = self.begins.ones(left + 1)
-        end = self.begins.place(group + 1)
-        return self.begins.place(group), np.minimum(end, self.size)
+    def widened(self, left: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of the suffixes that share so many symbols with the ones at left."""
+        base = length * self.level
+        group = self.begins.ones(base + left + 1)
+        return self.begins.place(group) - base, np.minimum(self.begins.place(group + 1) - base, self.size)
 
     def stream(self, words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(lane, at, text): the windows of words[start : start + length] of each lane that the texts have, by their first word there, and the first text that has each."""
+        """(lane, at, text): the windows of words[start : start + length] of each lane that the texts have, by their first word there, and the first text that has each.
+
+        From right to left, `right - left` suffixes begin with the words from j + 1 up to `end`, and no longer run up to there is anywhere in the texts but by prepending.
+        """
         window = self.window
         symbols = np.searchsorted(self.vocabulary, words)
-        symbols = np.where(self.vocabulary[np.minimum(symbols, len(self.vocabulary) - 1)] == words, symbols + 1, -1)
+        symbols = np.where(self.vocabulary[np.minimum(symbols, len(self.vocabulary) - 1)] == words, symbols + 1, 0)
         found: list[tuple[np.ndarray, ...]] = []
-        lane, base = np.arange(len(starts)), starts
-        j, end = lengths - 1, lengths.copy()  # the word to prepend; the match ends before `end`
+        lane, base, j, end = np.arange(len(starts)), starts, lengths - 1, lengths.copy()
         left, right = np.zeros(len(starts), np.int64), np.full(len(starts), self.size)
-        # A failed match at `at`: of what begins there, `good` words are in the texts and `bad` are not; `size` words are searched for, 0 while matching.
-        at, good, bad, size = np.full(len(starts), -1), np.zeros_like(j), np.zeros_like(j), np.zeros_like(j)
-        turn = 0
-        while len(lane):
-            turn += 1
+        while True:
+            live = (end >= window) & (j >= 0)  # no window ends before `window` words
+            if not live.all():
+                lane, base, j, end, left, right = lane[live], base[live], j[live], end[live], left[live], right[live]
+            if not len(lane):
+                break
             symbol = symbols[base + j]
-            l, r = self.prepend(np.maximum(symbol, 0), left, right)
-            ok = (symbol > 0) & (l < r)
-            probing = size > 0
-            left, right = np.where(ok, l, left), np.where(ok, r, right)
-            # Matching goes on: a match of more than a window lets its last word go; a whole window is found.
-            on = ok & ~probing
-            long = np.flatnonzero(on & (end - j == window + 1))
-            if len(long):
-                left[long], right[long] = self.widened(left[long])
-                end[long] -= 1
+            a, b = self.prepend(symbol, left, right)
+            on = (symbol > 0) & (a < b)
+            # What does not go on lets its last words go until one suffix more shares the rest; a word that the texts don't have ends all matches.
+            length = np.where(symbol > 0, np.maximum(self.shared[left], self.shared[right]), 0).astype(np.int64)
+            unknown = symbol == 0
+            end = np.where(on, end, np.where(unknown, j, j + 1 + length))
+            left, right = np.where(on, a, left), np.where(on, b, right)
+            long = on & (end - j > window)
+            length = np.where(long, window, length)
+            wide = np.flatnonzero(~on | long)
+            if len(wide):
+                left[wide], right[wide] = self.widened(left[wide], length[wide])
+            end = end - long
             hit = np.flatnonzero(on & (end - j == window))
             if len(hit):
                 found.append((lane[hit], j[hit], left[hit], right[hit]))
-            # Matching fails: at a new place nothing is known but that the match so far is too long.
-            off = ~ok & ~probing
-            good = np.where(off & (at != j), 0, good)
-            bad = np.where(off, end - j, bad)
-            at = np.where(off, j, at)
-            # A search for `size` words from `at` on ends.
-            done, failed = ok & probing & (j == at), ~ok & probing
-            good, bad = np.where(done, size, good), np.where(failed, size, bad)
-            asked = off | done | failed
-            known = asked & (bad - good == 1)
-            end = np.where(known, at + good, end)
-            # The longest match is known: matching goes on with it, which a search that has just found it holds already.
-            resume = known & done
-            restart = known & ~done
-            more = asked & ~known
-            size = np.where(more, np.minimum(np.maximum(1, 2 * good), good + np.maximum(1, (bad - good) // 2)), np.where(known, 0, size))
-            j = np.where(restart, end - 1, np.where(more, at + size - 1, j - 1))
-            j = np.where(resume, at - 1, j)
-            hit = np.flatnonzero(resume & (good == window))
-            if len(hit):
-                found.append((lane[hit], at[hit], left[hit], right[hit]))
-            fresh_start = restart | more
-            left, right = np.where(fresh_start, 0, left), np.where(fresh_start, self.size, right)
-            # No window ends before `window` words; a match that has reached the first word is complete.
-            over = (end < window) | (j < 0)
-            if over.any() and (turn % LOOK_EVERY == 0 or over.all()):
-                live = ~over
-                lane, base, j, end, left, right = lane[live], base[live], j[live], end[live], left[live], right[live]
-                at, good, bad, size = at[live], good[live], bad[live], size[live]
-            elif over.any():
-                # What is through idles on its first word, and finds nothing: its end is too near.
-                j, end = np.where(over, 0, j), np.where(over, 0, end)
+            j = j - (on | unknown)
         if not found:
             return (np.zeros(0, np.int64),) * 3
         lanes, places, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -209,8 +196,10 @@ def windows_by_fm(words: np.ndarray, lengths: np.ndarray, group: np.ndarray, lo:
             break
         size = n + window - 1
         body = words[np.repeat(begin[text], size[text]) + _counting(size[text])]
-        lane, at, first = FMIndex(body, size[text], window).stream(words, begin[streamed], size[streamed])
-        own = streamed[lane]
+        parts = -(-n[streamed] // LANE)
+        of, shift = np.repeat(streamed, parts), _counting(parts) * LANE
+        lane, at, first = FMIndex(body, size[text], window).stream(words, begin[of] + shift, np.minimum(n[of] - shift, LANE) + window - 1)
+        own, at = of[lane], at + shift[lane]
         least[out[own] + at] = lo[text[first]]
         # The runs of windows that were not found go on; those of the texts are settled.
         missed = np.ones(int(n.sum()), bool)
@@ -224,7 +213,7 @@ def windows_by_fm(words: np.ndarray, lengths: np.ndarray, group: np.ndarray, lo:
         s = np.flatnonzero(new)
         of, off = owner[s], left[s] - flat[owner[s]]
         begin, out, n, group, lo = begin[of] + off, out[of] + off, np.diff(np.append(s, len(left))), group[of], lo[of]
-        take *= 2
+        take *= MORE
     return (least,)
 
 
