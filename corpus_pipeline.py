@@ -24,7 +24,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies, at Jaccard 0.8 or more of their 5-word shingles, the document with the smallest doc_id stays."""
+    """Operator 8, at a similarity: of each component of near copies, at Jaccard 0.8 or more of their 5-word shingles, the document with the smallest doc_id stays."""
     return nearsets.kept(docs)
 
 
@@ -51,7 +51,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", retrieval_packing),
 ]
 
-#: No SQL: the classifier's fit, XXH64 fingerprints and the tokenizer are beyond it. tests/llm/test_pipeline.py has a brute-force version.
+#: No SQL: the classifier's fit, fingerprints and the tokenizer are beyond it. tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL: str | None = None
 
 
