@@ -110,9 +110,9 @@ def analyse(word: str, rule: str, groups: dict[str, tuple[str, ...]] = STANDARD)
 def segments(word: str) -> list[str]:
     """A word's prefixes, stem and suffixes by its better analysis: as a verb if that leaves the shorter stem, else as a noun.
 
-    Words without an analysis, and those whose analysis has no stem, are one segment. The word is cut as the grammar reads it, without sukuns and with renamed letters.
+    Words without an analysis, and those whose analysis has no stem, are one segment. The word itself is cut: letters that the grammar knows by
+    another name come back as they were, and a sukun, which it doesn't see, stays with the letter before it. So the segments spell the word.
     """
-    word = word.translate(_RENAMED)
     noun, verb = analyse(word, "NN", STEMMING), analyse(word, "VB", STEMMING)
     if noun and verb:
         stems = dict(noun).get("NSTEM"), dict(verb)["VSTEM"]
@@ -124,8 +124,13 @@ def segments(word: str) -> list[str]:
     at = [i for i, (tag, _) in enumerate(best or ()) if "STEM" in tag]
     if not at:
         return [word]
-    before, after = [f for _, f in best[: at[0]]], [f for _, f in best[at[-1] + 1 :] if f]
-    return [*before, word[sum(map(len, before)) : len(word) - sum(map(len, after))], *after]
+    seen = [i for i, c in enumerate(word) if c != "o"]  # where the letters stand that the grammar sees
+    before, after = [len(f) for _, f in best[: at[0]]], [len(f) for _, f in best[at[-1] + 1 :] if f]
+    sizes = [*before, len(seen) - sum(before) - sum(after), *after]
+    ends = [sum(sizes[: i + 1]) for i in range(len(sizes))]
+    cuts = [0, *(seen[e] if e < len(seen) else len(word) for e in ends[:-1]), len(word)]
+    cuts = [0 if i and not ends[i - 1] and i < len(sizes) else c for i, c in enumerate(cuts)]
+    return [word[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def _batched(f: Callable[[str], object], returns: str) -> Callable[..., Column]:
@@ -221,6 +226,7 @@ def show(analysed: DataFrame, sources: tuple[str, ...] = (), most: int | None =
 def plain(analysis: Column) -> Column:
     """An analysis as forms joined by +, in the other analyser's spelling."""
     text = F.array_join(F.transform(F.coalesce(analysis, F.array().cast(PAIRS)), lambda p: F.concat_ws("/", p["form"], p["tag"])), "+")
+    # Here and below, the patterns of what doesn't count, in this order.
     text = F.regexp_replace(text, r"\+/[A-Z]*", "")
     # Spellings that differ.
     for a, b in (("All/NAME", "Allh/NAME"), ("+A/CASE", "+AF/CASE"), ("+l/DET", "+Al/DET")):
