@@ -7,24 +7,25 @@ from pyspark.sql import functions as F
 
 from glyphloom.functions import text as T
 
-#: Rows up to which a lexicon may be broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 200_000
+from . import features
 
+def label_names(lex: DataFrame, labels: list[str] | None = None) -> list[str]:
+    """The labels of a lexicon, which are columns of the corpus and so a few."""
+    return labels if labels is not None else sorted(r["label"] for r in lex.select("label").distinct().collect())
 
-def _small(lex: DataFrame, words: int | None) -> DataFrame:
-    return F.broadcast(lex) if words is not None and words * 16 <= BROADCAST_ROWS else lex
 
-
-def scores(docs: DataFrame, counts: DataFrame, lex: DataFrame, words: int | None = None) -> DataFrame:
+def scores(docs: DataFrame, counts: DataFrame, lex: DataFrame, labels: list[str] | None = None) -> DataFrame:
     """doc_id, label, s, m: s sums the weights of all occurrences in counts (doc_id, token, n), 0 where there are none; m is the document's greatest s.
 
-    words: how many words lex has at most, where that is known; a small lexicon is broadcast.
+    A word's weights are one row with a column for each label, so that a document's sums are one aggregate. Spark broadcasts the words where their size allows.
     """
-    w = F.col("weight").cast("decimal(18,6)")
-    sums = counts.join(_small(lex, words), "token").groupBy("doc_id", "label").agg(F.sum(w * F.col("n")).cast("double").alias("s"))
-    grid = docs.select("doc_id").crossJoin(F.broadcast(lex.select("label").distinct()))
-    full = grid.join(sums, ["doc_id", "label"], "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
-    return full.withColumn("m", F.max("s").over(Window.partitionBy("doc_id")))
+    names = label_names(lex, labels)
+    wide = lex.groupBy("token").agg(*[F.max(F.when(F.col("label") == x, F.col("weight").cast("decimal(18,6)"))).alias(f"w{i}") for i, x in enumerate(names)])
+    sums = counts.join(wide, "token").groupBy("doc_id").agg(*[F.sum(F.col(f"w{i}") * F.col("n")).cast("double").alias(f"s{i}") for i in range(len(names))])
+    rows = docs.select("doc_id").join(sums, "doc_id", "left").select("doc_id", *[F.coalesce(f"s{i}", F.lit(0.0)).alias(f"s{i}") for i in range(len(names))])
+    each = F.array(*[F.struct(F.lit(x).alias("label"), F.col(f"s{i}").alias("s")) for i, x in enumerate(names)])
+    most = F.array_max(F.array(*[F.col(f"s{i}") for i in range(len(names))]))
+    return rows.select("doc_id", F.explode(each).alias("x"), most.alias("m")).select("doc_id", "x.label", "x.s", "m") if names else rows.select("doc_id", F.lit("").alias("label"), F.lit(0.0).alias("s"), F.lit(0.0).alias("m")).limit(0)
 
 
 def decide(scored: DataFrame, threshold: float | DataFrame) -> DataFrame:
@@ -81,7 +82,7 @@ def report(docs: DataFrame, tok: DataFrame, lex: DataFrame, decisions: DataFrame
 
 def evaluate(docs: DataFrame, tok: DataFrame, lex: DataFrame, gs: DataFrame, threshold: float | DataFrame, label: str | None = None) -> dict[str, DataFrame]:
     """measures (p, r, f, j), errors (label, token, err) and report of a lexicon on labelled documents; of one label if that is given, though ratios are to all."""
-    counts = tok.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    counts = features.term_counts(tok)
     said = decide(scores(docs, counts, lex), threshold)
     said = said if label is None else said.where(F.col("label") == label)
     return {"measures": prfj(confusion(said, gs)), "errors": word_errors(counts, said, gs), "report": report(docs, tok, lex, said, gs)}

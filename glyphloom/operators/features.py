@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphloom.functions import text as T
+from glyphloom.storage import written
 
 
 def tokens(docs: DataFrame) -> DataFrame:
@@ -52,9 +53,15 @@ def vocabulary(tok: DataFrame) -> DataFrame:
     return document_frequency(tok).where("df > 1").withColumn("idf", 1.0 / F.col("df"))
 
 
+def frequencies(tok: DataFrame) -> DataFrame:
+    """term_frequency(), written once for what counts it by document and by term; of what has `tf` already, itself."""
+    return tok if "tf" in tok.columns else written(term_frequency(tok), "frequencies")
+
+
 def tfidf(tok: DataFrame, threshold: float = 0.0, per_doc: int | None = None) -> DataFrame:
     """doc_id, token, n, tf, df, w: w = tf / df of vocabulary terms, at least threshold, and of each document the per_doc heaviest."""
-    made = term_frequency(tok).join(vocabulary(tok), "token").withColumn("w", F.col("tf") * F.col("idf")).where(F.col("w") >= threshold)
+    tok = frequencies(tok)
+    made = tok.join(vocabulary(tok), "token").withColumn("w", F.col("tf") * F.col("idf")).where(F.col("w") >= threshold)
     made = made.select("doc_id", "token", "n", "tf", "df", "w")
     if per_doc is None:
         return made
@@ -64,12 +71,13 @@ def tfidf(tok: DataFrame, threshold: float = 0.0, per_doc: int | None = None) ->
 
 def pruned_vocabulary(tok: DataFrame, threshold: float) -> DataFrame:
     """The vocabulary's terms that keep a weight of at least threshold in some document."""
+    tok = frequencies(tok)
     return vocabulary(tok).join(tfidf(tok, threshold).select("token").distinct(), "token", "left_semi") if threshold > 0 else vocabulary(tok)
 
 
 def norms(tok: DataFrame, of: str = "tf") -> DataFrame:
     """doc_id, size: the L2 norm of the term frequencies, or with of="w" of the weights."""
-    rows = term_frequency(tok) if of == "tf" else tfidf(tok)
+    rows = tfidf(tok) if of == "w" else tok if "tf" in tok.columns else term_frequency(tok)
     return rows.groupBy("doc_id").agg(F.sqrt(F.sum(F.col(of) * F.col(of))).alias("size"))
 
 
@@ -81,11 +89,14 @@ def postings(tok: DataFrame, gs: DataFrame) -> DataFrame:
 def inverted_index(tok: DataFrame, gs: DataFrame, block: int = 1024) -> DataFrame:
     """token, label, block, docs: postings as arrays, in which a document stands as often as the token in it.
 
-    A block holds `block` consecutive doc_ids, so that no array grows with the corpus.
+    A block holds `block` consecutive doc_ids, so that no array grows with the corpus. A token that stands in no document with a label has one row, with an empty array and neither label nor block.
     """
+    tok = term_counts(tok)
+    bare = tok.select("token").distinct().join(postings(tok, gs).select("token").distinct(), "token", "left_anti")
+    none = bare.select("token", F.lit(None).cast("string").alias("label"), F.lit(None).cast("long").alias("block"), F.array().cast(f"array<{dict(tok.dtypes)['doc_id']}>").alias("docs"))
     rows = postings(tok, gs).withColumn("block", F.floor(F.col("doc_id") / block))
     lists = rows.groupBy("token", "label", "block").agg(F.array_sort(F.collect_list(F.struct("doc_id", "n"))).alias("found"))
-    return lists.select("token", "label", "block", F.flatten(F.transform("found", lambda x: F.array_repeat(x["doc_id"], x["n"].cast("int")))).alias("docs"))
+    return lists.select("token", "label", "block", F.flatten(F.transform("found", lambda x: F.array_repeat(x["doc_id"], x["n"].cast("int")))).alias("docs")).unionByName(none)
 
 
 def bigram_tokens(docs: DataFrame) -> DataFrame:
@@ -104,15 +115,44 @@ def with_surrogates(tok: DataFrame, surrogates: DataFrame) -> DataFrame:
     return tok.join(surrogates, tok["token"] == surrogates["emoji"], "left").select("doc_id", "pos", F.coalesce("surrogate", "token").alias("token"))
 
 
-def neighbours(tok: DataFrame, queries: DataFrame, k: int = 10, norm: str = "tf") -> DataFrame:
+#: Documents up to which a term is rare: joined by rare terms, a pair of documents is met at most so often for each of them.
+RARE = 256
+
+
+def neighbours(tok: DataFrame, queries: DataFrame, k: int = 10, norm: str = "tf", rare: int = RARE) -> DataFrame:
     """doc_id, other_id, rank, cos: of each document of queries (doc_id) the k others with the greatest cosine.
 
     The products are those of the weights, the norms those of the term frequencies, as norms() says; norm="w" gives the true cosine.
+
+    Frequent terms weigh little, as a weight has the number of documents below it. So first only rare terms are joined. What all its frequent terms
+    could add to a query's cosine is at most the sum of its weights times the greatest of each term, over the norms; where that can't lift a document over
+    the k-th best so far, the document is out. For those that remain the frequent terms are joined by document. A query whose bound is above its
+    k-th best is joined whole.
     """
-    rows, size = tfidf(tok), norms(tok, norm)
-    mine = rows.join(queries.select("doc_id").distinct(), "doc_id", "left_semi").select("token", F.col("doc_id").alias("q"), F.col("w").alias("wq"))
-    dots = mine.join(rows.select("token", "doc_id", "w"), "token").where("q <> doc_id").groupBy("q", "doc_id").agg(F.sum(F.col("wq") * F.col("w")).alias("dot"))
-    both = dots.join(size, "doc_id").join(size.select(F.col("doc_id").alias("q"), F.col("size").alias("size_q")), "q")
-    scored = both.select(F.col("q").alias("doc_id"), F.col("doc_id").alias("other_id"), F.round(F.try_divide("dot", F.col("size") * F.col("size_q")), 9).alias("cos"))
+    tok = frequencies(tok)
+    size = norms(tok, norm)
+    rows = written(tfidf(tok).join(size, "doc_id").select("doc_id", "token", "df", "w", "size"), "weights")
+    mine = written(rows.join(queries.select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("q"), "token", "df", F.col("w").alias("wq"), F.col("size").alias("size_q")), "queries")
+    dot = F.sum(F.col("wq") * F.col("w")).alias("dot")
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        pairs = left.join(right.select("token", "doc_id", "w", "size"), "token").where("q <> doc_id")
+        return pairs.groupBy("q", "doc_id").agg(dot, F.first("size").alias("size"), F.first("size_q").alias("size_q"))
+
+    cosine = F.try_divide("dot", F.col("size") * F.col("size_q"))
+    part = written(met(mine.where(F.col("df") <= rare), rows.where(F.col("df") <= rare)).withColumn("cos", cosine), "rare")
+    most = rows.where(F.col("df") > rare).groupBy("token").agg(F.max(F.try_divide("w", "size")).alias("most"))
+    bound = mine.where(F.col("df") > rare).join(most, "token").groupBy("q").agg(F.sum(F.try_divide(F.col("wq") * F.col("most"), F.col("size_q"))).alias("bound"))
+    order = Window.partitionBy("q").orderBy(F.col("cos").desc())
+    kth = part.withColumn("n", F.row_number().over(order)).where(F.col("n") == k).select("q", F.col("cos").alias("kth"))
+    # Rounded results may tie, so a document stays if it comes within a little of the k-th.
+    known = mine.select("q").distinct().join(kth, "q", "left").join(bound, "q", "left")
+    known = written(known.select("q", "kth", (F.coalesce("bound", F.lit(0.0)) + 1e-8).alias("bound"), F.coalesce(F.col("kth") > F.col("bound") + 1e-8, F.col("kth").isNotNull() & F.col("bound").isNull()).alias("closed")), "bounds")
+    near = written(part.join(known.where("closed"), "q").where(F.col("cos") + F.col("bound") >= F.col("kth")).select("q", "doc_id", "dot", "size", "size_q"), "candidates")
+    frequent = mine.where(F.col("df") > rare).select("q", "token", "wq").join(near.select("q", "doc_id"), "q").join(rows.where(F.col("df") > rare).select("doc_id", "token", "w"), ["doc_id", "token"])
+    more = frequent.groupBy("q", "doc_id").agg(F.sum(F.col("wq") * F.col("w")).alias("more"))
+    closed = near.join(more, ["q", "doc_id"], "left").withColumn("dot", F.col("dot") + F.coalesce("more", F.lit(0.0))).drop("more")
+    whole = met(mine.join(known.where("NOT closed"), "q", "left_semi"), rows)
+    scored = closed.unionByName(whole).select(F.col("q").alias("doc_id"), F.col("doc_id").alias("other_id"), F.round(cosine, 9).alias("cos"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("cos").desc(), "other_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -56,37 +56,50 @@ def removed_words(lex: DataFrame, errors: DataFrame) -> DataFrame:
     return lex.join(errors, ["label", "token"]).agg(F.count_if((F.col("err") < 0) & (F.col("weight") > 0)).alias("removed"))
 
 
-def corrected(docs: DataFrame, counts: DataFrame, gs: DataFrame, lex: DataFrame, threshold: float | DataFrame, rounds: int = 1, words: int | None = None) -> DataFrame:
-    """self_correct() in rounds, each on the decisions of the lexicon of the round before."""
+def corrected(
+    docs: DataFrame, counts: DataFrame, gs: DataFrame, lex: DataFrame, threshold: float | DataFrame, rounds: int = 1, labels: list[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(lexicon, removed): self_correct() in rounds, each on the decisions of the lexicon of the round before, and how many weights all rounds set to 0."""
+    removed = None
     for _ in range(rounds):
-        said = classify.decide(classify.scores(docs, counts, lex, words), threshold)
-        lex = self_correct(lex, classify.word_errors(counts, said, gs))
-    return lex
+        said = classify.decide(classify.scores(docs, counts, lex, labels), threshold)
+        errors = written(classify.word_errors(counts, said, gs), "errors")
+        taken = removed_words(lex, errors)
+        removed = taken if removed is None else removed.unionAll(taken)
+        lex = written(self_correct(lex, errors), "lexicon")
+    none = lex.sparkSession.range(1).select(F.lit(0).cast("long").alias("removed"))
+    return lex, (none if removed is None else removed).agg(F.sum("removed").alias("removed"))
 
 
-def tune(docs: DataFrame, counts: DataFrame, gs: DataFrame, lex: DataFrame, threshold: float = 0.15, rounds: int = 3, words: int | None = None) -> tuple[DataFrame, DataFrame]:
+def tune(docs: DataFrame, counts: DataFrame, gs: DataFrame, lex: DataFrame, threshold: float = 0.15, rounds: int = 3, labels: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(lexicon, thresholds) after rounds of a correction and new label thresholds. Lineage is cut each round."""
+    labels = classify.label_names(lex, labels)
     now: float | DataFrame = threshold
     counts = written(counts.join(lex.select("token").distinct(), "token", "left_semi"), "counts")  # only the lexicon's words score or can be corrected
     for _ in range(rounds):
-        lex = written(corrected(docs, counts, gs, lex, now, 1, words), "lexicon")
-        now = written(label_thresholds(swept(classify.scores(docs, counts, lex, words), gs, grid(lex.sparkSession))), "thresholds")
+        lex = corrected(docs, counts, gs, lex, now, 1, labels)[0]
+        now = written(label_thresholds(swept(classify.scores(docs, counts, lex, labels), gs, grid(lex.sparkSession))), "thresholds")
+    if isinstance(now, float):
+        now = lex.select("label").distinct().withColumn("threshold", F.lit(now))
     return lex, now
 
 
-def create_and_tune(train: DataFrame, test: DataFrame, gs: DataFrame, threshold: float = 0.15, top: int = 2500, rounds: int = 3) -> DataFrame:
-    """p, r, f, j on test of a lexicon that is learnt and tuned on train; both are (doc_id, text), gs covers both."""
-    counts = written(features.term_counts(features.tokens(train)), "train")
+def create_and_tune(
+    train: DataFrame, test: DataFrame, gs: DataFrame, threshold: float = 0.15, top: int = 2500, rounds: int = 3, labels: list[str] | None = None, counts: tuple[DataFrame, DataFrame] | None = None
+) -> DataFrame:
+    """p, r, f, j on test of a lexicon that is learnt and tuned on train; both are (doc_id, text), gs covers both. counts: their term_counts(), where these are there already."""
+    learnt, tested = counts or (written(features.term_counts(features.tokens(train)), "train"), features.term_counts(features.tokens(test)))
     own = gs.join(train.select("doc_id"), "doc_id", "left_semi")
-    lex, thresholds = tune(train, counts, own, written(lexicon.learn(counts, own, top), "lexicon"), threshold, rounds, top)
-    said = classify.decide(classify.scores(test, features.term_counts(features.tokens(test)), lex, top), thresholds)
+    lex, thresholds = tune(train, learnt, own, written(lexicon.learn(learnt, own, top), "lexicon"), threshold, rounds, labels)
+    said = classify.decide(classify.scores(test, tested, lex, labels), thresholds)
     return classify.prfj(classify.confusion(said, gs))
 
 
-def create_and_tune_range(train: DataFrame, test: DataFrame, gs: DataFrame, start: float = 1.0, end: float = 0.0, step: float = 0.1, **options: int) -> DataFrame:
-    """threshold, p, r, f, j: create_and_tune() from each starting threshold."""
+def create_and_tune_range(train: DataFrame, test: DataFrame, gs: DataFrame, start: float = 1.0, end: float = 0.0, step: float = 0.1, **options: object) -> DataFrame:
+    """threshold, p, r, f, j: create_and_tune() from each starting threshold. Both sides are tokenised once."""
+    counts = tuple(written(features.term_counts(features.tokens(x)), "counts") for x in (train, test))
     made = None
     for t in grid_values(start, end, step, closed=True):
-        row = create_and_tune(train, test, gs, t, **options).withColumn("threshold", F.lit(t))
+        row = create_and_tune(train, test, gs, t, counts=counts, **options).withColumn("threshold", F.lit(t))
         made = row if made is None else made.unionByName(row)
     return made

@@ -6,6 +6,7 @@ The labelled corpus is documents with labels: two labels, quality and toxic. lex
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from glyphloom.sources import corpora, reports
 from glyphloom.storage import scratch, written
 from glyphloom.streaming import service
 
-from .sql import TSV, assemble, measured
+from .sql import NEAR, PARTS, TSV, assemble, corrections, measured, trained_and_tested as tested_parts, tuned
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,26 +47,34 @@ def all_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 class Labelled:
-    """The labelled corpus: ids, tokens, term counts and gold labels."""
+    """The labelled corpus: ids, tokens, term counts and gold labels. Counts and lexicons are written once, as several steps read them."""
 
     def __init__(self, spark: SparkSession, d: str) -> None:
         labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", *LABELS)
         self.docs = documents(spark, d).join(labels.select("doc_id"), "doc_id", "left_semi")
         self.tok = features.tokens(self.docs)
-        self.counts = features.term_counts(self.tok)
         self.gold = features.gold(labels.join(documents(spark, d).select("doc_id"), "doc_id", "left_semi"), LABELS)
 
+    @cached_property
+    def counts(self) -> DataFrame:
+        return written(features.term_counts(self.tok), "counts")
+
     def lexicon(self, kind: str = "FULL") -> DataFrame:
         return lexicon.learn(self.counts, self.gold, TOP, kind)
 
+    @cached_property
+    def lex(self) -> DataFrame:
+        return written(self.lexicon(), "lexicon")
+
+    @cached_property
     def scored(self) -> DataFrame:
-        return classify.scores(self.docs, self.counts, self.lexicon(), TOP)
+        return written(classify.scores(self.docs, self.counts, self.lex, LABELS), "scores")
 
     def said(self) -> DataFrame:
-        return classify.decide(self.scored(), THRESHOLD)
+        return classify.decide(self.scored, THRESHOLD)
 
     def swept(self) -> DataFrame:
-        return tune.swept(self.scored(), self.gold, tune.grid(self.docs.sparkSession))
+        return tune.swept(self.scored, self.gold, tune.grid(self.docs.sparkSession))
 
 
 # ------------------------------------------------------------------ text
@@ -184,13 +193,14 @@ def doc_norms(spark: SparkSession, d: str) -> DataFrame:
 @query(assemble("SELECT token, label, doc_id, n FROM posted"))
 def postings(spark: SparkSession, d: str) -> DataFrame:
     x = Labelled(spark, d)
-    return features.postings(x.tok, x.gold)
+    return features.postings(x.counts, x.gold)
 
 
-@query(assemble("SELECT token, label, CAST(floor(doc_id / 1024) AS BIGINT) AS block, list(doc_id ORDER BY doc_id) AS docs FROM (SELECT token, label, doc_id, unnest(range(n)) FROM posted) GROUP BY ALL"))
+@query(assemble("""SELECT token, label, CAST(floor(doc_id / 1024) AS BIGINT) AS block, list(doc_id ORDER BY doc_id) AS docs FROM (SELECT token, label, doc_id, unnest(range(n)) FROM posted) GROUP BY ALL
+        UNION ALL SELECT DISTINCT token, NULL, NULL, [] FROM lcounted ANTI JOIN posted USING (token)"""))
 def inverted_index(spark: SparkSession, d: str) -> DataFrame:
     x = Labelled(spark, d)
-    return features.inverted_index(x.tok, x.gold)
+    return features.inverted_index(x.counts, x.gold)
 
 
 @query(
@@ -223,13 +233,13 @@ def feature_lines_whole(spark: SparkSession, d: str) -> DataFrame:
 @query(assemble("SELECT label, token, cnt FROM cnt"))
 def label_word_counts(spark: SparkSession, d: str) -> DataFrame:
     x = Labelled(spark, d)
-    return lexicon.label_counts(x.tok, x.gold)
+    return lexicon.label_counts(x.counts, x.gold)
 
 
 @query(assemble("SELECT label, token, CAST(sum(cnt) AS BIGINT) AS cnt FROM cnt GROUP BY ROLLUP (label, token)"))
 def label_totals_rollup(spark: SparkSession, d: str) -> DataFrame:
     x = Labelled(spark, d)
-    return lexicon.label_totals(lexicon.label_counts(x.tok, x.gold))
+    return lexicon.label_totals(lexicon.label_counts(x.counts, x.gold))
 
 
 @query(assemble("SELECT token, label, round(q, 6) + 0.0e0 AS weight FROM q"))
@@ -312,7 +322,7 @@ def lexicon_export(spark: SparkSession, d: str) -> DataFrame:
 
 @query(assemble("SELECT doc_id, label, s, m FROM scored"))
 def doc_scores(spark: SparkSession, d: str) -> DataFrame:
-    return Labelled(spark, d).scored()
+    return Labelled(spark, d).scored
 
 
 @query(assemble("SELECT doc_id, label, ratio, decision FROM said"))
@@ -320,9 +330,9 @@ def doc_decisions(spark: SparkSession, d: str) -> DataFrame:
     return Labelled(spark, d).said()
 
 
-@query(assemble("SELECT concat_ws(chr(9), doc_id, CAST(CAST(round(max(s) FILTER (label = 'quality'), 2) AS DECIMAL(38, 2)) AS VARCHAR), CAST(CAST(round(max(s) FILTER (label = 'toxic'), 2) AS DECIMAL(38, 2)) AS VARCHAR)) AS line FROM scored GROUP BY doc_id"))
+@query(assemble("SELECT concat_ws(chr(9), doc_id, CAST(CAST(round(max(s) FILTER (label = 'quality'), 2) AS DECIMAL(38, 2)) AS VARCHAR), CAST(CAST(round(max(s) FILTER (label = 'toxic'), 2) AS DECIMAL(38, 2)) AS VARCHAR)) AS line FROM scored GROUP BY doc_id UNION ALL SELECT concat_ws(chr(9), '', 'quality', 'toxic')"))
 def score_lines(spark: SparkSession, d: str) -> DataFrame:
-    return reports.score_lines(Labelled(spark, d).scored(), LABELS)
+    return reports.score_lines(Labelled(spark, d).scored, LABELS, header=True)
 
 
 _EXTREMES = {
@@ -336,7 +346,7 @@ _EXTREMES = {
 @query(assemble("SELECT doc_id, label, best, worst FROM both_ends", **_EXTREMES))
 def best_worst_word(spark: SparkSession, d: str) -> DataFrame:
     x = Labelled(spark, d)
-    return classify.best_and_worst(x.docs, x.tok, x.lexicon())
+    return classify.best_and_worst(x.docs, x.tok, x.lex)
 
 
 @query(assemble("SELECT label, tp, fp, fn, tn FROM conf"))
@@ -372,22 +382,24 @@ def word_errors(spark: SparkSession, d: str) -> DataFrame:
 )
 def evaluation_report(spark: SparkSession, d: str) -> DataFrame:
     x = Labelled(spark, d)
-    return classify.report(x.docs, x.tok, x.lexicon(), x.said(), x.gold)
+    return classify.report(x.docs, x.tok, x.lex, x.said(), x.gold)
 
 
 # ------------------------------------------------------------------ tuning
 
 
-@query(assemble("SELECT lex.token, lex.label, CASE WHEN err < 0 AND weight > 0 THEN 0.0e0 ELSE weight END AS weight FROM lex LEFT JOIN errs ON lex.token = errs.token AND lex.label = errs.label"))
+@query(assemble("SELECT token, label, weight FROM lex2", **corrections(2, "0.3e0")))
 def selfcorrect(spark: SparkSession, d: str) -> DataFrame:
+    """Two rounds."""
     x = Labelled(spark, d)
-    return tune.corrected(x.docs, x.counts, x.gold, x.lexicon(), THRESHOLD, 1, TOP)
+    return tune.corrected(x.docs, x.counts, x.gold, x.lex, THRESHOLD, 2, LABELS)[0]
 
 
-@query(assemble("SELECT count(*) AS removed FROM lex JOIN errs USING (label, token) WHERE err < 0 AND weight > 0"))
+@query(assemble("SELECT CAST(sum(removed) AS BIGINT) AS removed FROM (SELECT removed FROM removed1 UNION ALL SELECT removed FROM removed2)", **corrections(2, "0.3e0")))
 def removed_words(spark: SparkSession, d: str) -> DataFrame:
+    """Of both rounds."""
     x = Labelled(spark, d)
-    return tune.removed_words(x.lexicon(), classify.word_errors(x.counts, x.said(), x.gold))
+    return tune.corrected(x.docs, x.counts, x.gold, x.lex, THRESHOLD, 2, LABELS)[1]
 
 
 @query(assemble("SELECT label, threshold, tp, fp, fn, tn FROM swept"))
@@ -415,20 +427,36 @@ def sweetspot(spark: SparkSession, d: str) -> DataFrame:
     return tune.sweet_spot(Labelled(spark, d).swept())
 
 
-@query()
+@query(assemble("SELECT label, token, weight, threshold FROM lex3 JOIN limits3 USING (label)", **tuned(3, "0.15e0")))
 def tuned_lexicon(spark: SparkSession, d: str) -> DataFrame:
     x = Labelled(spark, d)
-    counts = written(x.counts, "counts")
-    lex, thresholds = tune.tune(x.docs, counts, x.gold, written(lexicon.learn(counts, x.gold, TOP), "lexicon"), words=TOP)
-    return lex.join(F.broadcast(thresholds), "label")
+    lex, thresholds = tune.tune(x.docs, x.counts, x.gold, x.lex, labels=LABELS)
+    return lex.join(F.broadcast(thresholds), "label")  # a row for each label
 
 
-@query()
+@query(assemble(measured("tconf"), **tested_parts(3, "0.15e0")))
 def trained_and_tested(spark: SparkSession, d: str) -> DataFrame:
-    """Trained on four fifths of the labelled documents by a hash, tested on the others."""
+    """Trained on four fifths of the labelled documents by their ids, tested on the others."""
     x = Labelled(spark, d)
-    fold = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
-    return tune.create_and_tune(x.docs.where(~fold), x.docs.where(fold), x.gold)
+    held = F.col("doc_id") % 5 == 0
+    return tune.create_and_tune(x.docs.where(~held), x.docs.where(held), x.gold, top=TOP, labels=LABELS)
+
+
+@query(
+    " UNION ALL ".join(f"SELECT CAST({t!r}{'' if 'e' in repr(t) else 'e0'} AS DOUBLE) AS threshold, * FROM ({assemble(measured('tconf'), **tested_parts(1, repr(t) + ('' if 'e' in repr(t) else 'e0')))})" for t in tune.grid_values(1.0, 0.2, 0.4, True))
+)
+def trained_range(spark: SparkSession, d: str) -> DataFrame:
+    """One round of tuning from each of three starting thresholds."""
+    x = Labelled(spark, d)
+    held = F.col("doc_id") % 5 == 0
+    return tune.create_and_tune_range(x.docs.where(~held), x.docs.where(held), x.gold, 1.0, 0.2, 0.4, top=TOP, rounds=1, labels=LABELS)
+
+
+@query(assemble(measured("oneconf"), oneconf="SELECT * FROM conf WHERE label = 'toxic'"))
+def evaluated_label(spark: SparkSession, d: str) -> DataFrame:
+    """One label's measures, in shares of the greatest score of all."""
+    x = Labelled(spark, d)
+    return classify.evaluate(x.docs, x.tok, x.lex, x.gold, THRESHOLD, "toxic")["measures"]
 
 
 # ------------------------------------------------------------------ duplicates, LSA
@@ -439,7 +467,7 @@ def exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return duplicates.exact(documents(spark, d))
 
 
-@query()
+@query(assemble("SELECT doc_id, group_id, row_number() OVER (PARTITION BY group_id ORDER BY len(list_distinct(toks)) DESC, doc_id) = 1 AS kept FROM folded", **NEAR))
 def near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return duplicates.near(documents(spark, d))
 

@@ -75,17 +75,90 @@ TSV = f"""SELECT c[1] AS doc_id, {_strip(_mentions("c[2]"))} AS text, [CAST({_st
 
 def assemble(final: str, **own: str) -> str:
     """final behind a WITH of the parts that it names, and those that they name."""
-    parts, used = PARTS | own, []
+    parts, used, open_ = PARTS | own, [], set()
 
     def need(text: str) -> None:
         for name in re.findall(r"(?:FROM|JOIN)\s+(\w+)", text):
-            if name in parts and name not in used:
+            if name in parts and name not in used and name not in open_:
+                open_.add(name)
                 need(parts[name])
-                if name not in used:
-                    used.append(name)
+                used.append(name)
 
     need(final)
-    return "WITH " + ",\n".join(f"{n} AS ({parts[n]})" for n in used) + "\n" + final if used else final
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {'' if 'UNION ALL SELECT r.' in parts[n] else 'MATERIALIZED '}({parts[n]})" for n in used) + "\n" + final if used else final
+
+
+#: What is said, wrong and swept of a lexicon; rounds() has these for each lexicon in turn.
+_OF_LEX = ("summed", "scored", "ratios", "said", "errs", "swept", "curve")
+
+
+def _named(text: str, names: dict[str, str]) -> str:
+    return re.sub(r"\b(FROM|JOIN)(\s+)(\w+)", lambda m: m[1] + m[2] + names.get(m[3], m[3]), text)
+
+
+def corrections(count: int, threshold: str) -> dict[str, str]:
+    """lex0 is lex; lex1 and so on are each corrected by the decisions of the one before at a fixed threshold; removed1 and so on count what that took."""
+    made = {"lex0": "SELECT * FROM lex"}
+    for i in range(1, count + 1):
+        names = {x: f"{x}{i}" for x in _OF_LEX} | {"lex": f"lex{i - 1}"}
+        made |= {f"{x}{i}": _named(PARTS[x], names) for x in _OF_LEX[:5]}
+        made[f"said{i}"] = made[f"said{i}"].replace("0.3e0", threshold)
+        made[f"lex{i}"] = f"SELECT l.token, l.label, CASE WHEN err < 0 AND weight > 0 THEN 0.0e0 ELSE weight END AS weight FROM lex{i - 1} l LEFT JOIN errs{i} ON l.token = errs{i}.token AND l.label = errs{i}.label"
+        made[f"removed{i}"] = f"SELECT count(*) AS removed FROM lex{i - 1} JOIN errs{i} USING (label, token) WHERE err < 0 AND weight > 0"
+    return made
+
+
+def tuned(count: int, threshold: str) -> dict[str, str]:
+    """limits0 has the threshold for every label; each round corrects the lexicon at the limits before it and sweeps new ones: lex1 and limits1, and so on."""
+    made = {"lex0": "SELECT * FROM lex", "limits0": f"SELECT DISTINCT label, {threshold} AS threshold FROM lex"}
+    for i in range(1, count + 1):
+        old, new = {x: f"{x}{i}a" for x in _OF_LEX} | {"lex": f"lex{i - 1}"}, {x: f"{x}{i}b" for x in _OF_LEX} | {"lex": f"lex{i}"}
+        made |= {f"{x}{i}a": _named(PARTS[x], old) for x in ("summed", "scored", "ratios", "errs")}
+        made[f"said{i}a"] = f"SELECT doc_id, label, ratio, CAST(m > 0 AND ratio >= threshold AS INTEGER) AS decision FROM ratios{i}a JOIN limits{i - 1} USING (label)"
+        made[f"lex{i}"] = f"SELECT l.token, l.label, CASE WHEN err < 0 AND weight > 0 THEN 0.0e0 ELSE weight END AS weight FROM lex{i - 1} l LEFT JOIN errs{i}a ON l.token = errs{i}a.token AND l.label = errs{i}a.label"
+        made |= {f"{x}{i}b": _named(PARTS[x], new) for x in ("summed", "scored", "ratios", "swept", "curve")}
+        made[f"limits{i}"] = f"SELECT label, CASE WHEN max(j) > 0 THEN first(threshold ORDER BY j DESC, threshold DESC) ELSE 1.0e0 END AS threshold FROM curve{i}b GROUP BY label"
+    return made
+
+
+def trained_and_tested(rounds: int, threshold: str) -> dict[str, str]:
+    """tested: decisions on a fifth of the labelled documents of a lexicon that is learnt and tuned on the others."""
+    made = {
+        "ltrain": "SELECT doc_id FROM labels JOIN documents USING (doc_id) WHERE doc_id % 5 <> 0",
+        "ltest": "SELECT doc_id FROM labels JOIN documents USING (doc_id) WHERE doc_id % 5 = 0",
+        "allgold": PARTS["gold"],
+        "gold": "SELECT * FROM allgold SEMI JOIN ltrain USING (doc_id)",
+        "ldocs": "SELECT doc_id FROM ltrain",
+    } | tuned(rounds, threshold)
+    last = {"lex": f"lex{rounds}", "ldocs": "ltest", "lcounted": "tcounted", "summed": "tsummed", "scored": "tscored", "gold": "allgold"}
+    made["tcounted"] = "SELECT * FROM counted SEMI JOIN ltest USING (doc_id)"
+    made |= {f"t{x}": _named(PARTS[x], last) for x in ("summed", "scored", "ratios")}
+    made["tested"] = f"SELECT doc_id, label, CAST(m > 0 AND ratio >= threshold AS INTEGER) AS decision FROM tratios JOIN limits{rounds} USING (label)"
+    made["tconf"] = _named(PARTS["conf"], {"said": "tested", "gold": "allgold"})
+    return made
+
+
+def _prefix(a: str, b: str) -> str:
+    """How many first elements two lists share."""
+    return f"coalesce(list_position(list_transform(range(1, least(len({a}), len({b})) + 1), lambda i: {a}[i] = {b}[i]), false) - 1, least(len({a}), len({b})))"
+
+
+def _less(a: str, k: str) -> str:
+    """A list without the element after its first k."""
+    return f"list_concat({a}[:{k}], {a}[{k} + 2:])"
+
+
+#: A fold over the documents in the order of their tokens; the first document of the open group goes along. Lists are two edits apart where one is the other with two
+#: tokens more, or they agree once each has lost one: it is the first that differs that one of them loses first.
+NEAR = {
+    "ordered": "SELECT doc_id, toks, row_number() OVER (ORDER BY toks, doc_id) AS n FROM lists",
+    "folded": f"""SELECT n, doc_id AS group_id, toks AS head, doc_id, toks FROM ordered WHERE n = 1
+        UNION ALL SELECT r.n, CASE WHEN near THEN r.group_id ELSE r.doc_id END, CASE WHEN near THEN r.y ELSE r.x END, r.doc_id, r.x FROM (
+        SELECT *, x = y OR (len(x) = len(y) AND ({_less("y", "pa")} = x1 OR {_less("x", "pb")} = y1)) OR (len(x) = len(y) + 2 AND {_less("x1", "pa")} = y) OR (len(y) = len(x) + 2 AND {_less("y1", "pb")} = x) AS near FROM (
+        SELECT *, {_prefix("x1", "y")} AS pa, {_prefix("x", "y1")} AS pb FROM (
+        SELECT *, {_less("x", "p")} AS x1, {_less("y", "p")} AS y1 FROM (
+        SELECT o.n, o.doc_id, f.group_id, o.toks AS x, f.head AS y, {_prefix("o.toks", "f.head")} AS p FROM folded f JOIN ordered o ON o.n = f.n + 1)))) r""",
+}
 
 
 def measured(source: str, by: str = "") -> str:

@@ -31,10 +31,11 @@ def lexicon_export(wide: DataFrame, labels: list[str], surrogates: DataFrame | N
     return lines.orderBy("part", "token").select("line")
 
 
-def score_lines(scored: DataFrame, labels: list[str]) -> DataFrame:
-    """line: doc_id and all its label scores with two places, of classify.scores()."""
+def score_lines(scored: DataFrame, labels: list[str], header: bool = False) -> DataFrame:
+    """line: doc_id and all its label scores with two places, of classify.scores(); a line with the labels' names if asked for."""
     wide = scored.groupBy("doc_id").pivot("label", labels).agg(F.first("s"))
-    return wide.select(F.concat_ws("\t", F.col("doc_id").cast("string"), *[T.fixed(F.coalesce(F.col(f"`{x}`"), F.lit(0.0)), 2) for x in labels]).alias("line"))
+    lines = wide.select(F.concat_ws("\t", F.col("doc_id").cast("string"), *[T.fixed(F.coalesce(F.col(f"`{x}`"), F.lit(0.0)), 2) for x in labels]).alias("line"))
+    return wide.sparkSession.createDataFrame([("\t".join(["", *labels]),)], "line string").unionByName(lines) if header else lines
 
 
 def feature_lines(features: DataFrame, most: int | None = None) -> DataFrame:
