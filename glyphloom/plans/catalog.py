@@ -101,53 +101,101 @@ def bigrams(spark: SparkSession, d: str) -> DataFrame:
     return features.bigram_tokens(documents(spark, d))
 
 
-_SAMPLES = ["I am ok @bob rt @al yes", "so happy\U0001f602!", "’x中\U0001f602\U0001f600", "mud~o", "~ab~", ">o<&a", "aab  bbb", "", "http//t.co/x #a:b"]
-_VALUES = ", ".join(f"({n}, '{x}')" for n, x in enumerate(_SAMPLES))
-_ARABIC = ", ".join(f"({n}, '{x}')" for n, x in enumerate(["وكتبها", "مُدِّ", "abc", ""]))
+#: Texts with what the documents may lack; they come before these, under ids below 0.
+_SAMPLES = ["I am ok @bob rt @al yes", "so happy\U0001f602!", "’x中\U0001f602\U0001f600 \U0001f602", "mud~o", "~ab~", ">o<&a", "aab  bbb", "", "http//t.co/x #a:b", "وكتبها", "مُدِّ", "كتب_كتاب... #و"]
+_EDGED = "SELECT doc_id, coalesce(text, '') AS text FROM documents UNION ALL SELECT * FROM (VALUES " + ", ".join(f"(CAST({n - len(_SAMPLES)} AS BIGINT), '{x}')" for n, x in enumerate(_SAMPLES)) + ") v(doc_id, text)"
+_EDGED_PARTS = {"edged": _EDGED, "clean": PARTS["clean"].replace("FROM documents", "FROM edged"), "words_in_use": "SELECT DISTINCT token AS s FROM (SELECT token FROM tok UNION ALL SELECT text FROM edged WHERE doc_id < 0)"}
+_BW = T.BUCKWALTER.replace("'", "''")
+_SHADDAS = """list_reduce(list_concat([''], list_filter(string_split({}, ''), lambda c: c <> '')), lambda made, c: CASE WHEN c = 'o' THEN made WHEN c = '~' AND made <> '' THEN made || right(made, 1) ELSE made || c END)"""
+
+
+def edged(spark: SparkSession, d: str) -> DataFrame:
+    """All documents, and the samples."""
+    rows = documents(spark, d).withColumn("text", F.coalesce("text", F.lit("")))
+    return rows.unionByName(spark.createDataFrame([(n - len(_SAMPLES), x) for n, x in enumerate(_SAMPLES)], "doc_id long, text string"))
+
+
+def words_in_use(spark: SparkSession, d: str) -> DataFrame:
+    """s: the different tokens of edged(), and the samples as they are."""
+    rows = edged(spark, d)
+    return features.tokens(rows).select(F.col("token").alias("s")).unionByName(rows.where("doc_id < 0").select(F.col("text").alias("s"))).distinct()
 
 
 @query(
-    rf"""SELECT n, regexp_replace(s, '[ \t\n\x0B\f\r]*((rt[ \t\n\x0B\f\r]*)?@[^ \t\n\x0B\f\r]+)+', '', 'g') AS unmentioned,
-    regexp_replace(regexp_replace(s, '([^\x{{0000}}-\x{{0100}}])', ' \1 ', 'g'), ' +', ' ', 'g') AS spaced,
-    CASE WHEN s = '' THEN false ELSE unicode(s) > 3000 END AS emoji, translate(s, '><&o', 'OIW') AS matchable, regexp_replace(s, '//t\.co/[^ \t\n\x0B\f\r]*|http|#|:', '', 'g') AS unlinked
-    FROM (VALUES {_VALUES}) v(n, s)"""
+    assemble(
+        r"""SELECT doc_id, regexp_replace(text, '[ \t\n\x0B\f\r]*((rt[ \t\n\x0B\f\r]*)?@[^ \t\n\x0B\f\r]+)+', '', 'g') AS unmentioned,
+        regexp_replace(regexp_replace(text, '([^\x{0000}-\x{0100}])', ' \1 ', 'g'), ' +', ' ', 'g') AS spaced, regexp_replace(text, '//t\.co/[^ \t\n\x0B\f\r]*|http|#|:', '', 'g') AS unlinked,
+        regexp_replace(regexp_replace(translate(text, '"""
+        + f"{T.ARABIC}', '{_BW}"
+        + r"""'), '_|#|\.+', ' ', 'g'), ' +', ' ', 'g') AS arabic FROM edged""",
+        **_EDGED_PARTS,
+    )
 )
 def text_functions(spark: SparkSession, d: str) -> DataFrame:
-    s = F.col("s")
-    table = spark.createDataFrame(list(enumerate(_SAMPLES)), "n int, s string")
-    return table.select("n", T.strip_mentions(s).alias("unmentioned"), T.split_emojis(s).alias("spaced"), T.is_emoji(s).alias("emoji"), T.matchable(s).alias("matchable"), T.strip_urls(s).alias("unlinked"))
+    s = F.col("text")
+    return edged(spark, d).select("doc_id", T.strip_mentions(s).alias("unmentioned"), T.split_emojis(s).alias("spaced"), T.strip_urls(s).alias("unlinked"), T.clean_arabic(s).alias("arabic"))
 
 
 @query(
-    f"""SELECT n, list_reduce(list_concat([''], list_filter(string_split(s, ''), lambda c: c <> '')), lambda made, c:
-    CASE WHEN c = 'o' THEN made WHEN c = '~' AND made <> '' THEN made || right(made, 1) ELSE made || c END) AS spelled FROM (VALUES {_VALUES}) v(n, s)"""
+    assemble(
+        f"""SELECT s, CASE WHEN s = '' THEN false ELSE unicode(s) > 3000 END AS emoji, translate(s, '><&o', 'OIW') AS matchable, CASE WHEN s = '' OR unicode(s) < 256 THEN translate(s, '{_BW}', '{T.ARABIC}') ELSE s END AS displayed,
+        list_reduce(list_concat([''], list_filter(string_split(s, ''), lambda c: c <> '')), lambda made, c: CASE WHEN made <> '' AND right(made, 1) = c THEN made ELSE made || c END) AS collapsed FROM words_in_use""",
+        **_EDGED_PARTS,
+    )
 )
-def shaddas(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(_SAMPLES)), "n int, s string").select("n", T.shaddas(F.col("s")).alias("spelled"))
+def word_functions(spark: SparkSession, d: str) -> DataFrame:
+    s = F.col("s")
+    return words_in_use(spark, d).select("s", T.is_emoji(s).alias("emoji"), T.matchable(s).alias("matchable"), T.displayed(s, True).alias("displayed"), T.collapse_repeats(s).alias("collapsed"))
 
 
-@query(f"""SELECT n, translate(s, '{T.ARABIC}', '{T.BUCKWALTER.replace("'", "''")}') AS bw, translate(translate(s, '{T.ARABIC}', '{T.BUCKWALTER.replace("'", "''")}'), '{T.BUCKWALTER.replace("'", "''")}', '{T.ARABIC}') AS back FROM (VALUES {_ARABIC}) v(n, s)""")
-def transliteration(spark: SparkSession, d: str) -> DataFrame:
-    words = ["وكتبها", "مُدِّ", "abc", ""]
-    table = spark.createDataFrame(list(enumerate(words)), "n int, s string").select("n", T.to_buckwalter(F.col("s")).alias("bw"))
-    return table.withColumn("back", T.to_arabic(F.col("bw")))
+@query(assemble(f"SELECT s, {_SHADDAS.format('s')} AS spelled FROM words_in_use", **_EDGED_PARTS))
+def shaddas(spark: SparkSession, d: str) -> DataFrame:
+    return words_in_use(spark, d).select("s", T.shaddas(F.col("s")).alias("spelled"))
 
 
-_EMOJI_ROWS = [(1, 0, "a"), (1, 1, "\U0001f602"), (2, 0, "\U0001f600"), (2, 1, "\U0001f602"), (3, 0, "’"), (3, 1, "b")]
-_EMOJI_VALUES = ", ".join(f"({a}, {b}, '{c}')" for a, b, c in _EMOJI_ROWS)
+@query(assemble(f"SELECT s, translate(s, '{T.ARABIC}', '{_BW}') AS bw, translate(translate(s, '{T.ARABIC}', '{_BW}'), '{_BW}', '{T.ARABIC}') AS back FROM words_in_use", **_EDGED_PARTS))
+def transliteration(spark: SparkSession, d: str) -> DataFrame:
+    bw = T.to_buckwalter(F.col("s"))
+    return words_in_use(spark, d).select("s", bw.alias("bw"), T.to_arabic(bw).alias("back"))
 
 
 @query(
-    f"""WITH t AS (SELECT * FROM (VALUES {_EMOJI_VALUES}) v(doc_id, pos, token)),
-    f AS (SELECT token, min(doc_id * 1000 + pos) AS place FROM t WHERE unicode(token) > 3000 GROUP BY token),
-    s AS (SELECT token, 'eMJ' || (row_number() OVER (ORDER BY place) - 1) AS surrogate FROM f)
-    SELECT doc_id, pos, coalesce(surrogate, token) AS token FROM t LEFT JOIN s USING (token)"""
+    assemble(
+        "SELECT doc_id, pos, coalesce(surrogate, token) AS token FROM tok LEFT JOIN surrogates USING (token)",
+        emojis="SELECT token, min(struct_pack(d := doc_id, p := pos)) AS place FROM tok WHERE token <> '' AND unicode(token) > 3000 GROUP BY token",
+        surrogates="SELECT token, 'eMJ' || (row_number() OVER (ORDER BY place) - 1) AS surrogate FROM emojis",
+        **_EDGED_PARTS,
+    )
 )
 def emoji_surrogates(spark: SparkSession, d: str) -> DataFrame:
-    tok = spark.createDataFrame(_EMOJI_ROWS, "doc_id int, pos int, token string")
+    tok = features.tokens(edged(spark, d))
     return features.with_surrogates(tok, features.emoji_surrogates(tok))
 
 
+_TAGS = ["NN", "NNS", "VB", "VBD", "XX"]
+
+
+def gold_lines(spark: SparkSession, d: str) -> str:
+    """A folder of gold standard files, two head lines in each, of the documents' tokens in Arabic script; each line comes twice."""
+    tag = F.element_at(F.array(*map(F.lit, _TAGS)), F.length("token") % len(_TAGS) + 1)
+    line = F.concat_ws(",", T.to_arabic(F.col("token")), tag, F.length("token").cast("string"))
+    rows = different_tokens(spark, d).select(F.pmod(F.xxhash64("token"), F.lit(4)).alias("p"), F.explode(F.array(F.lit(1), F.lit(2))).alias("part"), line.alias("value"))
+    heads = spark.range(4).select(F.col("id").alias("p"), F.explode(F.array(F.lit(0), F.lit(0))).alias("part"), F.lit("form,NN").alias("value"))
+    path = scratch(spark, "gold")
+    rows.unionByName(heads).repartition(4, "p").sortWithinPartitions("p", "part").select("p", "value").write.partitionBy("p").text(path)
+    return path
+
+
+@query(
+    assemble(
+        f"SELECT DISTINCT form, tag, {_SHADDAS.format('bw')} AS bw FROM gold_rows WHERE tag <> 'XX'",
+        gold_rows=f"SELECT form, tag, translate(form, '{T.ARABIC}', '{_BW}') AS bw FROM (SELECT translate(token, '{_BW}', '{T.ARABIC}') AS form, {_TAGS}[1 + len(token) % {len(_TAGS)}] AS tag FROM tok) x WHERE form <> ''",
+    )
+)
+def gold_standard(spark: SparkSession, d: str) -> DataFrame:
+    return corpora.gold_standard(spark, gold_lines(spark, d)).select("form", "tag", "bw")
+
+
 @query(TSV)
 def labelled_corpus(spark: SparkSession, d: str) -> DataFrame:
     """The labelled documents, written as TSV lines and read as a corpus."""
@@ -157,6 +205,12 @@ def labelled_corpus(spark: SparkSession, d: str) -> DataFrame:
     return corpora.labelled_tsv(spark, path, labels=LABELS)[0]
 
 
+@query(assemble("SELECT CAST(doc_id AS VARCHAR) AS doc_id, label, gs FROM gold"))
+def labelled_gold(spark: SparkSession, d: str) -> DataFrame:
+    """The labels of the corpus that is read, by the places of their columns."""
+    return corpora.gold_of(labelled_corpus(spark, d), LABELS)
+
+
 # ------------------------------------------------------------------ features
 
 
@@ -216,14 +270,9 @@ def cosine_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return features.neighbours(all_tokens(spark, d), queries).select("doc_id", "other_id", "rank", "cos")
 
 
-@query(assemble("SELECT doc_id, string_agg(token || ': ' || CAST(CAST(round(w, 3) AS DECIMAL(38, 3)) AS VARCHAR), ', ' ORDER BY n) AS line FROM (SELECT doc_id, token, w, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, token) AS n FROM weights) WHERE n <= 50 GROUP BY doc_id"))
-def feature_lines(spark: SparkSession, d: str) -> DataFrame:
-    """The 50 heaviest terms, as the SQL beside it says; feature_lines_whole has all."""
-    return reports.feature_lines(features.tfidf(all_tokens(spark, d)), 50)
-
-
 @query(assemble("SELECT doc_id, string_agg(token || ': ' || CAST(CAST(round(w, 3) AS DECIMAL(38, 3)) AS VARCHAR), ', ' ORDER BY w DESC, token) AS line FROM weights GROUP BY doc_id"))
-def feature_lines_whole(spark: SparkSession, d: str) -> DataFrame:
+def feature_lines(spark: SparkSession, d: str) -> DataFrame:
+    """All terms of each document."""
     return reports.feature_lines(features.tfidf(all_tokens(spark, d)))
 
 
@@ -236,6 +285,13 @@ def label_word_counts(spark: SparkSession, d: str) -> DataFrame:
     return lexicon.label_counts(x.counts, x.gold)
 
 
+@query(assemble("SELECT label, token, cnt FROM cnt", posted=PARTS["posted"] + " AND doc_id IN (SELECT DISTINCT doc_id FROM gold ORDER BY doc_id LIMIT 50)"))
+def label_word_counts_first(spark: SparkSession, d: str) -> DataFrame:
+    """Of the first 50 documents, as the parameter `first` says."""
+    x = Labelled(spark, d)
+    return lexicon.label_counts(x.counts, x.gold, first=50)
+
+
 @query(assemble("SELECT label, token, CAST(sum(cnt) AS BIGINT) AS cnt FROM cnt GROUP BY ROLLUP (label, token)"))
 def label_totals_rollup(spark: SparkSession, d: str) -> DataFrame:
     x = Labelled(spark, d)
@@ -335,6 +391,12 @@ def score_lines(spark: SparkSession, d: str) -> DataFrame:
     return reports.score_lines(Labelled(spark, d).scored, LABELS, header=True)
 
 
+@query(assemble("SELECT doc_id, string_agg(CAST(CAST(round(s, 2) AS DECIMAL(38, 2)) AS VARCHAR), chr(9) ORDER BY label) AS joined FROM scored GROUP BY doc_id"))
+def joined_scores(spark: SparkSession, d: str) -> DataFrame:
+    rows = Labelled(spark, d).scored.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("label", "s"))).alias("x"))
+    return rows.select("doc_id", T.joined_scores(F.col("x.s")).alias("joined"))
+
+
 _EXTREMES = {
     "hits": "SELECT doc_id, label, token, pos, weight FROM ltok JOIN lex USING (token)",
     "bests": "SELECT doc_id, label, first(token ORDER BY weight DESC, pos) AS best FROM hits WHERE weight > 0 GROUP BY ALL",
@@ -385,6 +447,14 @@ def evaluation_report(spark: SparkSession, d: str) -> DataFrame:
     return classify.report(x.docs, x.tok, x.lex, x.said(), x.gold)
 
 
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, label, cell, colour, best, worst FROM (" + ORACLES["evaluation_report"] + ")")
+def report_csv(spark: SparkSession, d: str) -> DataFrame:
+    """evaluation_report, written as CSV and read back."""
+    names, path = ["doc_id", "label", "cell", "colour", "best", "worst"], scratch(spark, "csv")
+    reports.write_csv(evaluation_report(spark, d).select(*names), path)
+    return spark.read.csv(path, schema=", ".join(f"{n} string" for n in names))
+
+
 # ------------------------------------------------------------------ tuning
 
 
@@ -472,25 +542,13 @@ def near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return duplicates.near(documents(spark, d))
 
 
-def lsa_features(spark: SparkSession, d: str, terms: int | None = None) -> DataFrame:
-    """The matrix's columns are the whole vocabulary, or its `terms` words of most documents; its rows all documents."""
-    tok = all_tokens(spark, d)
-    made = features.tfidf(tok).select("doc_id", "token", "w")
-    return made if terms is None else made.join(F.broadcast(lexicon.top_words(tok, terms)), "token").select("doc_id", "token", "w")
-
-
-@query(
-    assemble(
-        "SELECT token, CAST(row_number() OVER (ORDER BY token) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT token FROM weights SEMI JOIN (SELECT token FROM vocab ORDER BY df DESC, token LIMIT 64) USING (token))"
-    )
-)
-def term_index(spark: SparkSession, d: str) -> DataFrame:
-    """The 64 words of most documents, as the SQL beside it says; term_index_whole has all."""
-    return lsa.term_index(lsa_features(spark, d, 64))
+def lsa_features(spark: SparkSession, d: str) -> DataFrame:
+    """The matrix's columns are the whole vocabulary, its rows all documents."""
+    return features.tfidf(all_tokens(spark, d)).select("doc_id", "token", "w")
 
 
 @query(assemble("SELECT token, CAST(row_number() OVER (ORDER BY token) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT token FROM weights)"))
-def term_index_whole(spark: SparkSession, d: str) -> DataFrame:
+def term_index(spark: SparkSession, d: str) -> DataFrame:
     return lsa.term_index(lsa_features(spark, d))
 
 
@@ -534,9 +592,24 @@ def stemmed_requests(spark: SparkSession, d: str) -> DataFrame:
     return service.answers(turns, morphology.stem_text)
 
 
+@query()
+def gold_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The gold standard's words with their analyses, as form/tag, and the pair that names a root."""
+    done = morphology.lookup_all(corpora.gold_standard(spark, gold_lines(spark, d)))
+    pairs = morphology.not_empty(F.col("analysis"))
+    return done.select("form", "tag", "bw", "source", F.transform(pairs, morphology.shown).alias("analysis"), morphology.root(F.col("analysis"))["form"].alias("root"))
+
+
+@query()
+def segment_index(spark: SparkSession, d: str) -> DataFrame:
+    """Each segment of the gold standard's words with its number of words and the first of them."""
+    return morphology.show_index(morphology.index_by_segment(morphology.lookup_all(corpora.gold_standard(spark, gold_lines(spark, d)))))
+
+
 @query()
 def analyser_agreement(spark: SparkSession, d: str) -> DataFrame:
-    """Our analyses beside those as nouns only, as another analyser's."""
-    words = different_tokens(spark, d).select(F.lit("").alias("form"), F.col("token").alias("bw"), morphology.lookup_either(F.col("token"), "VB", "NN").alias("analysis"), morphology.lookup(F.col("token"), "NN").alias("noun"))
-    other = F.when(F.col("noun").isNull(), F.array().cast("array<string>")).otherwise(F.array(morphology.plain(F.col("noun"))))
-    return morphology.agreement_counts(morphology.agreement(words.withColumn("others", other)))
+    """Our analyses of the documents' tokens, in Arabic script as forms, beside a light stemmer's: a conjunction or article before the word, a pronoun or plural behind it."""
+    bw = F.col("token")
+    light = F.regexp_replace(F.regexp_replace(bw, "^(w|f|Al|b|l)(?=...)", "$1+"), "(?<=...)(h|hA|hm|k|wn|yn|At)$", "+$1")
+    words = different_tokens(spark, d).select(T.to_arabic(bw).alias("form"), bw.alias("bw"), morphology.lookup_either(bw, "NN", "VB").alias("analysis"), F.when(F.length(bw) > 3, F.array(bw, light)).otherwise(F.array().cast("array<string>")).alias("others"))
+    return morphology.agreement_counts(morphology.agreement(words))

@@ -59,10 +59,12 @@ def gold_of(rows: DataFrame, labels: list[str]) -> DataFrame:
 
 
 def gold_standard(spark: SparkSession, path: str, until: int | None = None) -> DataFrame:
-    """form, tag, bw of the different lines of a CSV after its first two (and before line `until`): those whose tag is of a noun or a verb."""
-    lines = spark.read.text(path)
-    numbered = lines.rdd.map(lambda r: r["value"]).zipWithIndex().toDF("value string, n long")
-    kept = numbered.where((F.col("n") >= 2) & (F.col("n") < until if until is not None else F.lit(True))).select("value").distinct()
+    """form, tag, bw of the different lines of CSV files after the first two of each (and before line `until`): those whose tag is of a noun or a verb.
+
+    A file is read whole to number its lines: gold standards are made by hand.
+    """
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("n", "value"))
+    kept = lines.where((F.col("n") >= 2) & (F.col("n") < until if until is not None else F.lit(True))).select("value").distinct()
     cells = F.split(T.strip(F.col("value")), ",")
     rows = kept.where(F.size(cells) > 1).select(F.get(cells, 0).alias("form"), F.get(cells, 1).alias("tag"))
     return rows.where(F.substring("tag", 1, 2).isin("NN", "VB")).withColumn("bw", T.shaddas(T.to_buckwalter(F.col("form"))))

@@ -11,7 +11,7 @@ def test_feature_lines_have_every_term(spark):
     rows = spark.createDataFrame([(1, f"t{i:03}", 1.0 / (i + 1)) for i in range(120)], "doc_id long, token string, w double")
     line = reports.feature_lines(rows).collect()[0].line
     assert [x.split(": ")[0] for x in line.split(", ")] == [f"t{i:03}" for i in range(120)]
-    made = catalog.QUERIES["feature_lines_whole"](spark, "/root/testdata/sf0.001").collect()
+    made = catalog.QUERIES["feature_lines"](spark, "/root/testdata/sf0.001").collect()
     assert max(r.line.count(", ") for r in made) > 50
 
 
@@ -26,7 +26,7 @@ def test_svd_has_every_term(spark):
         m[row[r.doc_id], at[r.token]] = r.w
     want = np.linalg.svd(m, compute_uv=False)[:10]
     assert np.allclose([r.s for r in catalog.QUERIES["svd"](spark, d).orderBy("i").collect()], want, atol=1e-6)
-    assert {r.token: r.idx for r in catalog.QUERIES["term_index_whole"](spark, d).collect()} == at
+    assert {r.token: r.idx for r in catalog.QUERIES["term_index"](spark, d).collect()} == at
 
 
 def test_reconstruction_over_many_terms(spark):
