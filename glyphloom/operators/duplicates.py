@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -54,15 +55,15 @@ def near(docs: DataFrame, cost: int = 2, similar: Callable[[list[str], list[str]
     A document that equals the group's first one, or is `cost` edits away from it, joins its group; any other starts one. Of a group the document with
     the most different tokens is kept, the first of equals. Groups are named by their first document.
 
-    The order is dealt out in ranges that are folded side by side. A range needs the first document of the group that is open where it begins; ranges are
-    folded again while that changes, which soon ends, as groups are short beside ranges. Only these documents, one a range, come to the driver.
+    The order is dealt out in ranges that are folded side by side. A range needs the first document of the group that is open where it begins; the ranges
+    for which that has changed are folded again until none has, which soon ends, as groups are short beside ranges. Only these documents, one a range, come to the driver.
     """
     alike = similar or (lambda a, b: a == b or alignment_cost(a, b, cost) == cost)
     rows = written(with_tokens(docs).withColumn("features", F.size(F.array_distinct("tokens"))), "tokens")
     placed = written(rows.repartitionByRange("tokens", "doc_id").withColumn("range", F.spark_partition_id()), "ranges")
     schema = "doc_id long, group_id long, features int, range int, head array<string>"
 
-    def folded(opened: dict[int, tuple[int, list[str]]]) -> DataFrame:
+    def folded(opened: dict[int, tuple[int, list[str]]], some: DataFrame) -> DataFrame:
         def fold(part: pd.DataFrame) -> pd.DataFrame:
             part = part.assign(key=[tuple(t) for t in part["tokens"]]).sort_values(["key", "doc_id"], kind="stable")
             group, head = opened.get(int(part["range"].iloc[0]), (None, None))
@@ -75,15 +76,21 @@ def near(docs: DataFrame, cost: int = 2, similar: Callable[[list[str], list[str]
             heads = [None] * (len(groups) - 1) + [head]
             return pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "group_id": groups, "features": part["features"].to_numpy(), "range": part["range"].to_numpy(), "head": heads})
 
-        return placed.groupBy("range").applyInPandas(fold, schema)
+        return some.groupBy("range").applyInPandas(fold, schema)
 
     opened: dict[int, tuple[int, list[str]]] = {}
+    last: dict[int, tuple[int, list[str]]] = {}
+    passes: list[DataFrame] = []
+    again: list[int] | None = None  # the ranges of this pass, at first all
     while True:
-        made = written(folded(opened), "groups")
-        last = {r["range"]: (r["group_id"], list(r["head"])) for r in made.where("head IS NOT NULL").collect()}
+        made = written(folded(opened, placed if again is None else placed.where(F.col("range").isin(again))), "groups")
+        passes = [p.where(~F.col("range").isin(again)) for p in passes if again is not None] + [made]
+        last |= {r["range"]: (r["group_id"], list(r["head"])) for r in made.where("head IS NOT NULL").collect()}
         after = {k: last[before] for before, k in zip(sorted(last), sorted(last)[1:])}
-        if after == opened:
-            break
+        again = sorted(k for k in after if after[k] != opened.get(k))
         opened = after
+        if not again:
+            break
+    made = reduce(DataFrame.unionByName, passes)
     order = Window.partitionBy("group_id").orderBy(F.col("features").desc(), "doc_id")
     return made.select("doc_id", "group_id", (F.row_number().over(order) == 1).alias("kept"))

@@ -516,7 +516,7 @@ def trained_and_tested(spark: SparkSession, d: str) -> DataFrame:
     " UNION ALL ".join(f"SELECT CAST({t!r}{'' if 'e' in repr(t) else 'e0'} AS DOUBLE) AS threshold, * FROM ({assemble(measured('tconf'), **tested_parts(1, repr(t) + ('' if 'e' in repr(t) else 'e0')))})" for t in tune.grid_values(1.0, 0.2, 0.4, True))
 )
 def trained_range(spark: SparkSession, d: str) -> DataFrame:
-    """One round of tuning from each of three starting thresholds."""
+    """One round of tuning from each of two starting thresholds."""
     x = Labelled(spark, d)
     held = F.col("doc_id") % 5 == 0
     return tune.create_and_tune_range(x.docs.where(~held), x.docs.where(held), x.gold, 1.0, 0.2, 0.4, top=TOP, rounds=1, labels=LABELS)
