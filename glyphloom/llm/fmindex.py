@@ -289,7 +289,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False, **opti
 
     A word goes if a window that covers it also starts in a document with a smaller doc_id, as the texts came. Null texts have no words.
     Rows of one doc_id don't count against each other; a null doc_id counts as larger than all others. Texts of fewer than
-    `window` words keep all. The hash is that of the kept words joined by one space; kept_text keeps their own white space.
+    `window` words keep all; very long ones are read whole, each alone in its slice. The hash is that of the kept words joined by one space;
+    kept_text keeps their own white space. No rows give no rows; other columns are ignored.
     """
     rows = with_key(docs)
     runs = repeated(rows, windows_by_fm, ("least",), window, **options)
@@ -308,7 +309,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False, **opti
 def deduplicated(docs: DataFrame, window: int = WINDOW, **options: object) -> DataFrame:
     """docs with the repeated passages cut out of `text` and n_chars, where there is one, counted anew; a document of which no word is left, though it had some, goes.
 
-    Rows without a removal keep their text as it was, a null too. docs may have any columns.
+    Rows without a removal keep their text as it was, a null too; rows that repeat a document fare alike. Texts may be of any length. docs may have any columns.
     """
     did, tkey, left, maybe, body = fresh(docs, "did", "tkey", "left_over", "maybe", "kept_text")
     made = dedup(docs, window, True, **options).where("n_removed > 0")

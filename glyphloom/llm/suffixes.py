@@ -93,7 +93,8 @@ def passages(docs: DataFrame, window: int = WINDOW, **options: object) -> DataFr
     Every repeated window is matched with the smallest doc_id that holds it; in the document that has this doc_id, with the largest. So all
     documents of a passage are linked through its smallest one, and no group's pairs are listed. Passages are merged windows, as word
     positions; n_words counts their words. Documents without a repeated passage have no row, nor do null, empty or shorter texts.
-    Passages that only rows of one doc_id share don't count. A null doc_id takes part as the largest and stays null.
+    Passages that only rows of one doc_id share don't count; rows that repeat a document have one row together. A null doc_id takes part as the
+    largest and stays null. Very long texts are read whole, each alone in its slice. No rows give no rows; other columns are ignored.
     """
     runs = repeated(with_key(docs), windows_by_suffixes, ("least", "most"), window, **options)
     some = runs.where(F.exists(F.arrays_zip("least", "most"), lambda x: x["least"] != x["most"]))
