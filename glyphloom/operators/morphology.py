@@ -182,6 +182,11 @@ def shown(pair: Column, bw: Column | None = None) -> Column:
     return F.concat_ws("/", pair["form"], pair["tag"]) if bw is None else F.concat_ws("/", pair["tag"], pair["form"], bw)
 
 
+def all_shown(pairs: Column) -> Column:
+    """form/tag of each pair."""
+    return F.transform(pairs, lambda p: shown(p))
+
+
 def matches(a: Column, b: Column) -> Column:
     """Whether two pairs agree, where ??? stands for any tag or form; null where the tags differ."""
     any_tag = (a["tag"] == "???") | (b["tag"] == "???")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphloom.functions import text as T
@@ -17,6 +17,7 @@ from glyphloom.sources import corpora, reports
 from glyphloom.storage import scratch, written
 from glyphloom.streaming import service
 
+from . import words as W
 from .sql import NEAR, PARTS, TSV, assemble, corrections, measured, trained_and_tested as tested_parts, tuned
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -577,7 +578,7 @@ def different_tokens(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def morphology_lookup(spark: SparkSession, d: str) -> DataFrame:
     pairs = morphology.lookup_either(F.col("token"), "NN", "VB")
-    return different_tokens(spark, d).select("token", F.transform(pairs, morphology.shown).alias("analysis"))
+    return different_tokens(spark, d).select("token", morphology.all_shown(pairs).alias("analysis"))
 
 
 @query()
@@ -597,7 +598,7 @@ def gold_lookup(spark: SparkSession, d: str) -> DataFrame:
     """The gold standard's words with their analyses, as form/tag, and the pair that names a root."""
     done = morphology.lookup_all(corpora.gold_standard(spark, gold_lines(spark, d)))
     pairs = morphology.not_empty(F.col("analysis"))
-    return done.select("form", "tag", "bw", "source", F.transform(pairs, morphology.shown).alias("analysis"), morphology.root(F.col("analysis"))["form"].alias("root"))
+    return done.select("form", "tag", "bw", "source", morphology.all_shown(pairs).alias("analysis"), morphology.root(F.col("analysis"))["form"].alias("root"))
 
 
 @query()
@@ -606,6 +607,144 @@ def segment_index(spark: SparkSession, d: str) -> DataFrame:
     return morphology.show_index(morphology.index_by_segment(morphology.lookup_all(corpora.gold_standard(spark, gold_lines(spark, d)))))
 
 
+# Words in which all rules of the grammar come to bear: the tables have none in Arabic script. What is expected of them comes from a second engine.
+
+
+def grammar_words(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(W.words())), "n int, word string")
+
+
+_EXPECTED = W.rows() if W.regex else None
+
+
+def expected(columns: str) -> str | None:
+    return _EXPECTED and f"SELECT {columns} FROM {_EXPECTED}"
+
+
+@query(expected("n, word, as_noun, as_verb, len(as_noun) AS parts"))
+def grammar_analyses(spark: SparkSession, d: str) -> DataFrame:
+    w = F.col("word")
+    noun, verb = morphology.lookup_either(w, "NN", "VB"), morphology.lookup_either(w, "VB", "NN")
+    made = grammar_words(spark).select("n", "word", noun.alias("noun"), verb.alias("verb"))
+    return made.select("n", "word", morphology.all_shown(F.col("noun")).alias("as_noun"), morphology.all_shown(F.col("verb")).alias("as_verb"), F.when(F.col("noun").isNotNull(), F.size("noun").cast("long")).alias("parts"))
+
+
+@query(expected("n, word, segments"))
+def grammar_segments(spark: SparkSession, d: str) -> DataFrame:
+    return grammar_words(spark).select("n", "word", morphology.stem_word(F.col("word")).alias("segments"))
+
+
+@query(expected("translate(word, '" + _BW + f"', '{T.ARABIC}') AS value, stemmed AS answer"))
+def grammar_requests(spark: SparkSession, d: str) -> DataFrame:
+    """The service's answers to the words in Arabic script."""
+    return service.answers(grammar_words(spark).select(T.to_arabic(F.col("word")).alias("value")), morphology.stem_text)
+
+
+@query(expected("word AS bw, tag, 'main' AS source, CASE WHEN tag = 'VB' THEN as_verb ELSE as_noun END AS analysis").replace(_EXPECTED, f"{_EXPECTED}, (VALUES ('NNS'), ('VB')) t(tag)") if _EXPECTED else None)
+def grammar_gold(spark: SparkSession, d: str) -> DataFrame:
+    """The words as a gold standard's nouns and verbs; a tag that is neither goes."""
+    tags = F.explode(F.array(*map(F.lit, ("NNS", "VB", "VBD", "XX")))).alias("tag")
+    gold = grammar_words(spark).select(T.to_arabic(F.col("word")).alias("form"), tags, F.col("word").alias("bw"))
+    return morphology.lookup_all(gold).select("bw", "tag", "source", morphology.all_shown(F.col("analysis")).alias("analysis"))
+
+
+# A light analysis in SQL's means, for what is done with analyses: a conjunction before the word, an ending behind it, and the first letters as its root.
+
+
+def light(bw: Column) -> Column:
+    conj = F.regexp_extract(bw, "^([wf])...", 1)
+    rest = F.substring(bw, F.length(conj) + 1, F.length(bw))
+    ending = F.regexp_extract(rest, "..(At|hA|h|k|y|A)$", 1)
+    stem = F.left(rest, F.length(rest) - F.length(ending))
+    pair = lambda tag, form: F.struct(F.lit(tag).alias("tag"), form.alias("form"))
+    return F.array(pair("NCONJ", F.nullif(conj, F.lit(""))), pair("ROOT", F.left(stem, F.lit(3))), pair("NSTEM", stem), pair("CASE", ending))
+
+
+_LIGHT = {
+    "lit": "SELECT DISTINCT token AS bw, regexp_extract(token, '^([wf])...', 1) AS conj FROM tok",
+    "rested": "SELECT *, substring(bw, 1 + length(conj)) AS rest FROM lit",
+    "ended": "SELECT *, regexp_extract(rest, '..(At|hA|h|k|y|A)$', 1) AS ending FROM rested",
+    "stemmed": "SELECT *, left(rest, CAST(length(rest) - length(ending) AS BIGINT)) AS stem FROM ended",
+    "paired": "SELECT *, [{'tag': 'NCONJ', 'form': nullif(conj, '')}, {'tag': 'ROOT', 'form': left(stem, 3)}, {'tag': 'NSTEM', 'form': stem}, {'tag': 'CASE', 'form': ending}] AS analysis FROM stemmed",
+    "plained": r"""SELECT *, replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(
+        regexp_replace(array_to_string(list_transform(analysis, lambda p: concat_ws('/', p.form, p.tag)), '+'), '\+/[A-Z]*', '', 'g'), 'All/NAME', 'Allh/NAME'), '+A/CASE', '+AF/CASE'), '+l/DET', '+Al/DET'),
+        '/[^+]*', '', 'g'), '^\+|\+$', '', 'g'), '\++', '+', 'g'), '}', ''), '+FA', '+AF'), '+F', '+AF') AS ours FROM paired""",
+    "other": f"SELECT *, translate(bw, '{_BW}', '{T.ARABIC}') AS form, CASE WHEN length(bw) % 3 = 0 THEN [] WHEN length(bw) % 3 = 1 THEN [ours] ELSE [bw, stem || '+' || ending] END AS others FROM (SELECT * REPLACE (CASE WHEN length(bw) % 5 = 0 THEN '' ELSE ours END AS ours) FROM plained)",
+}
+
+
+def lightly(spark: SparkSession, d: str) -> DataFrame:
+    return different_tokens(spark, d).select(F.col("token").alias("bw")).withColumn("analysis", light(F.col("bw")))
+
+
+@query(
+    assemble(
+        f"""SELECT bw, list_transform(list_filter(analysis, lambda p: p.form IS NOT NULL), lambda p: p.form || '/' || p.tag) AS shown, analysis[2].form AS root, ours,
+        array_to_string(list_transform(analysis, lambda p: concat_ws('/', translate(p.form, '{_BW}', '{T.ARABIC}'), p.tag)), ' ') AS script, 'NSTEM/' || stem || '/' || bw AS named,
+        CASE WHEN conj = '' THEN NULL ELSE conj = stem END AS same, stem = ending AS wild FROM plained""",
+        **_LIGHT,
+    )
+)
+def pair_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of tag and form: shown, without empty ones, the root, in the other spelling, in Arabic script, and matched."""
+    at = lambda i: F.col("analysis")[i]
+    as_stem = F.struct(F.lit("NSTEM").alias("tag"), at(0)["form"].alias("form"))
+    any_tag = F.struct(F.lit("???").alias("tag"), at(3)["form"].alias("form"))
+    return lightly(spark, d).select(
+        "bw", morphology.all_shown(morphology.not_empty(F.col("analysis"))).alias("shown"), morphology.root(F.col("analysis"))["form"].alias("root"), morphology.plain(F.col("analysis")).alias("ours"),
+        morphology.in_script(F.col("analysis")).alias("script"), morphology.shown(at(2), F.col("bw")).alias("named"), morphology.matches(at(2), as_stem).alias("same"), morphology.matches(any_tag, at(2)).alias("wild"),
+    )
+
+
+@query(
+    assemble(
+        """SELECT bw, CASE WHEN len(others) = 0 AND ours = '' THEN 'PURPLE' WHEN list_contains(others, ours) THEN 'BLACK' WHEN ours = '' THEN 'GREEN' WHEN len(others) = 0 THEN 'BLUE' ELSE 'RED' END AS colour FROM other
+        WHERE length(bw) <> 1 AND len(list_filter(string_split(bw, ''), lambda c: c <> '' AND NOT contains(form, c))) > 0""",
+        **_LIGHT,
+    )
+)
+def agreement_classes(spark: SparkSession, d: str) -> DataFrame:
+    """How the light analysis stands to a list made from it: words without a partner, without an analysis, and those that agree or don't."""
+    bw = F.col("bw")
+    known = F.when(F.length(bw) % 5 != 0, F.col("analysis"))
+    rest = F.concat(F.col("analysis")[2]["form"], F.lit("+"), F.col("analysis")[3]["form"])
+    shown = F.when(F.length(bw) % 5 == 0, "").otherwise(morphology.plain(F.col("analysis")))
+    others = F.when(F.length(bw) % 3 == 0, F.array().cast("array<string>")).when(F.length(bw) % 3 == 1, F.array(shown)).otherwise(F.array(bw, rest))
+    rows = lightly(spark, d).withColumns({"form": T.to_arabic(bw), "others": others}).withColumn("analysis", known)
+    return morphology.agreement(rows).select("bw", "colour")
+
+
+@query(
+    assemble(
+        """SELECT segment, count(*) AS size, list(form ORDER BY form, bw)[:20] AS words FROM (SELECT DISTINCT p.form || '/' || p.tag AS segment, form, bw FROM (SELECT bw, form, unnest(analysis) AS p FROM other) WHERE p.tag <> 'ROOT' AND p.form IS NOT NULL) GROUP BY segment""",
+        **_LIGHT,
+    )
+)
+def light_segments(spark: SparkSession, d: str) -> DataFrame:
+    """The words of each segment of the light analysis, the first 20 of them by name."""
+    rows = lightly(spark, d).select(T.to_arabic(F.col("bw")).alias("form"), F.lit("NN").alias("tag"), "bw", morphology.not_empty(F.col("analysis")).alias("analysis"))
+    return morphology.show_index(morphology.index_by_segment(rows), 20)
+
+
+@query(assemble("SELECT doc_id, token, w0, w, CASE WHEN w0 < 0.004e0 THEN '*' ELSE '' END AS star FROM (SELECT doc_id, token, CASE WHEN df <= 5 THEN w ELSE 0.0e0 END AS w0, w FROM weights) WHERE w > 0.004e0"))
+def weights_compared(spark: SparkSession, d: str) -> DataFrame:
+    """The weights beyond a bound beside those of rare terms alone."""
+    rows = written(features.tfidf(all_tokens(spark, d)), "weights")
+    return lsa.compare(rows.where("df <= 5"), rows.select("doc_id", "token", "w"), 0.004)
+
+
+@query(assemble("SELECT doc_id, list(CAST(idx AS INTEGER) ORDER BY idx) AS terms FROM weights JOIN (SELECT token, row_number() OVER (ORDER BY token) - 1 AS idx FROM (SELECT DISTINCT token FROM weights)) USING (token) GROUP BY doc_id"))
+def matrix_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = written(lsa_features(spark, d), "matrix")
+    return lsa.matrix_rows(rows, lsa.term_index(rows)).select("doc_id", F.col("entries.idx").alias("terms"))
+
+
+@query(assemble("SELECT doc_id, '<' || CAST(CAST(round(size, 6) AS DECIMAL(18, 6)) AS VARCHAR) || ', ' || text || '>' AS shown FROM sizes JOIN (SELECT doc_id, text FROM documents) USING (doc_id)"))
+def document_forms(spark: SparkSession, d: str) -> DataFrame:
+    sizes = features.norms(all_tokens(spark, d)).withColumn("size", F.round("size", 6).cast("decimal(18,6)"))
+    return reports.document_form(documents(spark, d), sizes)
+
+
 @query()
 def analyser_agreement(spark: SparkSession, d: str) -> DataFrame:
     """Our analyses of the documents' tokens, in Arabic script as forms, beside a light stemmer's: a conjunction or article before the word, a pronoun or plural behind it."""
