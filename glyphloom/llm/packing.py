@@ -95,15 +95,15 @@ class Bm25:
         self.own = np.split(term, np.searchsorted(doc, np.arange(1, n)))
         order = np.argsort(term, kind="stable")
         self.docs, self.weights = doc[order], weights[order]
-        self.start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(used)))])
+        self.many = np.bincount(term, minlength=len(used))
+        self.start = np.cumsum(self.many) - self.many
 
     def scores(self, doc: int) -> np.ndarray:
         """The score of each document for one document's distinct terms as the query."""
         terms = self.own[doc]
-        spans = list(zip(self.start[terms].tolist(), self.start[terms + 1].tolist(), strict=True))
-        if not spans:
-            return np.zeros(self.n)
-        return np.bincount(np.concatenate([self.docs[a:b] for a, b in spans]), weights=np.concatenate([self.weights[a:b] for a, b in spans]), minlength=self.n)
+        begin, size = self.start[terms], self.many[terms]
+        at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return np.bincount(self.docs[at], weights=self.weights[at], minlength=self.n)
 
 
 def arrange(sizes: np.ndarray, scores: Callable[[int], np.ndarray], width: int, offset: int = 0) -> list[int]:
