@@ -49,6 +49,16 @@ def own_columns(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
 
 
+def bundled(df: DataFrame, name: str) -> Column:
+    """All columns of df as one struct, which goes through Python whatever their names are."""
+    return F.struct(*own_columns(df)).alias(name)
+
+
+def unbundled(df: DataFrame, name: str) -> list[Column]:
+    """The columns of bundled() again."""
+    return [F.col(name).getField(c).alias(c) for c in df.columns]
+
+
 def partitions_for(groups: int, each: int = 8, most: int = 50_000) -> int:
     """Partitions that many groups of bounded size are dealt to, about `each` a task: as many more as the input grows, up to what a driver can keep track of."""
     return min(most, pieces_for(groups, each))
