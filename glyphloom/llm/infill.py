@@ -1,7 +1,8 @@
 """Operator 13: fill-in-the-middle documents, cut at the offsets of an isolating pre-tokenizer.
 
 A Split pre-tokenizer whose regular expression matches any one code point, with its matches isolated, gives every code point an offset pair;
-nothing is trained. The length of the offset array is n, the offset of a rank is where a slice ends.
+nothing is trained. The length of the offset array is n, the offset of a rank is where a slice ends. As words come again, a first Split isolates runs
+of letters and of what is between them, and a run that is known already is not split again: its offsets are moved to where it stands.
 """
 
 from __future__ import annotations
@@ -22,21 +23,39 @@ from .common import bundled, fresh, slices, small_batches, unbundled
 MARKS = ("<P>", "<S>", "<M>")
 #: Of a hundred documents, those that are cut; of a hundred of these, those with the suffix first.
 CUT, SUFFIX_FIRST = 90, 20
-#: Code points that the pre-tokenizer gets at once: its pieces take some two hundred bytes each.
-SEGMENT = 512
-
-
-def offsets(text: str, splitter: pre_tokenizers.PreTokenizer, segment: int = SEGMENT) -> np.ndarray:
-    """Where each code point of the text ends, in order. A text goes through the splitter in segments, whose offsets are moved on, so that memory is four bytes a code point."""
-    found = []
-    for at in range(0, len(text), segment):
-        pieces = splitter.pre_tokenize_str(text[at : at + segment])
-        found.append(np.fromiter((place[1] for _, place in pieces), np.uint32, len(pieces)) + np.uint32(at))
-    return np.concatenate(found) if found else np.zeros(0, np.uint32)
-
-
-def isolating() -> pre_tokenizers.PreTokenizer:
-    return pre_tokenizers.Split(Regex(r"[\s\S]"), "isolated")
+#: Code points that the pre-tokenizers get at once: their pieces take some two hundred bytes each.
+SEGMENT = 2048
+#: Runs up to so many code points are remembered, and so many of them.
+KNOWN_CHARS, KNOWN = 32, 1 << 16
+
+
+class Offsets:
+    """Where the code points of texts end."""
+
+    def __init__(self, segment: int = SEGMENT, known: int = KNOWN) -> None:
+        self.runs = pre_tokenizers.Split(Regex(r"\p{L}+|\P{L}+"), "isolated")
+        self.each = pre_tokenizers.Split(Regex(r"[\s\S]"), "isolated")
+        self.segment, self.most = segment, known
+        self.known: dict[str, np.ndarray] = {}
+
+    def of_run(self, run: str) -> np.ndarray:
+        pieces = self.each.pre_tokenize_str(run)
+        ends = np.array([end for _, (_, end) in pieces], np.uint32)
+        if len(run) <= KNOWN_CHARS:
+            if len(self.known) >= self.most:
+                self.known.clear()
+            self.known[run] = ends
+        return ends
+
+    def __call__(self, text: str) -> np.ndarray:
+        """The end of each code point, in order. A text goes through in segments, so that memory is four bytes a code point beside one segment's pieces."""
+        found = [np.zeros(0, np.uint32)]
+        for at in range(0, len(text), self.segment):
+            runs = self.runs.pre_tokenize_str(text[at : at + self.segment])
+            ends = [self.known[run] if run in self.known else self.of_run(run) for run, _ in runs]
+            starts = np.array([start for _, (start, _) in runs], np.uint32) + np.uint32(at)
+            found.append(np.concatenate(ends) + np.repeat(starts, [len(x) for x in ends]))
+        return np.concatenate(found)
 
 
 def draws(doc_id: int | None, seed: int) -> list[int]:
@@ -45,9 +64,9 @@ def draws(doc_id: int | None, seed: int) -> list[int]:
     return [int(said[i : i + 8], 16) for i in range(0, 32, 8)]
 
 
-def infilled(text: str, doc_id: int | None, splitter: pre_tokenizers.PreTokenizer, seed: int = 1, marks: tuple[str, str, str] = MARKS, cut: int = CUT, suffix_first: int = SUFFIX_FIRST) -> tuple[int, str, int | None, int | None, str]:
+def infilled(text: str, doc_id: int | None, offsets: Offsets, seed: int = 1, marks: tuple[str, str, str] = MARKS, cut: int = CUT, suffix_first: int = SUFFIX_FIRST) -> tuple[int, str, int | None, int | None, str]:
     """(n, form, code points of the prefix, of the middle, output)."""
-    ends = offsets(text, splitter)
+    ends = offsets(text)
     n = len(ends)
     first, second, kept, turned = draws(doc_id, seed)
     if not n or any(m in text for m in marks) or kept % 100 >= cut:
@@ -74,10 +93,10 @@ def transformed(docs: DataFrame, seed: int = 1, marks: tuple[str, str, str] = MA
     schema = T.StructType([ready.schema["own"], *(T.StructField(name, kind) for name, kind in fields.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = isolating()
+        offsets = Offsets()
         for batch in slices(batches):
             pairs = zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)
-            rows = [infilled(t or "", d, splitter, seed, marks, cut, suffix_first) for d, t in pairs]
+            rows = [infilled(t or "", d, offsets, seed, marks, cut, suffix_first) for d, t in pairs]
             made = [pa.array(x, pa.string() if isinstance(kind, T.StringType) else pa.int64()) for x, kind in zip(zip(*rows, strict=True), fields.values(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("own"), *made], names=schema.names)
 

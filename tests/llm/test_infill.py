@@ -39,7 +39,7 @@ def test_odd_rows_come_back(spark):
     rng = random.Random(4)
     parts = ["<", "<S", "<P", "<M", ">", "S>", "P", "M>", "a", "é", "é", "👩‍👩", "\n", "\r\n", "\x00", " ", " ", "ß", "中"]
     rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(0, 12)))) for i in range(400)]
-    rows += [(None, "no id"), (None, "no id"), (500, None), (501, ""), (502, "<P>"), (503, "x<M>"), (-7, "minus"), (504, "long é text\n" * 40_000), (505, "<S >"), (506, "z" * infill.SEGMENT), (507, "z" * (infill.SEGMENT + 1))]
+    rows += [(None, "no id"), (None, "no id"), (500, None), (501, ""), (502, "<P>"), (503, "x<M>"), (-7, "minus"), (504, "long é text\n" * 40_000), (505, "<S >"), (506, "z" * infill.SEGMENT), (507, "z" * (infill.SEGMENT + 1)), (508, "y " * infill.SEGMENT)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = made(docs).collect()
     order = lambda x: (str(x[0]), x[5])
@@ -61,7 +61,8 @@ def test_names_that_clash_and_other_parameters(spark):
 
 
 def test_offsets_are_those_of_code_points():
-    splitter = infill.isolating()
-    for text in ("", "a", "\n\n", "é👩‍👩\x00", "ab" * 3000):
-        for segment in (1, 2, 512):
-            assert infill.offsets(text, splitter, segment).tolist() == list(range(1, len(text) + 1))
+    for text in ("", "a", "\n\n", "é👩‍👩\x00", "ab" * 3000, "one two, one\ttwo " * 50, "x" * 31 + " " + "x" * 33):
+        for segment, known in ((1, 9), (2, 1), (2048, 1 << 16)):
+            offsets = infill.Offsets(segment, known)
+            for _ in range(2):
+                assert offsets(text).tolist() == list(range(1, len(text) + 1))
