@@ -1,16 +1,18 @@
 """Operator 13: fill-in-the-middle documents, cut at the offsets of an isolating pre-tokenizer.
 
 A Split pre-tokenizer whose regular expression matches any one code point, with its matches isolated, gives every code point an offset pair;
-nothing is trained. The length of the offset array is n, the offset of a rank is where a slice ends. As words come again, a first Split isolates runs
-of letters and of what is between them, and a run that is known already is not split again: its offsets are moved to where it stands.
+nothing is trained. The length of the offset array is n, the offset of a rank is where a slice ends. A text goes
+through in segments: the lengths of their offset arrays are summed, and the segment where a rank falls gives its offset.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,39 +25,30 @@ from .common import bundled, fresh, slices, small_batches, unbundled
 MARKS = ("<P>", "<S>", "<M>")
 #: Of a hundred documents, those that are cut; of a hundred of these, those with the suffix first.
 CUT, SUFFIX_FIRST = 90, 20
-#: Code points that the pre-tokenizers get at once: their pieces take some two hundred bytes each.
-SEGMENT = 2048
-#: Runs up to so many code points are remembered, and so many of them.
-KNOWN_CHARS, KNOWN = 32, 1 << 16
+#: Code points of a segment: a piece takes some two hundred bytes.
+SEGMENT = 128
 
 
 class Offsets:
-    """Where the code points of texts end."""
-
-    def __init__(self, segment: int = SEGMENT, known: int = KNOWN) -> None:
-        self.runs = pre_tokenizers.Split(Regex(r"\p{L}+|\P{L}+"), "isolated")
-        self.each = pre_tokenizers.Split(Regex(r"[\s\S]"), "isolated")
-        self.segment, self.most = segment, known
-        self.known: dict[str, np.ndarray] = {}
-
-    def of_run(self, run: str) -> np.ndarray:
-        pieces = self.each.pre_tokenize_str(run)
-        ends = np.array([end for _, (_, end) in pieces], np.uint32)
-        if len(run) <= KNOWN_CHARS:
-            if len(self.known) >= self.most:
-                self.known.clear()
-            self.known[run] = ends
-        return ends
-
-    def __call__(self, text: str) -> np.ndarray:
-        """The end of each code point, in order. A text goes through in segments, so that memory is four bytes a code point beside one segment's pieces."""
-        found = [np.zeros(0, np.uint32)]
-        for at in range(0, len(text), self.segment):
-            runs = self.runs.pre_tokenize_str(text[at : at + self.segment])
-            ends = [self.known[run] if run in self.known else self.of_run(run) for run, _ in runs]
-            starts = np.array([start for _, (start, _) in runs], np.uint32) + np.uint32(at)
-            found.append(np.concatenate(ends) + np.repeat(starts, [len(x) for x in ends]))
-        return np.concatenate(found)
+    """Where the code points of a text end."""
+
+    def __init__(self, segment: int = SEGMENT) -> None:
+        self.split = pre_tokenizers.Split(Regex(r"(?m:.)"), "isolated").pre_tokenize_str
+        self.segment = segment
+
+    def sizes(self, text: str) -> list[int]:
+        """The number of offsets in each segment."""
+        split, step = self.split, self.segment
+        return [len(split(text[at : at + step])) for at in range(0, len(text), step)]
+
+    def ends(self, text: str, sizes: list[int], ranks: tuple[int, ...]) -> list[int]:
+        """The offset behind each of some ranks, counted from 1; rank 0 is the start."""
+        before, found = [0, *accumulate(sizes)], []
+        for rank in ranks:
+            i = bisect_left(before, rank) - 1
+            at = i * self.segment
+            found.append(at + self.split(text[at : at + self.segment])[rank - before[i] - 1][1][1] if rank else 0)
+        return found
 
 
 def draws(doc_id: int | None, seed: int) -> list[int]:
@@ -66,14 +59,14 @@ def draws(doc_id: int | None, seed: int) -> list[int]:
 
 def infilled(text: str, doc_id: int | None, offsets: Offsets, seed: int = 1, marks: tuple[str, str, str] = MARKS, cut: int = CUT, suffix_first: int = SUFFIX_FIRST) -> tuple[int, str, int | None, int | None, str]:
     """(n, form, code points of the prefix, of the middle, output)."""
-    ends = offsets(text)
-    n = len(ends)
+    sizes = offsets.sizes(text)
+    n = sum(sizes)
     first, second, kept, turned = draws(doc_id, seed)
     if not n or any(m in text for m in marks) or kept % 100 >= cut:
         return n, "plain", None, None, text
     a, b = sorted((first % (n + 1), second % (n + 1)))
-    place = lambda rank: int(ends[rank - 1]) if rank else 0
-    prefix, middle, suffix = text[: place(a)], text[place(a) : place(b)], text[place(b) :]
+    i, j = offsets.ends(text, sizes, (a, b))
+    prefix, middle, suffix = text[:i], text[i:j], text[j:]
     p, s, m = marks
     if turned % 100 < suffix_first:
         return n, "spm", a, b - a, f"{s}{suffix}{p}{prefix}{m}{middle}"
@@ -85,7 +78,7 @@ def transformed(docs: DataFrame, seed: int = 1, marks: tuple[str, str, str] = MA
 
     Where a document is cut, whether at all and in which order hang on doc_id, seed and its number of code points alone, so that equal rows agree
     and reruns too. A null text is empty; an empty one, and one that holds a mark, stays plain, with null lengths. A null doc_id draws as the word
-    null. Texts may be of any length: one longer than a slice goes alone, and only its offsets, four bytes a code point, are held beside it. No rows give no rows. Nothing is shuffled.
+    null. Texts may be of any length: one longer than a slice goes alone, and of its offsets only a segment's are held at once. No rows give no rows. Nothing is shuffled.
     """
     small_batches(docs.sparkSession)
     fields = {"n": T.LongType(), "form": T.StringType(), "prefix_chars": T.LongType(), "middle_chars": T.LongType(), "output": T.StringType()}
@@ -94,6 +87,7 @@ def transformed(docs: DataFrame, seed: int = 1, marks: tuple[str, str, str] = MA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets = Offsets()
+        gc.disable()  # pieces hold no cycles, and looking for some takes a tenth of the time
         for batch in slices(batches):
             pairs = zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)
             rows = [infilled(t or "", d, offsets, seed, marks, cut, suffix_first) for d, t in pairs]
