@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +16,8 @@ from glyphloom.storage import written
 
 
 def with_tokens(docs: DataFrame) -> DataFrame:
-    """docs' doc_id and tokens, an array; dealt by doc_id first, as tokens take time and files may be few."""
-    return docs.select("doc_id", "text").repartition("doc_id").select("doc_id", T.tokens(F.col("text")).alias("tokens"))
+    """docs' doc_id and tokens, an array."""
+    return docs.select("doc_id", T.tokens(F.col("text")).alias("tokens"))
 
 
 def exact(docs: DataFrame) -> DataFrame:
@@ -55,42 +57,67 @@ def near(docs: DataFrame, cost: int = 2, similar: Callable[[list[str], list[str]
     A document that equals the group's first one, or is `cost` edits away from it, joins its group; any other starts one. Of a group the document with
     the most different tokens is kept, the first of equals. Groups are named by their first document.
 
-    The order is dealt out in ranges that are folded side by side. A range needs the first document of the group that is open where it begins; the ranges
-    for which that has changed are folded again until none has, which soon ends, as groups are short beside ranges. Only these documents, one a range, come to the driver.
+    Documents with equal tokens do the same, so the fold is over different token lists. Their order is dealt out in ranges, each of which a task folds as
+    its rows come, one head and one row at a time, so that memory stays flat. A range is right unless the group that is open before it takes its first
+    row in. Such ranges, mostly none, are folded again behind that group's head, until none changes. The driver learns the ranges' numbers and heads' ids.
     """
     alike = similar or (lambda a, b: a == b or alignment_cost(a, b, cost) == cost)
-    rows = written(with_tokens(docs).withColumn("features", F.size(F.array_distinct("tokens"))), "tokens")
-    placed = written(rows.repartitionByRange("tokens", "doc_id").withColumn("range", F.spark_partition_id()), "ranges")
-    schema = "doc_id long, group_id long, features int, range int, head array<string>"
-
-    def folded(opened: dict[int, tuple[int, list[str]]], some: DataFrame) -> DataFrame:
-        def fold(part: pd.DataFrame) -> pd.DataFrame:
-            part = part.assign(key=[tuple(t) for t in part["tokens"]]).sort_values(["key", "doc_id"], kind="stable")
-            group, head = opened.get(int(part["range"].iloc[0]), (None, None))
-            groups = []
-            for doc, tokens in zip(part["doc_id"], part["key"], strict=True):
-                tokens = list(tokens)
+    rows = written(with_tokens(docs).select("doc_id", "tokens", F.sha2(F.to_json(F.struct("tokens")), 256).alias("key")), "tokens")
+    lists = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens"))
+    schema = "range int, doc_id long, tokens array<string>, group_id long, head array<string>"
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows by range and tokens; one whose `opens` holds is the head of the group that is open before its range. The last row of a range has the head that is open behind it."""
+        task = TaskContext.get().partitionId()
+        group, head, before, held = None, None, None, None
+        for batch in batches:
+            made: list[tuple] = []
+            numbers = batch.column("range").to_pylist() if "range" in batch.schema.names else [task] * batch.num_rows
+            opens = batch.column("opens").to_pylist() if "opens" in batch.schema.names else [False] * batch.num_rows
+            for number, doc, tokens, opening in zip(numbers, batch.column("doc_id").to_pylist(), batch.column("tokens").to_pylist(), opens, strict=True):
+                if number != before:
+                    if held:
+                        made.append((*held, head))
+                    group, head, before, held = None, None, number, None
+                if opening:
+                    group, head = doc, tokens
+                    continue
+                if held:
+                    made.append((*held, None))
                 if head is None or not alike(head, tokens):
-                    group, head = int(doc), tokens
-                groups.append(group)
-            heads = [None] * (len(groups) - 1) + [head]
-            return pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "group_id": groups, "features": part["features"].to_numpy(), "range": part["range"].to_numpy(), "head": heads})
+                    group, head = doc, tokens
+                held = number, doc, tokens, group
+            yield _rows(made)
+        yield _rows([(*held, head)] if held else [])
 
-        return some.groupBy("range").applyInPandas(fold, schema)
+    def _rows(made: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int64(), pa.list_(pa.string()))
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*made, strict=True) if made else [[]] * 5, kinds, strict=True)], names=["range", "doc_id", "tokens", "group_id", "head"])
 
-    opened: dict[int, tuple[int, list[str]]] = {}
-    last: dict[int, tuple[int, list[str]]] = {}
-    passes: list[DataFrame] = []
-    again: list[int] | None = None  # the ranges of this pass, at first all
+    @F.pandas_udf("boolean")
+    def takes(head: pd.Series, first: pd.Series) -> pd.Series:
+        return pd.Series([a is not None and b is not None and bool(alike(list(a), list(b))) for a, b in zip(head, first, strict=True)])
+
+    parts = [written(lists.repartitionByRange("tokens").sortWithinPartitions("tokens").select("doc_id", "tokens").mapInArrow(fold, schema), "folded")]
+    opened: dict[int, int] = {}
     while True:
-        made = written(folded(opened, placed if again is None else placed.where(F.col("range").isin(again))), "groups")
-        passes = [p.where(~F.col("range").isin(again)) for p in passes if again is not None] + [made]
-        last |= {r["range"]: (r["group_id"], list(r["head"])) for r in made.where("head IS NOT NULL").collect()}
-        after = {k: last[before] for before, k in zip(sorted(last), sorted(last)[1:])}
-        again = sorted(k for k in after if after[k] != opened.get(k))
-        opened = after
+        made = reduce(DataFrame.unionByName, parts)
+        # A row a range: its first tokens, and the head behind the range before it.
+        ends = made.groupBy("range").agg(F.min("tokens").alias("first"), F.max(F.struct(F.col("head").isNotNull(), "group_id", "head")).alias("last"))
+        order = Window.orderBy("range")
+        met = ends.select("range", "first", F.lag("last.group_id").over(order).alias("group_id"), F.lag("last.head").over(order).alias("head"))
+        met = written(met.withColumn("takes", takes("head", "first")), "ends")
+        open_now = {r["range"]: r["group_id"] for r in met.where("takes").select("range", "group_id").collect()}
+        again = sorted(k for k in {*open_now, *opened} if open_now.get(k) != opened.get(k))
         if not again:
             break
-    made = reduce(DataFrame.unionByName, passes)
-    order = Window.partitionBy("group_id").orderBy(F.col("features").desc(), "doc_id")
-    return made.select("doc_id", "group_id", (F.row_number().over(order) == 1).alias("kept"))
+        opened = open_now
+        heads = met.where(F.col("takes") & F.col("range").isin(again)).select("range", F.col("group_id").alias("doc_id"), F.col("head").alias("tokens"), F.lit(True).alias("opens"))
+        some = made.where(F.col("range").isin(again)).select("range", "doc_id", "tokens", F.lit(False).alias("opens")).unionByName(heads)
+        folded = some.repartition("range").sortWithinPartitions("range", F.col("opens").desc(), "tokens")
+        parts = [p.where(~F.col("range").isin(again)) for p in parts] + [written(folded.mapInArrow(fold, schema), "folded")]
+    groups = made.select(F.col("doc_id").alias("first_id"), "group_id", F.size(F.array_distinct("tokens")).alias("features"))
+    first = rows.groupBy("key").agg(F.min("doc_id").alias("first_id"))
+    placed = written(rows.select("doc_id", "key").join(first, "key").join(groups, "first_id").select("doc_id", "group_id", "features"), "groups")
+    best = placed.groupBy("group_id").agg(F.max(F.struct("features", (-F.col("doc_id")).alias("id"))).alias("best")).select((-F.col("best.id")).alias("best_id"))
+    return placed.join(best, placed["doc_id"] == best["best_id"], "left").select("doc_id", "group_id", F.col("best_id").isNotNull().alias("kept"))

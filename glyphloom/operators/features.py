@@ -13,12 +13,21 @@ from glyphloom.storage import written
 
 
 def tokens(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, token of docs (doc_id, text).
+    """doc_id, pos, token of docs (doc_id, text). Nothing is shuffled."""
+    return docs.select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "token"))
 
-    Texts are dealt by doc_id before they become rows of tokens, which take several times the room: counts, sums and ranks
-    per document then need no shuffle of their own.
+
+def counts(docs: DataFrame) -> DataFrame:
+    """doc_id, token, n, tf of docs (doc_id, text), a row a document: term_frequency() of their tokens, without a shuffle.
+
+    A row's tokens are sorted, and the places where another one begins say how often each stands there.
     """
-    return docs.select("doc_id", "text").repartition("doc_id").select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "token"))
+    listed = docs.select("doc_id", F.sort_array(T.tokens(F.col("text"))).alias("t"))
+    changes = F.filter(F.transform("t", lambda x, i: F.when((i == 0) | (x != F.get(F.col("t"), i - 1)), i)), lambda i: i.isNotNull())
+    runs = listed.select("doc_id", "t", changes.alias("a")).select("doc_id", "t", "a", F.concat(F.slice("a", F.lit(2), F.size("a")), F.array(F.size("t"))).alias("b"))
+    # Everything of a row is in its struct, so that the lists don't go along with each.
+    pair = lambda a, b: F.struct(F.get(F.col("t"), a).alias("token"), (b - a).cast("long").alias("n"), ((b - a) / F.size("t")).alias("tf"))
+    return runs.select("doc_id", F.inline(F.zip_with(F.col("a"), F.slice("b", F.lit(1), F.size("a")), pair)))
 
 
 def gold(labels: DataFrame, names: list[str]) -> DataFrame:
@@ -32,7 +41,7 @@ def gold_of_class(docs: DataFrame, column: str, names: list[str]) -> DataFrame:
 
 
 def term_counts(tok: DataFrame) -> DataFrame:
-    """doc_id, token, n; of what already is such a table, itself."""
+    """doc_id, token, n; of what already has n, itself."""
     if "n" in tok.columns:
         return tok
     return tok.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
@@ -40,7 +49,7 @@ def term_counts(tok: DataFrame) -> DataFrame:
 
 def term_frequency(tok: DataFrame) -> DataFrame:
     """doc_id, token, n, tf: tf is n over all of the document's tokens."""
-    return term_counts(tok).withColumn("tf", F.col("n") / F.sum("n").over(Window.partitionBy("doc_id")))
+    return tok if "tf" in tok.columns else term_counts(tok).withColumn("tf", F.col("n") / F.sum("n").over(Window.partitionBy("doc_id")))
 
 
 def document_frequency(tok: DataFrame) -> DataFrame:
@@ -54,14 +63,33 @@ def vocabulary(tok: DataFrame) -> DataFrame:
 
 
 def frequencies(tok: DataFrame) -> DataFrame:
-    """term_frequency(), written once for what counts it by document and by term; of what has `tf` already, itself."""
-    return tok if "tf" in tok.columns else written(term_frequency(tok), "frequencies")
+    """term_frequency(), written once for what counts it by document and by term; of what is such a table already, itself."""
+    if hasattr(tok, "_glyphloom_path") and "tf" in tok.columns:
+        return tok
+    return written(tok if "tf" in tok.columns else term_frequency(tok), "frequencies")
+
+
+#: Terms that may be broadcast with their numbers: those of over a HEAVY-th of all (document, term) pairs, of which there can't be more.
+HEAVY = 1 << 15
+
+
+def with_vocabulary(tok: DataFrame) -> DataFrame:
+    """frequencies() rows of vocabulary terms, with df.
+
+    A term that very many documents have would gather its rows in one task of a join. But terms above a share of all rows are few, whatever the corpus:
+    these are broadcast, and their rows stay where they are. The others meet their numbers by hash.
+    """
+    found = written(document_frequency(tok), "df")
+    least = (found.agg(F.sum("df")).first()[0] or 0) / HEAVY
+    heavy = found.where(F.col("df") > least)
+    common = tok.join(F.broadcast(heavy.where("df > 1")), "token")
+    rest = tok.join(F.broadcast(heavy.select("token")), "token", "left_anti").join(found.where((F.col("df") <= least) & (F.col("df") > 1)), "token")
+    return common.unionByName(rest)
 
 
 def tfidf(tok: DataFrame, threshold: float = 0.0, per_doc: int | None = None) -> DataFrame:
     """doc_id, token, n, tf, df, w: w = tf / df of vocabulary terms, at least threshold, and of each document the per_doc heaviest."""
-    tok = frequencies(tok)
-    made = tok.join(vocabulary(tok), "token").withColumn("w", F.col("tf") * F.col("idf")).where(F.col("w") >= threshold)
+    made = with_vocabulary(frequencies(tok)).withColumn("w", F.col("tf") * (1.0 / F.col("df"))).where(F.col("w") >= threshold)
     made = made.select("doc_id", "token", "n", "tf", "df", "w")
     if per_doc is None:
         return made
@@ -72,7 +100,9 @@ def tfidf(tok: DataFrame, threshold: float = 0.0, per_doc: int | None = None) ->
 def pruned_vocabulary(tok: DataFrame, threshold: float) -> DataFrame:
     """The vocabulary's terms that keep a weight of at least threshold in some document."""
     tok = frequencies(tok)
-    return vocabulary(tok).join(tfidf(tok, threshold).select("token").distinct(), "token", "left_semi") if threshold > 0 else vocabulary(tok)
+    if threshold <= 0:
+        return vocabulary(tok)
+    return tfidf(tok, threshold).groupBy("token").agg(F.first("df").alias("df")).withColumn("idf", 1.0 / F.col("df"))
 
 
 def norms(tok: DataFrame, of: str = "tf") -> DataFrame:

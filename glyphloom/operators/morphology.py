@@ -1,20 +1,21 @@
-"""Arabic morphology over Buckwalter text: a grammar of named patterns, matched by an Arrow-batched UDF.
+"""Arabic morphology over Buckwalter text: a grammar of named patterns.
 
-Java's regular expressions have no conditionals, which the grammar needs, so this is Python; each worker compiles the grammar once.
+Columns are analysed in the JVM, by the patterns without conditionals that patterns.py makes of the grammar; no Python runs in a task.
+analyse() and segments() say the same of one word, by the grammar as it stands.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphloom.functions import text as T
 
+from . import patterns
+
 # The grammar. A name in capitals stands for its rule as a group of that name, with # before it for its rule alone; spaces don't count.
 GRAMMAR = {
     "LV": "A|w|y",
@@ -133,25 +134,9 @@ def segments(word: str) -> list[str]:
     return [word[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
-def _batched(f: Callable[[str], object], returns: str) -> Callable[..., Column]:
-    """A UDF of one string column that computes each different value of a batch once; null stays null."""
-
-    @F.pandas_udf(returns)
-    def run(words: pd.Series) -> pd.Series:
-        done = {w: f(w) for w in words.dropna().unique()}
-        return words.map(lambda w: done.get(w) if w is not None else None)
-
-    return run
-
-
 def lookup(word: Column, rule: str, groups: dict[str, tuple[str, ...]] = STANDARD) -> Column:
     """analyse() of a column: an array of (tag, form), or null."""
-
-    def rows(w: str) -> list[dict[str, str]] | None:
-        found = analyse(w, rule, groups)
-        return None if found is None else [{"tag": t, "form": f} for t, f in found]
-
-    return _batched(rows, PAIRS)(word)
+    return patterns.analysed(T.matchable(word), rule, groups[rule])
 
 
 def lookup_either(word: Column, rule: str, other: str, groups: dict[str, tuple[str, ...]] = STANDARD) -> Column:
@@ -160,12 +145,33 @@ def lookup_either(word: Column, rule: str, other: str, groups: dict[str, tuple[s
 
 def stem_word(word: Column) -> Column:
     """segments() of a column of Buckwalter words."""
-    return _batched(segments, "array<string>")(word)
+    # A unit is a letter that the grammar sees, with the sukuns behind it; those before the first belong to it.
+    units = F.regexp_extract_all(word, F.lit("^o*[^o]o*|[^o]o*"), F.lit(0))
+    both = F.struct(units.alias("units"), lookup(word, "NN", STEMMING).alias("noun"), lookup(word, "VB", STEMMING).alias("verb"))
+
+    def cut(x: Column) -> Column:
+        stem = lambda pairs, tag: F.get(F.filter(pairs, lambda p: p["tag"] == tag), F.lit(0))["form"]
+        noun, verb = stem(x["noun"], "NSTEM"), stem(x["verb"], "VSTEM")
+        of_noun = x["noun"].isNotNull() & (x["verb"].isNull() | noun.isNull() | (F.length(verb) >= F.length(noun)))
+        best = F.when(of_noun, x["noun"]).otherwise(x["verb"])
+        return F.when(F.when(of_noun, noun).otherwise(verb).isNull(), F.array(word)).otherwise(F.get(F.transform(F.array(best), lambda pairs: joined(x["units"], pairs)), F.lit(0)))
+
+    def joined(units: Column, pairs: Column) -> Column:
+        """The units, dealt out by the lengths of the parts; the stem has what the others leave."""
+        at = F.array_position(F.transform(pairs, lambda p: F.contains(p["tag"], F.lit("STEM"))), F.lit(True)).cast("int")
+        ahead = F.transform(F.slice(pairs, F.lit(1), at - 1), lambda p: F.length(p["form"]))
+        behind = F.filter(F.transform(F.slice(pairs, at + 1, F.size(pairs)), lambda p: F.length(p["form"])), lambda n: n > 0)
+        total = lambda sizes: F.aggregate(sizes, F.lit(0), lambda a, n: a + n)
+        sizes = F.concat(ahead, F.array(F.size(units) - total(ahead) - total(behind)), behind)
+        start = lambda i: total(F.slice(sizes, F.lit(1), i))
+        return F.transform(sizes, lambda n, i: F.array_join(F.slice(units, start(i) + 1, n), ""))
+
+    return F.when(word.isNotNull(), F.get(F.transform(F.array(both), cut), F.lit(0)))
 
 
 def stem_text(text: Column) -> Column:
     """Arabic text with its words in segments, all separated by single spaces of the input's splitting."""
-    return T.to_arabic(_batched(lambda t: " ".join(s for w in t.split(" ") for s in segments(w)), "string")(T.to_buckwalter(text)))
+    return T.to_arabic(F.array_join(F.transform(F.split(T.to_buckwalter(text), " "), lambda w: F.array_join(stem_word(w), " ")), " "))
 
 
 def root(pairs: Column) -> Column:

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from glyphloom.functions import text as T
 from glyphloom.operators import classify, duplicates, features, lexicon, lsa, morphology, tune
 from glyphloom.sources import corpora, reports
-from glyphloom.storage import scratch, written
+from glyphloom.storage import scratch, spread, written
 from glyphloom.streaming import service
 
 from . import words as W
+from .analyses import analyses
 from .sql import NEAR, PARTS, TSV, assemble, corrections, measured, trained_and_tested as tested_parts, tuned
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,13 +41,17 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    return spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"))
 
 
 def all_tokens(spark: SparkSession, d: str) -> DataFrame:
     return features.tokens(documents(spark, d))
 
 
+def all_counts(spark: SparkSession, d: str) -> DataFrame:
+    return features.counts(documents(spark, d))
+
+
 class Labelled:
     """The labelled corpus: ids, tokens, term counts and gold labels. Counts and lexicons are written once, as several steps read them."""
 
@@ -58,7 +63,7 @@ class Labelled:
 
     @cached_property
     def counts(self) -> DataFrame:
-        return written(features.term_counts(self.tok), "counts")
+        return written(features.counts(self.docs).select("doc_id", "token", "n"), "counts")
 
     def lexicon(self, kind: str = "FULL") -> DataFrame:
         return lexicon.learn(self.counts, self.gold, TOP, kind)
@@ -217,32 +222,32 @@ def labelled_gold(spark: SparkSession, d: str) -> DataFrame:
 
 @query(assemble("SELECT doc_id, token, n, tf FROM tf"))
 def term_freq(spark: SparkSession, d: str) -> DataFrame:
-    return features.term_frequency(all_tokens(spark, d))
+    return features.term_frequency(all_counts(spark, d))
 
 
 @query(assemble("SELECT token, df FROM df"))
 def doc_freq(spark: SparkSession, d: str) -> DataFrame:
-    return features.document_frequency(all_tokens(spark, d))
+    return features.document_frequency(all_counts(spark, d))
 
 
 @query(assemble("SELECT doc_id, token, n, tf, df, w FROM weights"))
 def tfidf(spark: SparkSession, d: str) -> DataFrame:
-    return features.tfidf(all_tokens(spark, d))
+    return features.tfidf(all_counts(spark, d))
 
 
 @query(assemble("SELECT doc_id, token, rank, w FROM (SELECT doc_id, token, w, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, token) AS INTEGER) AS rank FROM weights) WHERE rank <= 10"))
 def tfidf_topk(spark: SparkSession, d: str) -> DataFrame:
-    return features.tfidf(all_tokens(spark, d), per_doc=10).select("doc_id", "token", "rank", "w")
+    return features.tfidf(all_counts(spark, d), per_doc=10).select("doc_id", "token", "rank", "w")
 
 
-@query(assemble("SELECT token, df, idf FROM vocab SEMI JOIN (SELECT token FROM weights WHERE w >= 0.001e0) USING (token)"))
+@query(assemble("SELECT token, any_value(df) AS df, 1.0e0 / any_value(df) AS idf FROM weights GROUP BY token HAVING max(w) >= 0.001e0"))
 def vocab_pruned(spark: SparkSession, d: str) -> DataFrame:
-    return features.pruned_vocabulary(all_tokens(spark, d), 0.001)
+    return features.pruned_vocabulary(all_counts(spark, d), 0.001)
 
 
 @query(assemble("SELECT doc_id, round(size, 9) AS size FROM sizes"))
 def doc_norms(spark: SparkSession, d: str) -> DataFrame:
-    return features.norms(all_tokens(spark, d)).select("doc_id", F.round("size", 9).alias("size"))
+    return features.norms(all_counts(spark, d)).select("doc_id", F.round("size", 9).alias("size"))
 
 
 @query(assemble("SELECT token, label, doc_id, n FROM posted"))
@@ -268,13 +273,13 @@ def inverted_index(spark: SparkSession, d: str) -> DataFrame:
 def cosine_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """A search: the queries are the rows whose id is divisible by 50, against all rows."""
     queries = documents(spark, d).where("doc_id % 50 = 0")
-    return features.neighbours(all_tokens(spark, d), queries).select("doc_id", "other_id", "rank", "cos")
+    return features.neighbours(all_counts(spark, d), queries).select("doc_id", "other_id", "rank", "cos")
 
 
 @query(assemble("SELECT doc_id, string_agg(token || ': ' || CAST(CAST(round(w, 3) AS DECIMAL(38, 3)) AS VARCHAR), ', ' ORDER BY w DESC, token) AS line FROM weights GROUP BY doc_id"))
 def feature_lines(spark: SparkSession, d: str) -> DataFrame:
     """All terms of each document."""
-    return reports.feature_lines(features.tfidf(all_tokens(spark, d)))
+    return reports.feature_lines(features.tfidf(all_counts(spark, d)))
 
 
 # ------------------------------------------------------------------ lexicon
@@ -322,8 +327,8 @@ def lexicon_full(spark: SparkSession, d: str) -> DataFrame:
     )
 )
 def lexicon_lang(spark: SparkSession, d: str) -> DataFrame:
-    table = spark.read.parquet(f"{d}/documents.parquet")
-    return lexicon.learn(features.tokens(table), features.gold_of_class(table, "lang", LANGUAGES), TOP)
+    table = spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang"))
+    return lexicon.learn(features.counts(table), features.gold_of_class(table, "lang", LANGUAGES), TOP)
 
 
 @query(assemble("SELECT label, CAST(sum(CASE WHEN weight > 0 THEN CAST(weight AS DECIMAL(28, 6)) ELSE 0 END) AS DOUBLE) AS mass FROM lex GROUP BY label"))
@@ -545,7 +550,7 @@ def near_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 def lsa_features(spark: SparkSession, d: str) -> DataFrame:
     """The matrix's columns are the whole vocabulary, its rows all documents."""
-    return features.tfidf(all_tokens(spark, d)).select("doc_id", "token", "w")
+    return features.tfidf(all_counts(spark, d)).select("doc_id", "token", "w")
 
 
 @query(assemble("SELECT token, CAST(row_number() OVER (ORDER BY token) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT token FROM weights)"))
@@ -575,25 +580,46 @@ def different_tokens(spark: SparkSession, d: str) -> DataFrame:
     return all_tokens(spark, d).select("token").distinct()
 
 
-@query()
+_TOKENS = analyses("SELECT token AS word FROM tok")
+
+
+@query(assemble("SELECT word AS token, coalesce(noun, verb) AS analysis FROM analysed", **_TOKENS))
 def morphology_lookup(spark: SparkSession, d: str) -> DataFrame:
     pairs = morphology.lookup_either(F.col("token"), "NN", "VB")
     return different_tokens(spark, d).select("token", morphology.all_shown(pairs).alias("analysis"))
 
 
-@query()
+@query(assemble("SELECT word AS token, segments FROM segmented", **_TOKENS))
 def stem_words(spark: SparkSession, d: str) -> DataFrame:
     return different_tokens(spark, d).select("token", morphology.stem_word(F.col("token")).alias("segments"))
 
 
-@query()
+def _stemmed(requests: str) -> str:
+    """SQL of value and answer of a query of requests (value)."""
+    return assemble(
+        f"SELECT value, translate(string_agg(array_to_string(segments, ' '), ' ' ORDER BY i), '{_BW}', '{T.ARABIC}') AS answer FROM placed JOIN segmented USING (word) GROUP BY n, value",
+        requests=f"SELECT row_number() OVER () AS n, value FROM ({requests}) x",
+        placed=f"SELECT n, value, i, w[i] AS word FROM (SELECT n, value, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT n, value, string_split(translate(value, '{T.ARABIC}', '{_BW}'), ' ') AS w FROM requests))",
+        **analyses("SELECT word FROM placed"),
+    )
+
+
+@query(_stemmed("SELECT coalesce(text, '') AS value FROM conversations"))
 def stemmed_requests(spark: SparkSession, d: str) -> DataFrame:
     """The service's answers to all turns of the conversations."""
     turns = spark.read.parquet(f"{d}/conversations.parquet").select(F.coalesce("text", F.lit("")).alias("value"))
     return service.answers(turns, morphology.stem_text)
 
 
-@query()
+_GOLD = {
+    "gold_rows": f"SELECT form, tag, translate(form, '{T.ARABIC}', '{_BW}') AS raw FROM (SELECT translate(token, '{_BW}', '{T.ARABIC}') AS form, {_TAGS}[1 + len(token) % {len(_TAGS)}] AS tag FROM tok) x WHERE form <> ''",
+    "gold_words": f"SELECT DISTINCT form, tag, {_SHADDAS.format('raw')} AS bw FROM gold_rows WHERE starts_with(tag, 'NN') OR tag = 'VB'",
+    "gold_analysed": "SELECT form, tag, bw, CASE WHEN tag = 'VB' THEN coalesce(verb, noun) ELSE coalesce(noun, verb) END AS analysis FROM gold_words JOIN analysed ON bw = word",
+    **analyses("SELECT bw AS word FROM gold_words"),
+}
+
+
+@query(assemble("SELECT form, tag, bw, 'main' AS source, analysis, CAST(NULL AS VARCHAR) AS root FROM gold_analysed", **_GOLD))
 def gold_lookup(spark: SparkSession, d: str) -> DataFrame:
     """The gold standard's words with their analyses, as form/tag, and the pair that names a root."""
     done = morphology.lookup_all(corpora.gold_standard(spark, gold_lines(spark, d)))
@@ -601,50 +627,52 @@ def gold_lookup(spark: SparkSession, d: str) -> DataFrame:
     return done.select("form", "tag", "bw", "source", morphology.all_shown(pairs).alias("analysis"), morphology.root(F.col("analysis"))["form"].alias("root"))
 
 
-@query()
+@query(assemble("SELECT segment, count(*) AS size, list(form ORDER BY form, tag, bw)[:20] AS words FROM (SELECT DISTINCT segment, form, tag, bw FROM (SELECT form, tag, bw, unnest(analysis) AS segment FROM gold_analysed)) GROUP BY segment", **_GOLD))
 def segment_index(spark: SparkSession, d: str) -> DataFrame:
     """Each segment of the gold standard's words with its number of words and the first of them."""
     return morphology.show_index(morphology.index_by_segment(morphology.lookup_all(corpora.gold_standard(spark, gold_lines(spark, d)))))
 
 
-# Words in which all rules of the grammar come to bear: the tables have none in Arabic script. What is expected of them comes from a second engine.
-
-
-def grammar_words(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(W.words())), "n int, word string")
+# The documents' tokens between Arabic affixes, by their length, and words in which all rules of the grammar come to bear.
 
-
-_EXPECTED = W.rows() if W.regex else None
+_LISTED = ", ".join("('" + w.replace("'", "''") + "')" for w in W.words())
+_AFFIXED = {
+    "affixed": f"SELECT DISTINCT word FROM (SELECT {list(W.BEFORE)!r}[1 + len(token) % {len(W.BEFORE)}] || token || {list(W.AFTER)!r}[1 + len(token) % {len(W.AFTER)}] AS word FROM tok UNION ALL SELECT * FROM (VALUES {_LISTED}) v(word))",
+    **analyses("SELECT word FROM affixed"),
+}
 
 
-def expected(columns: str) -> str | None:
-    return _EXPECTED and f"SELECT {columns} FROM {_EXPECTED}"
+def grammar_words(spark: SparkSession, d: str) -> DataFrame:
+    """word"""
+    affix = lambda some: F.element_at(F.array(*map(F.lit, some)), F.length("token") % len(some) + 1)
+    made = different_tokens(spark, d).select(F.concat(affix(W.BEFORE), F.col("token"), affix(W.AFTER)).alias("word"))
+    return made.unionByName(spark.createDataFrame([(w,) for w in W.words()], "word string")).distinct()
 
 
-@query(expected("n, word, as_noun, as_verb, len(as_noun) AS parts"))
+@query(assemble("SELECT word, coalesce(noun, verb) AS as_noun, coalesce(verb, noun) AS as_verb, len(coalesce(noun, verb)) AS parts FROM analysed", **_AFFIXED))
 def grammar_analyses(spark: SparkSession, d: str) -> DataFrame:
     w = F.col("word")
     noun, verb = morphology.lookup_either(w, "NN", "VB"), morphology.lookup_either(w, "VB", "NN")
-    made = grammar_words(spark).select("n", "word", noun.alias("noun"), verb.alias("verb"))
-    return made.select("n", "word", morphology.all_shown(F.col("noun")).alias("as_noun"), morphology.all_shown(F.col("verb")).alias("as_verb"), F.when(F.col("noun").isNotNull(), F.size("noun").cast("long")).alias("parts"))
+    made = grammar_words(spark, d).select("word", noun.alias("noun"), verb.alias("verb"))
+    return made.select("word", morphology.all_shown(F.col("noun")).alias("as_noun"), morphology.all_shown(F.col("verb")).alias("as_verb"), F.when(F.col("noun").isNotNull(), F.size("noun").cast("long")).alias("parts"))
 
 
-@query(expected("n, word, segments"))
+@query(assemble("SELECT word, segments FROM segmented", **_AFFIXED))
 def grammar_segments(spark: SparkSession, d: str) -> DataFrame:
-    return grammar_words(spark).select("n", "word", morphology.stem_word(F.col("word")).alias("segments"))
+    return grammar_words(spark, d).select("word", morphology.stem_word(F.col("word")).alias("segments"))
 
 
-@query(expected("translate(word, '" + _BW + f"', '{T.ARABIC}') AS value, stemmed AS answer"))
+@query(assemble(f"SELECT translate(word, '{_BW}', '{T.ARABIC}') AS value, translate(array_to_string(segments, ' '), '{_BW}', '{T.ARABIC}') AS answer FROM turned JOIN segmented USING (word)", **_AFFIXED | {"turned": f"SELECT word AS was, translate(translate(word, '{_BW}', '{T.ARABIC}'), '{T.ARABIC}', '{_BW}') AS word FROM affixed"} | analyses(f"SELECT translate(translate(word, '{_BW}', '{T.ARABIC}'), '{T.ARABIC}', '{_BW}') AS word FROM affixed")))
 def grammar_requests(spark: SparkSession, d: str) -> DataFrame:
     """The service's answers to the words in Arabic script."""
-    return service.answers(grammar_words(spark).select(T.to_arabic(F.col("word")).alias("value")), morphology.stem_text)
+    return service.answers(grammar_words(spark, d).select(T.to_arabic(F.col("word")).alias("value")), morphology.stem_text)
 
 
-@query(expected("word AS bw, tag, 'main' AS source, CASE WHEN tag = 'VB' THEN as_verb ELSE as_noun END AS analysis").replace(_EXPECTED, f"{_EXPECTED}, (VALUES ('NNS'), ('VB')) t(tag)") if _EXPECTED else None)
+@query(assemble("SELECT word AS bw, tag, 'main' AS source, CASE WHEN tag = 'VB' THEN coalesce(verb, noun) ELSE coalesce(noun, verb) END AS analysis FROM analysed, (VALUES ('NNS'), ('VB')) t(tag)", **_AFFIXED))
 def grammar_gold(spark: SparkSession, d: str) -> DataFrame:
     """The words as a gold standard's nouns and verbs; a tag that is neither goes."""
     tags = F.explode(F.array(*map(F.lit, ("NNS", "VB", "VBD", "XX")))).alias("tag")
-    gold = grammar_words(spark).select(T.to_arabic(F.col("word")).alias("form"), tags, F.col("word").alias("bw"))
+    gold = grammar_words(spark, d).select(T.to_arabic(F.col("word")).alias("form"), tags, F.col("word").alias("bw"))
     return morphology.lookup_all(gold).select("bw", "tag", "source", morphology.all_shown(F.col("analysis")).alias("analysis"))
 
 
@@ -729,7 +757,7 @@ def light_segments(spark: SparkSession, d: str) -> DataFrame:
 @query(assemble("SELECT doc_id, token, w0, w, CASE WHEN w0 < 0.004e0 THEN '*' ELSE '' END AS star FROM (SELECT doc_id, token, CASE WHEN df <= 5 THEN w ELSE 0.0e0 END AS w0, w FROM weights) WHERE w > 0.004e0"))
 def weights_compared(spark: SparkSession, d: str) -> DataFrame:
     """The weights beyond a bound beside those of rare terms alone."""
-    rows = written(features.tfidf(all_tokens(spark, d)), "weights")
+    rows = written(features.tfidf(all_counts(spark, d)), "weights")
     return lsa.compare(rows.where("df <= 5"), rows.select("doc_id", "token", "w"), 0.004)
 
 
@@ -741,11 +769,23 @@ def matrix_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query(assemble("SELECT doc_id, '<' || CAST(CAST(round(size, 6) AS DECIMAL(18, 6)) AS VARCHAR) || ', ' || text || '>' AS shown FROM sizes JOIN (SELECT doc_id, text FROM documents) USING (doc_id)"))
 def document_forms(spark: SparkSession, d: str) -> DataFrame:
-    sizes = features.norms(all_tokens(spark, d)).withColumn("size", F.round("size", 6).cast("decimal(18,6)"))
+    sizes = features.norms(all_counts(spark, d)).withColumn("size", F.round("size", 6).cast("decimal(18,6)"))
     return reports.document_form(documents(spark, d), sizes)
 
 
-@query()
+_PLAIN = """replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(
+    regexp_replace(array_to_string(coalesce(noun, verb, []), '+'), '\\+/[A-Z]*', '', 'g'), 'All/NAME', 'Allh/NAME'), '+A/CASE', '+AF/CASE'), '+l/DET', '+Al/DET'),
+    '/[^+]*', '', 'g'), '^\\+|\\+$', '', 'g'), '\\++', '+', 'g'), '}', ''), '+FA', '+AF'), '+F', '+AF')"""
+
+
+@query(
+    assemble(
+        """SELECT CASE WHEN length(bw) <= 3 AND ours = '' THEN 'PURPLE' WHEN length(bw) > 3 AND ours IN (bw, stemmed) THEN 'BLACK' WHEN ours = '' THEN 'GREEN' WHEN length(bw) <= 3 THEN 'BLUE' ELSE 'RED' END AS colour, count(*) AS n
+        FROM own WHERE length(bw) <> 1 AND len(list_filter(string_split(bw, ''), lambda c: c <> '' AND NOT contains(form, c))) > 0 GROUP BY colour""",
+        own=f"SELECT word AS bw, translate(word, '{_BW}', '{T.ARABIC}') AS form, {_PLAIN} AS ours, regexp_replace(regexp_replace(word, '^(w|f|Al|b|l)(...)', '\\1+\\2'), '^(.*?...)(h|hA|hm|k|wn|yn|At)$', '\\1+\\2') AS stemmed FROM analysed",
+        **_TOKENS,
+    )
+)
 def analyser_agreement(spark: SparkSession, d: str) -> DataFrame:
     """Our analyses of the documents' tokens, in Arabic script as forms, beside a light stemmer's: a conjunction or article before the word, a pronoun or plural behind it."""
     bw = F.col("token")

@@ -1,21 +1,7 @@
-"""What a second regular expression engine says of Buckwalter words: the expected rows of the morphology queries, where SQL has no such patterns.
-
-It has its own way to spell the grammar out (names are replaced one by one until none is left) and to cut a word (letters are handed to
-the parts in turn). Without the engine there are no expected rows.
-"""
+"""Buckwalter words in which all rules of the grammar come to bear; the tables have none in Arabic script."""
 
 from __future__ import annotations
 
-from functools import cache
-
-from glyphloom.functions import text as T
-from glyphloom.operators import morphology
-
-try:
-    import regex
-except ImportError:
-    regex = None
-
 #: Affixes and stems; all combinations are words, with some that have renamed letters, sukuns or no stem.
 BEFORE, STEMS, AFTER = ("", "w", "wAl", "Al", "b", "ll", "sy", "y", "t", "fA", "mA"), ("ktb", "drs", "qwl", "mdrs", "Okl", "sAfr"), ("", "h", "hA", "wn", "At", "p", "tm", "k")
 ODD = (">kl", "w>klhm", "<lY", "ms&wl", "kotobh", "ktboh", "ooo", "hello", "Allh", "wAllh", "l", "yA", "EtAk", "nwyt", "wsyktbwnh", "", "x", "AlmdrswnA", "mud~o")
@@ -23,71 +9,3 @@ ODD = (">kl", "w>klhm", "<lY", "ms&wl", "kotobh", "ktboh", "ooo", "hello", "Allh
 
 def words() -> list[str]:
     return list(dict.fromkeys([a + b + c for a in BEFORE for b in STEMS for c in AFTER] + list(ODD)))
-
-
-@cache
-def _pattern(rule: str):
-    text, names = f"^{morphology.GRAMMAR[rule]}$", regex.compile(r"(?<!P<)(?<!\(\?)(#?)\b([A-Z][A-Z0-9_]*)\b")
-    at = 0
-    while found := next((m for m in names.finditer(text, at) if m[2] in morphology.GRAMMAR and not text[: m.start()].endswith(("(?P=", "(?("))), None):
-        inner = f"({morphology.GRAMMAR[found[2]]})" if found[1] else f"(?P<{found[2]}>{morphology.GRAMMAR[found[2]]})"
-        at, text = found.start(), text[: found.start()] + inner + text[found.end() :]
-    return regex.compile(text.replace(" ", ""))
-
-
-def analysis(word: str, rule: str, groups: dict[str, tuple[str, ...]]) -> list[tuple[str, str]] | None:
-    seen = word.replace(">", "O").replace("<", "I").replace("&", "W").replace("o", "")
-    m = _pattern(rule).match(seen)
-    return None if m is None else [(g, m.group(g)) for g in groups[rule] if g in m.re.groupindex and m.group(g) is not None]
-
-
-def either(word: str, first: str, second: str) -> list[tuple[str, str]] | None:
-    found = analysis(word, first, morphology.STANDARD)
-    return analysis(word, second, morphology.STANDARD) if found is None else found
-
-
-def parts(word: str) -> list[str]:
-    """The word's letters, handed to the parts of its better analysis in turn; a sukun goes with the letter before it."""
-    noun, verb = (analysis(word, rule, morphology.STEMMING) for rule in ("NN", "VB"))
-    stem = lambda found: next((f for t, f in found if t in ("NSTEM", "VSTEM")), None)
-    if noun and verb and stem(noun) is None:
-        return [word]
-    chosen = verb if verb and (not noun or len(stem(verb)) < len(stem(noun))) else noun
-    tags = [t for t, _ in chosen or []]
-    if not chosen or not any("STEM" in t for t in tags):
-        return [word]
-    first, last = (order.index(True) for order in (["STEM" in t for t in tags], ["STEM" in t for t in tags][::-1]))
-    before, after = [f for _, f in chosen[:first]], [f for _, f in chosen[len(chosen) - last :] if f]
-    letters = []
-    for c in word:
-        if c == "o" and letters:
-            letters[-1] += c
-        elif c == "o":
-            letters.append(c)
-        elif letters and set(letters[-1]) == {"o"} and len(letters) == 1:
-            letters[-1] += c
-        else:
-            letters.append(c)
-    out, middle = [], len(letters) - sum(map(len, before)) - sum(map(len, after))
-    for n in (*map(len, before), middle, *map(len, after)):
-        out.append("".join(letters[:n]))
-        letters = letters[n:]
-    return out
-
-
-def _text(x: str | None) -> str:
-    return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
-
-
-def _list(x: list[str] | None) -> str:
-    return "NULL" if x is None else "[" + ", ".join(map(_text, x)) + "]"
-
-
-def rows() -> str:
-    """VALUES of n, word and, as lists or texts, its analyses as noun first and as verb first, its segments, and the Arabic word's segments in Arabic script."""
-    arabic = str.maketrans(T.BUCKWALTER, T.ARABIC)
-    made = []
-    for n, w in enumerate(words()):
-        shown = [None if found is None else [f"{f}/{t}" for t, f in found] for found in (either(w, "NN", "VB"), either(w, "VB", "NN"))]
-        made.append(f"({n}, {_text(w)}, {_list(shown[0])}, {_list(shown[1])}, {_list(parts(w))}, {_text(' '.join(parts(w)).translate(arabic))})")
-    return "(VALUES " + ", ".join(made) + ") v(n, word, as_noun, as_verb, segments, stemmed)"

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -48,6 +49,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return made
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """The rows of some files in as many parts as there are tasks at once, where the files make fewer. Large tables have enough, and aren't shuffled. Rows go by a hash of all their columns, so that no value of one gathers them."""
+    tasks = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= tasks else scan.repartition(tasks, F.xxhash64(*(F.col(f"`{c.replace('`', '``')}`") for c in scan.columns)))
+
+
 def dropped(df: DataFrame) -> None:
     """Delete a table of written() that nothing reads any more."""
     at, store = _path(df.sparkSession, df._glyphloom_path)
