@@ -82,6 +82,11 @@ def is_emoji(token: Column) -> Column:
     return F.ascii(token) > 3000
 
 
+def is_surrogate(token: Column) -> Column:
+    """Whether a token stands for an emoji; tokens of words are in lower case."""
+    return F.regexp_like(token, F.lit("^eMJ[0-9]+$"))
+
+
 def bigrams(words: Column) -> Column:
     """Each token, and after each but the first its pair with the one before it; an empty one before gives none."""
     before = F.concat(F.array(F.lit("")), words)

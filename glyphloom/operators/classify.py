@@ -36,10 +36,10 @@ def decide(scored: DataFrame, threshold: float | DataFrame) -> DataFrame:
 
 
 def best_and_worst(docs: DataFrame, tok: DataFrame, lex: DataFrame) -> DataFrame:
-    """doc_id, label, best, worst: the token of the greatest positive weight and that of the least, the first of equals; null without one."""
-    rows = tok.join(lex, "token").groupBy("doc_id", "label").agg(
-        F.min_by("token", F.when(F.col("weight") > 0, F.struct((-F.col("weight")).alias("w"), "pos"))).alias("best"), F.min_by("token", F.struct("weight", "pos")).alias("worst")
-    )
+    """doc_id, label, best, worst: the token of the greatest positive weight and that of the least, the first of equals; null without one. Their weights are best_weight and worst_weight."""
+    least = F.min(F.when(F.col("weight") > 0, F.struct((-F.col("weight")).alias("w"), "pos", "token")))
+    rows = tok.join(lex, "token").groupBy("doc_id", "label").agg(least.alias("b"), F.min(F.struct("weight", "pos", "token")).alias("l"))
+    rows = rows.select("doc_id", "label", F.col("b.token").alias("best"), F.col("l.token").alias("worst"), (-F.col("b.w")).alias("best_weight"), F.col("l.weight").alias("worst_weight"))
     return docs.select("doc_id").crossJoin(F.broadcast(lex.select("label").distinct())).join(rows, ["doc_id", "label"], "left")
 
 
@@ -80,6 +80,26 @@ def report(docs: DataFrame, tok: DataFrame, lex: DataFrame, decisions: DataFrame
     return rows.select("doc_id", "label", F.concat_ws(":", "label", T.fixed(F.col("ratio"), 2)).alias("cell"), colour.alias("colour"), "best", "worst")
 
 
+def report_lines(docs: DataFrame, tok: DataFrame, lex: DataFrame, decisions: DataFrame, gs: DataFrame, labels: list[str], arabic: bool = False) -> DataFrame:
+    """doc_id, line, cells, colours: four lines for each document. Line 0 has a cell for each label, in the colour of its decision, and the document's tokens; 1 and 2 the best and the worst word of each label with its weight, empty where there is none; 3 is empty.
+
+    Of an Arabic corpus words and tokens are shown in Arabic script. A line's cells are as many as the labels, and one more in line 0.
+    """
+    rows = report(docs, tok, lex, decisions, gs).join(best_and_worst(docs, tok, lex).select("doc_id", "label", "best_weight", "worst_weight"), ["doc_id", "label"])
+    worded = lambda word, weight: F.coalesce(F.concat_ws(":", T.displayed(F.col(word), arabic), F.when(F.col(word).isNotNull(), T.fixed(F.col(weight), 2))), F.lit(""))
+    shown = rows.select("doc_id", "label", "cell", "colour", worded("best", "best_weight").alias("b"), worded("worst", "worst_weight").alias("w"))
+    pick = lambda c: F.array(*[F.max(F.when(F.col("label") == x, F.col(c))) for x in labels]).alias(c)
+    wide = shown.groupBy("doc_id").agg(*map(pick, ("cell", "colour", "b", "w")))
+    said = tok.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), " ").alias("said"))
+    said = said.withColumn("said", T.to_arabic(F.col("said")) if arabic else F.col("said"))
+    wide = wide.join(said, "doc_id", "left")
+    black = F.array_repeat(F.lit("BLACK"), len(labels))
+    line = lambda n, cells, colours: F.struct(F.lit(n).alias("line"), cells.alias("cells"), colours.alias("colours"))
+    first = line(0, F.concat("cell", F.array(F.coalesce("said", F.lit("")))), F.concat("colour", F.array(F.lit("BLACK"))))
+    lines = F.array(first, line(1, F.col("b"), black), line(2, F.col("w"), black), line(3, F.array_repeat(F.lit(""), len(labels)), black))
+    return wide.select("doc_id", F.inline(lines))
+
+
 def evaluate(docs: DataFrame, tok: DataFrame, lex: DataFrame, gs: DataFrame, threshold: float | DataFrame, label: str | None = None) -> dict[str, DataFrame]:
     """measures (p, r, f, j), errors (label, token, err) and report of a lexicon on labelled documents; of one label if that is given, though ratios are to all."""
     counts = features.term_counts(tok)

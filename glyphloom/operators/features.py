@@ -5,24 +5,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphloom.functions import text as T
 from glyphloom.storage import written
 
 
-def tokens(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, token of docs (doc_id, text). Nothing is shuffled."""
-    return docs.select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "token"))
+Cut = Callable[[Column], Column]
+
+
+def tokens(docs: DataFrame, cut: Cut = T.tokens) -> DataFrame:
+    """doc_id, pos, token of docs (doc_id, text); `cut` makes a text's tokens, morphology.tokens those of an Arabic one. Nothing is shuffled."""
+    return docs.select("doc_id", F.posexplode(cut(F.col("text"))).alias("pos", "token"))
 
 
-def counts(docs: DataFrame) -> DataFrame:
+def counts(docs: DataFrame, cut: Cut = T.tokens) -> DataFrame:
     """doc_id, token, n, tf of docs (doc_id, text), a row a document: term_frequency() of their tokens, without a shuffle.
 
     A row's tokens are sorted, and the places where another one begins say how often each stands there.
     """
-    listed = docs.select("doc_id", F.sort_array(T.tokens(F.col("text"))).alias("t"))
+    listed = docs.select("doc_id", F.sort_array(cut(F.col("text"))).alias("t"))
     changes = F.filter(F.transform("t", lambda x, i: F.when((i == 0) | (x != F.get(F.col("t"), i - 1)), i)), lambda i: i.isNotNull())
     runs = listed.select("doc_id", "t", changes.alias("a")).select("doc_id", "t", "a", F.concat(F.slice("a", F.lit(2), F.size("a")), F.array(F.size("t"))).alias("b"))
     # Everything of a row is in its struct, so that the lists don't go along with each.
@@ -141,6 +146,15 @@ def emoji_surrogates(tok: DataFrame) -> DataFrame:
     return first.select("emoji", F.concat(F.lit("eMJ"), (F.row_number().over(Window.orderBy("at", "emoji")) - 1).cast("string")).alias("surrogate"))
 
 
+def more_surrogates(known: DataFrame, tok: DataFrame) -> DataFrame:
+    """known (emoji, surrogate), with the emoji of a further corpus that it lacks, numbered on behind its own: a number that an emoji has once it keeps."""
+    fresh = emoji_surrogates(tok.join(F.broadcast(known.select(F.col("emoji").alias("token"))), "token", "left_anti"))
+    number = lambda c: F.substring(c, 4, 12).cast("long")
+    behind = known.agg(F.coalesce(F.max(number(F.col("surrogate"))) + 1, F.lit(0)).alias("behind"))
+    later = fresh.crossJoin(behind).select("emoji", F.concat(F.lit("eMJ"), (number(F.col("surrogate")) + F.col("behind")).cast("string")).alias("surrogate"))
+    return known.select("emoji", "surrogate").unionByName(later)
+
+
 def with_surrogates(tok: DataFrame, surrogates: DataFrame) -> DataFrame:
     return tok.join(surrogates, tok["token"] == surrogates["emoji"], "left").select("doc_id", "pos", F.coalesce("surrogate", "token").alias("token"))
 

@@ -17,11 +17,11 @@ KINDS = ("TFIDF", "DIST", "FULL")
 
 
 def label_counts(tok: DataFrame, gs: DataFrame, first: int | None = None) -> DataFrame:
-    """label, token, cnt: occurrences in documents with the label, of the `first` documents by doc_id if that is given; an emoji counts twice."""
+    """label, token, cnt: occurrences in documents with the label, of the `first` documents by doc_id if that is given; an emoji, or its surrogate, counts twice."""
     if first is not None:
         gs = gs.join(gs.select("doc_id").distinct().orderBy("doc_id").limit(first), "doc_id", "left_semi")
     rows = features.postings(tok, gs)
-    return rows.groupBy("label", "token").agg(F.sum(F.col("n") * F.when(T.is_emoji(F.col("token")), 2).otherwise(1)).alias("cnt"))
+    return rows.groupBy("label", "token").agg(F.sum(F.col("n") * F.when(T.is_emoji(F.col("token")) | T.is_surrogate(F.col("token")), 2).otherwise(1)).alias("cnt"))
 
 
 def label_totals(counts: DataFrame) -> DataFrame:

@@ -169,6 +169,12 @@ def stem_word(word: Column) -> Column:
     return F.when(word.isNotNull(), F.get(F.transform(F.array(both), cut), F.lit(0)))
 
 
+def tokens(text: Column) -> Column:
+    """The segments of the words of a text in Buckwalter letters: what the tokens of an Arabic corpus are. Null has none."""
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), f"{T.SPACE}+"), lambda w: w != "")
+    return F.filter(F.flatten(F.transform(words, stem_word)), lambda s: s != "")
+
+
 def stem_text(text: Column) -> Column:
     """Arabic text with its words in segments, all separated by single spaces of the input's splitting."""
     return T.to_arabic(F.array_join(F.transform(F.split(T.to_buckwalter(text), " "), lambda w: F.array_join(stem_word(w), " ")), " "))

@@ -19,7 +19,7 @@ from glyphloom.streaming import service
 
 from . import words as W
 from .analyses import analyses
-from .sql import NEAR, PARTS, TSV, assemble, corrections, measured, trained_and_tested as tested_parts, tuned
+from .sql import NEAR, PARTS, TSV, arabic_parts, assemble, corrections, measured, trained_and_tested as tested_parts, tuned
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -414,7 +414,7 @@ _EXTREMES = {
 @query(assemble("SELECT doc_id, label, best, worst FROM both_ends", **_EXTREMES))
 def best_worst_word(spark: SparkSession, d: str) -> DataFrame:
     x = Labelled(spark, d)
-    return classify.best_and_worst(x.docs, x.tok, x.lex)
+    return classify.best_and_worst(x.docs, x.tok, x.lex).select("doc_id", "label", "best", "worst")
 
 
 @query(assemble("SELECT label, tp, fp, fn, tn FROM conf"))
@@ -461,6 +461,81 @@ def report_csv(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.csv(path, schema=", ".join(f"{n} string" for n in names))
 
 
+_EXTREMES_WEIGHED = _EXTREMES | {
+    "bests": "SELECT doc_id, label, first(token ORDER BY weight DESC, pos) AS best, max(weight) AS best_weight FROM hits WHERE weight > 0 GROUP BY ALL",
+    "worsts": "SELECT doc_id, label, first(token ORDER BY weight, pos) AS worst, min(weight) AS worst_weight FROM hits GROUP BY ALL",
+    "texts": "SELECT doc_id, array_to_string(toks, ' ') AS said FROM lists",
+    "celled": """SELECT doc_id, label, label || ':' || CAST(CAST(round(ratio, 2) AS DECIMAL(38, 2)) AS VARCHAR) AS cell, CASE WHEN decision = 1 AND gs = 1 THEN 'GREEN' WHEN decision = 1 THEN 'RED' WHEN gs = 1 THEN 'BLUE' ELSE 'BLACK' END AS colour,
+        coalesce(best || ':' || CAST(CAST(round(best_weight, 2) AS DECIMAL(38, 2)) AS VARCHAR), '') AS b, coalesce(worst || ':' || CAST(CAST(round(worst_weight, 2) AS DECIMAL(38, 2)) AS VARCHAR), '') AS w
+        FROM said JOIN gold USING (doc_id, label) LEFT JOIN bests USING (doc_id, label) LEFT JOIN worsts USING (doc_id, label)""",
+    "lined": "SELECT doc_id, list(cell ORDER BY label) AS cell, list(colour ORDER BY label) AS colour, list(b ORDER BY label) AS b, list(w ORDER BY label) AS w FROM celled GROUP BY doc_id",
+}
+
+
+@query(
+    assemble(
+        """SELECT doc_id, line, CASE line WHEN 0 THEN list_append(cell, said) WHEN 1 THEN b WHEN 2 THEN w ELSE ['', ''] END AS cells, CASE line WHEN 0 THEN list_append(colour, 'BLACK') ELSE ['BLACK', 'BLACK'] END AS colours
+        FROM lined JOIN texts USING (doc_id), (VALUES (0), (1), (2), (3)) n(line)""",
+        **_EXTREMES_WEIGHED,
+    )
+)
+def report_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The report as a reader gets it: decisions and tokens, best words, worst words, an empty line."""
+    x = Labelled(spark, d)
+    return classify.report_lines(x.docs, x.tok, x.lex, x.said(), x.gold, LABELS)
+
+
+_ARABIC = arabic_parts(T.ARABIC, _BW, analyses("SELECT word FROM awords"))
+
+
+def arabic_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """The labelled documents in Arabic script, written as TSV files with a header in each, and read as a corpus: doc_id, text, gs, labels."""
+    rows = documents(spark, d).join(spark.read.parquet(f"{d}/labels.parquet").select("doc_id", *LABELS), "doc_id").withColumn("text", T.to_arabic(F.coalesce("text", F.lit(""))))
+    path = scratch(spark, "arabic")
+    corpora.write_tsv(rows, path, LABELS, header=True)
+    return corpora.labelled_files(spark, path, arabic=True)
+
+
+@query(assemble("SELECT doc_id, token, n FROM counted", **_ARABIC))
+def arabic_counts(spark: SparkSession, d: str) -> DataFrame:
+    return features.counts(arabic_corpus(spark, d), morphology.tokens).select("doc_id", "token", "n")
+
+
+@query(assemble(measured("conf"), **_ARABIC))
+def arabic_prfj(spark: SparkSession, d: str) -> DataFrame:
+    """An Arabic corpus from its files to its measures: the lexicon is learnt of the words' segments, and read on the same documents."""
+    rows = written(arabic_corpus(spark, d), "corpus")
+    counts = written(features.counts(rows, morphology.tokens).select("doc_id", "token", "n"), "counts")
+    gold = corpora.gold_of(rows)
+    lex = written(lexicon.learn(counts, gold, TOP), "lexicon")
+    return classify.prfj(classify.confusion(classify.decide(classify.scores(rows, counts, lex, LABELS), THRESHOLD), gold))
+
+
+@query(
+    assemble(
+        f"""SELECT concat_ws(chr(9), CASE WHEN e.token IS NOT NULL THEN e.token WHEN l.token = '' OR unicode(l.token) < 256 THEN translate(l.token, '{_BW}', '{T.ARABIC}') ELSE l.token END, CAST(CAST(round(a, 3) AS DECIMAL(38, 3)) AS VARCHAR), CAST(CAST(round(b, 3) AS DECIMAL(38, 3)) AS VARCHAR)) AS line
+        FROM wide l LEFT JOIN surrogates e ON l.token = e.surrogate UNION ALL SELECT concat_ws(chr(9), '', 'quality', 'toxic')""",
+        emojis="SELECT token, min(struct_pack(d := doc_id, p := pos)) AS place FROM tok WHERE token <> '' AND unicode(token) > 3000 GROUP BY token",
+        surrogates="SELECT token, 'eMJ' || (row_number() OVER (ORDER BY place) - 1) AS surrogate FROM emojis",
+        lcounted="SELECT doc_id, coalesce(surrogate, c.token) AS token, n FROM counted c LEFT JOIN surrogates s ON c.token = s.token SEMI JOIN ldocs USING (doc_id)",
+        wide=_WIDE,
+        cnt=PARTS["cnt"].replace("CASE WHEN unicode(token) > 3000 THEN 2 ELSE 1 END", "CASE WHEN regexp_matches(token, '^eMJ[0-9]+$') OR unicode(token) > 3000 THEN 2 ELSE 1 END"),
+        **{"clean": PARTS["clean"].replace("FROM documents", "FROM smiling"), "smiling": "SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN ' \U0001f602' WHEN doc_id % 3 = 1 THEN ' ok\U0001f600' ELSE '' END AS text FROM documents"},
+    )
+)
+def emoji_export(spark: SparkSession, d: str) -> DataFrame:
+    """A lexicon of texts with emoji, which are counted under their surrogates, exported with the emoji themselves and words in Arabic script."""
+    n = F.col("doc_id") % 3
+    smiling = documents(spark, d).withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.when(n == 0, " \U0001f602").when(n == 1, " ok\U0001f600").otherwise("")))
+    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", *LABELS)
+    tok = features.tokens(smiling)
+    surrogates = written(features.emoji_surrogates(tok), "surrogates")
+    mine = features.with_surrogates(tok, surrogates).join(labels.select("doc_id"), "doc_id", "left_semi")
+    gold = features.gold(labels.join(smiling.select("doc_id"), "doc_id", "left_semi"), LABELS)
+    lex = lexicon.learn(written(features.term_counts(mine), "counts"), gold, TOP)
+    return reports.lexicon_export(lexicon.as_rows(lex, LABELS), LABELS, surrogates, header=True, arabic=True)
+
+
 # ------------------------------------------------------------------ tuning
 
 
@@ -763,10 +838,18 @@ def weights_compared(spark: SparkSession, d: str) -> DataFrame:
 
 @query(assemble("SELECT doc_id, list(CAST(idx AS INTEGER) ORDER BY idx) AS terms FROM weights JOIN (SELECT token, row_number() OVER (ORDER BY token) - 1 AS idx FROM (SELECT DISTINCT token FROM weights)) USING (token) GROUP BY doc_id"))
 def matrix_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The places of each document's weights."""
     rows = written(lsa_features(spark, d), "matrix")
     return lsa.matrix_rows(rows, lsa.term_index(rows)).select("doc_id", F.col("entries.idx").alias("terms"))
 
 
+@query(assemble("SELECT doc_id, CAST(idx AS INTEGER) AS idx, round(w, 12) AS w FROM weights JOIN (SELECT token, row_number() OVER (ORDER BY token) - 1 AS idx FROM (SELECT DISTINCT token FROM weights)) USING (token)"))
+def matrix_entries(spark: SparkSession, d: str) -> DataFrame:
+    """The matrix with its weights, an entry a row."""
+    rows = written(lsa_features(spark, d), "matrix")
+    return lsa.matrix_rows(rows, lsa.term_index(rows)).select("doc_id", F.inline("entries")).select("doc_id", "idx", F.round("w", 12).alias("w"))
+
+
 @query(assemble("SELECT doc_id, '<' || CAST(CAST(round(size, 6) AS DECIMAL(18, 6)) AS VARCHAR) || ', ' || text || '>' AS shown FROM sizes JOIN (SELECT doc_id, text FROM documents) USING (doc_id)"))
 def document_forms(spark: SparkSession, d: str) -> DataFrame:
     sizes = features.norms(all_counts(spark, d)).withColumn("size", F.round("size", 6).cast("decimal(18,6)"))

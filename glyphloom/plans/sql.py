@@ -73,6 +73,22 @@ TSV = f"""SELECT c[1] AS doc_id, {_strip(_mentions("c[2]"))} AS text, [CAST({_st
     FROM (SELECT string_split({_READ}, chr(9)) AS c FROM documents JOIN labels USING (doc_id))"""
 
 
+def arabic_parts(arabic: str, bw: str, segmented: dict[str, str]) -> dict[str, str]:
+    """The labelled corpus, written in Arabic script under a header and read again: its tokens are the segments of its words. `segmented` has the segments of awords."""
+    script = lambda x, a, b: f"translate({x}, '{a}', '{b}')"
+    line = rf"replace(replace({_strip(_WRITTEN.replace("coalesce(text, '')", script("coalesce(text, '')", bw, arabic)))}, '=', ''), '\n', ' ')"
+    read = _strip(_emojis(rf"regexp_replace(regexp_replace({script(line, arabic, bw)}, '_|#|\.+', ' ', 'g'), ' +', ' ', 'g')"))
+    return {
+        "aread": f"SELECT c[1] AS doc_id, {_strip(_mentions('c[2]'))} AS text, [CAST({_strip('c[3]')} AS INTEGER), CAST({_strip('c[4]')} AS INTEGER)] AS gs FROM (SELECT string_split({read}, chr(9)) AS c FROM documents JOIN labels USING (doc_id))",
+        "aplaced": f"SELECT doc_id, i, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, string_split_regex(text, '{_WS}+') AS w FROM aread)) WHERE w[i] <> ''",
+        "awords": "SELECT DISTINCT word FROM aplaced",
+        "atok": "SELECT * FROM (SELECT doc_id, unnest(segments) AS token FROM aplaced JOIN segmented USING (word)) WHERE token <> ''",
+        "counted": "SELECT doc_id, token, count(*) AS n FROM atok GROUP BY ALL",
+        "ldocs": "SELECT doc_id FROM aread",
+        "gold": "SELECT doc_id, 'quality' AS label, gs[1] AS gs FROM aread UNION ALL SELECT doc_id, 'toxic', gs[2] FROM aread",
+    } | segmented
+
+
 def assemble(final: str, **own: str) -> str:
     """final behind a WITH of the parts that it names, and those that they name."""
     parts, used, open_ = PARTS | own, [], set()

@@ -357,3 +357,56 @@ def test_command_line(spark, capsys):
         assert cli.main(["--task", "identity", "ask", "some words"]) == "some words"
     finally:
         cli.local_session = real
+
+
+def test_files_with_headers_of_their_own(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("\nid\ttext\tjoy\tsad\n1\thi\t1\t0\nid\ttext\tjoy\tsad\n", encoding="utf-8")
+    (tmp_path / "b.tsv").write_text("id\ttext\tfear\n2\tboo\t1\t1\n3\t\t0\n", encoding="utf-8")
+    (tmp_path / "c.tsv").write_text("", encoding="utf-8")
+    rows = corpora.labelled_files(spark, f"file://{tmp_path}")
+    assert sorted((r.doc_id, r.text, r.gs, r.labels) for r in rows.collect()) == [("1", "hi", [1, 0], ["joy", "sad"]), ("2", "boo", [1, 1], ["fear"]), ("3", "", [0], ["fear"]), ("id", "text", [0, 0], ["joy", "sad"])]
+    assert sorted(map(tuple, corpora.gold_of(rows.where("doc_id <> 'id'")).collect())) == [("1", "joy", 1), ("1", "sad", 0), ("2", "fear", 1), ("3", "fear", 0)]
+
+
+def test_lines_are_numbered_over_blocks(spark, tmp_path):
+    for name, n in (("x", 5000), ("y", 3), ("z", 0)):
+        (tmp_path / name).write_text("".join(f"{name} {i} {'é' * (i % 90)}\n" for i in range(n)), encoding="utf-8")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    try:
+        rows = corpora.numbered_lines(spark, f"file://{tmp_path}").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(rows) == 5003 and all(r.value.split(" ")[1] == str(r.n) and r.file.endswith(r.value[0]) for r in rows)
+
+
+def test_arabic_corpus(spark, tmp_path):
+    (tmp_path / "ar.tsv").write_text("id\ttext\tjoy\n1\t@a وسيكتبونه_مُدّ.. ok\U0001f602\t1\n2\t\t0\n", encoding="utf-8")
+    rows, labels = corpora.labelled_tsv(spark, f"file://{tmp_path}/ar.tsv", arabic=True)
+    tokens = features.tokens(rows, morphology.tokens)
+    want = [s for w in ("wsyktbwnh", "mud~", "ok", "\U0001f602") for s in morphology.segments(w)]
+    assert labels == ["joy"] and [r.token for r in tokens.orderBy("doc_id", "pos").collect()] == want
+    assert {(r.token, r.n) for r in features.counts(rows, morphology.tokens).collect()} == {(t, want.count(t)) for t in want}
+
+
+def test_report_lines(spark, example):
+    docs, tok, gold = example
+    lex = lexicon.learn(tok, gold)
+    names = sorted(r.label for r in gold.select("label").distinct().collect())
+    said = classify.decide(classify.scores(docs, features.term_counts(tok), lex), 0.5)
+    rows = classify.report_lines(docs, tok, lex, said, gold, names, arabic=True).collect()
+    assert len(rows) == 4 * docs.count() and {r.line for r in rows} == {0, 1, 2, 3}
+    for r in rows:
+        assert len(r.cells) == len(r.colours) == len(names) + (r.line == 0)
+        assert r.line == 3 or all(":" in c or not c for c in r.cells[: len(names)])
+
+
+def test_numbers_of_emoji_stay_when_a_corpus_comes(spark):
+    first = spark.createDataFrame([(1, 0, "\U0001f602"), (1, 1, "w"), (2, 0, "\U0001f600")], "doc_id long, pos int, token string")
+    later = spark.createDataFrame([(5, 0, "\U0001f601"), (5, 1, "\U0001f602"), (6, 0, "\U0001f603")], "doc_id long, pos int, token string")
+    known = features.emoji_surrogates(first)
+    both = features.more_surrogates(known, later)
+    assert {r.emoji: r.surrogate for r in both.collect()} == {"\U0001f602": "eMJ0", "\U0001f600": "eMJ1", "\U0001f601": "eMJ2", "\U0001f603": "eMJ3"}
+    assert features.more_surrogates(both, first).count() == 4 and features.more_surrogates(known.limit(0), later).count() == 3
