@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from glyphloom.functions import text as T
 from glyphloom.operators import classify, duplicates, features, lexicon, lsa, morphology, tune
-from glyphloom.sources import corpora, reports
+from glyphloom.sources import corpora, reports, workbooks
 from glyphloom.storage import scratch, spread, written
 from glyphloom.streaming import service
 
@@ -485,6 +485,23 @@ def report_lines(spark: SparkSession, d: str) -> DataFrame:
     return classify.report_lines(x.docs, x.tok, x.lex, x.said(), x.gold, LABELS)
 
 
+@query("SELECT cells, colours FROM (" + ORACLES["report_lines"] + ")")
+def report_workbook(spark: SparkSession, d: str) -> DataFrame:
+    """report_lines, written as a workbook by its tasks and read back, cell by cell with its colour."""
+    path = f"{scratch(spark, 'book')}.xlsx"
+    workbooks.write(report_lines(spark, d).orderBy("doc_id", "line").select("cells", "colours"), path)
+    return workbooks.read(spark, path).select("cells", "colours")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, label, cell, colour FROM (" + ORACLES["evaluation_report"] + ") WHERE colour <> 'BLACK'")
+def coloured_workbook(spark: SparkSession, d: str) -> DataFrame:
+    """evaluation_report as a workbook in large letters, without its black rows."""
+    path = f"{scratch(spark, 'book')}.xlsx"
+    workbooks.write(evaluation_report(spark, d).select("doc_id", "label", "cell", "colour"), path, drop="BLACK", size=16)
+    cell = F.col("cells")
+    return workbooks.read(spark, path).select(cell[0].alias("doc_id"), cell[1].alias("label"), cell[2].alias("cell"), F.col("colours")[0].alias("colour"))
+
+
 _ARABIC = arabic_parts(T.ARABIC, _BW, analyses("SELECT word FROM awords"))
 
 

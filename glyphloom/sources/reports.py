@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import zipfile
-from xml.sax.saxutils import escape
-
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphloom.functions import text as T
 
-# Font colours of a report.
-COLOURS = {"RED": "FFFF0000", "BLACK": "FF000000", "GREEN": "FF009900", "BLUE": "FF0000FF", "PURPLE": "FFBB00BB"}
+from . import workbooks
 
 
 def lexicon_lines(wide: DataFrame, labels: list[str], places: int = 2) -> DataFrame:
@@ -59,48 +54,14 @@ def write_csv(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").option("header", False).csv(path)
 
 
-# Fixed value: rows that a worksheet can have.
-MOST_ROWS = 1_048_576
-
-
-def write_xlsx(rows: DataFrame, path: str, colour: str | None = "colour", drop: tuple[str, ...] = (), size: int = 11, most: int = MOST_ROWS) -> int:
-    """A workbook of `rows` at a local path of the driver; a row's font has the colour that its colour column names. Returns how many rows it has.
+def write_xlsx(rows: DataFrame, path: str, colour: str | None = "colour", drop: tuple[str, ...] = (), size: int = 11, most: int = workbooks.MOST_ROWS) -> int:
+    """A workbook of `rows`, in their order; a row's font has the colour that its colour column names. Returns how many rows it has.
 
-    Rows go to the file one partition at a time. More than the format holds are an error, which leaves no file. Rows of the colours in `drop` are left out.
+    Rows of the colours in `drop` are left out. More rows than the format holds are an error, which leaves no file.
     """
-    shown = rows if not drop else rows.where(~F.col(colour).isin(*drop))
-    names = [c for c in rows.columns if c != colour]
-    styles = list(COLOURS)
-
-    def line(n: int, row: Row) -> str:
-        style = styles.index(row[colour]) + 1 if colour in rows.columns and row[colour] in COLOURS else 0
-        cells = "".join(f'<c t="inlineStr" s="{style}"><is><t xml:space="preserve">{escape("" if row[c] is None else str(row[c]))}</t></is></c>' for c in names)
-        return f'<row r="{n}">{cells}</row>'
-
-    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    kind, package = "application/vnd.openxmlformats-officedocument.spreadsheetml", "http://schemas.openxmlformats.org/package/2006"
-    fonts = f'<font><sz val="{size}"/></font>' + "".join(f'<font><sz val="{size}"/><color rgb="{c}"/></font>' for c in COLOURS.values())
-    parts = {
-        "[Content_Types].xml": f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kind}.worksheet+xml"/><Override PartName="/xl/styles.xml" ContentType="{kind}.styles+xml"/></Types>',
-        "_rels/.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
-        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="report" sheetId="1" r:id="rId1"/></sheets></workbook>',
-        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Type="{rel}/styles" Target="styles.xml"/></Relationships>',
-        "xl/styles.xml": f'<styleSheet xmlns="{main}"><fonts count="{len(COLOURS) + 1}">{fonts}</fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="{len(COLOURS) + 1}">' + "".join(f'<xf fontId="{i}" applyFont="1"/>' for i in range(len(COLOURS) + 1)) + "</cellXfs></styleSheet>",
-    }
-    head, written = '<?xml version="1.0" encoding="UTF-8"?>', 0
-    try:
-        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as book:
-            for name, text in parts.items():
-                book.writestr(name, head + text)
-            with book.open("xl/worksheets/sheet1.xml", "w") as sheet:
-                sheet.write(f'{head}<worksheet xmlns="{main}"><sheetData>'.encode())
-                for row in shown.toLocalIterator():
-                    written += 1
-                    if written > most:
-                        raise ValueError(f"more than {most} rows: write_csv() is for these")
-                    sheet.write(line(written, row).encode())
-                sheet.write(b"</sheetData></worksheet>")
-    except ValueError:
-        os.remove(path)
-        raise
-    return written
+    named = rows.withColumnRenamed(colour, "colour") if colour in rows.columns else rows
+    kept = named.where(~F.col("colour").isin(*drop) | F.col("colour").isNull()) if drop else named
+    if kept.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows: write_csv() is for these")
+    workbooks.write(kept, path, size=size, most=most)
+    return workbooks.read(rows.sparkSession, path).count()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from glyphloom.functions import text as T
 from glyphloom.operators import classify, duplicates, features, lexicon, lsa, morphology, tune
-from glyphloom.sources import corpora, reports
+from glyphloom.sources import corpora, reports, workbooks
 from glyphloom.streaming import service
 
 DOCS = [(1, "happy happy day"), (2, "sad day"), (3, "happy love"), (4, "sad rain day")]
@@ -334,6 +334,21 @@ def test_workbook(spark, tmp_path):
     assert "a&lt;b" in sheet and ">c<" not in sheet
     with pytest.raises(ValueError):
         reports.write_xlsx(rows, str(tmp_path / "s.xlsx"), most=2)
+    assert [(r.line, r.cells, r.colours) for r in workbooks.read(spark, str(tmp_path / "r.xlsx")).collect()] == [(0, ["a<b", "1"], ["RED"] * 2), (1, ["", "3"], [None] * 2)]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["r.xlsx"]
+
+
+def test_workbook_of_many_tasks(spark, tmp_path):
+    rows = spark.range(500, numPartitions=7).select(F.array(F.col("id").cast("string"), F.lit("x\r\n&\t'\x01\U0001f602"), F.lit(None)).alias("cells"), F.array(F.lit("GREEN"), F.lit("none")).alias("colours"))
+    path = f"file://{tmp_path}/many.xlsx"
+    workbooks.write(rows, path)
+    got = workbooks.read(spark, path).collect()
+    assert [(r.line, r.cells[0]) for r in got] == [(i, str(i)) for i in range(500)] and {(*r.cells[1:], *r.colours) for r in got} == {("x\r\n&\t'\ufffd\U0001f602", "", "GREEN", None, None)}
+    workbooks.write(rows.limit(0), path)  # what was there is replaced
+    assert workbooks.read(spark, path).count() == 0
+    with pytest.raises(Exception, match="more than 100 rows"):
+        workbooks.write(rows, f"file://{tmp_path}/more.xlsx", most=100)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["many.xlsx"]
 
 
 def test_service_answers_a_stream(spark, tmp_path):
