@@ -8,6 +8,8 @@ suffix agrees with it in `o` words to the left and the window's rest to the righ
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,8 +30,39 @@ def _agreeing(contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.argmin(same, axis=1)
 
 
+#: Windows of a piece that a long unit is taken in.
+PIECE = 1024
+
+
 def windows_by_suffixes(words: np.ndarray, lengths: np.ndarray, group: np.ndarray, lo: np.ndarray, hi: np.ndarray, window: int, gram: int = GRAMS[0]) -> tuple[np.ndarray, np.ndarray]:
-    """A passages.Kernel: the least lo and the greatest hi of each window. Words are compared by their numbers; hashes only choose the positions."""
+    """A passages.Kernel: the least lo and the greatest hi of each window. Words are compared by their numbers; hashes only choose the positions.
+
+    A unit of very many windows is one in which few words come again and again, as its windows share a minimiser. It is taken in pieces of PIECE windows, of which
+    each different one is looked at once: a text that repeats up to `period` words has at most `period` different full pieces, however long it is.
+    """
+    n = lengths - window + 1
+    if not len(n) or n.max() <= PIECE:
+        return _suffixes(words, lengths, lo, hi, window, gram)
+    many = -(-n // PIECE)
+    unit = np.repeat(np.arange(len(n)), many)
+    nth = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    start = (np.cumsum(lengths) - lengths)[unit] + nth * PIECE
+    count = np.minimum(PIECE, n[unit] - nth * PIECE)
+    size = count + window - 1
+    names: dict[bytes, int] = {}
+    kept = np.array([names.setdefault(hashlib.blake2b(words[a : a + k].tobytes()).digest(), i) for i, (a, k) in enumerate(zip(start, size, strict=True))])
+    some, which = np.unique(kept, return_inverse=True)
+    least, most = np.full(len(some), np.iinfo(np.int64).max), np.full(len(some), np.iinfo(np.int64).min)
+    np.minimum.at(least, which, lo[unit])
+    np.maximum.at(most, which, hi[unit])
+    short = np.concatenate([words[a : a + k] for a, k in zip(start[some], size[some], strict=True)])
+    low, high = _suffixes(short, size[some], least, most, window, gram)
+    at = (np.cumsum(count[some]) - count[some])[which]
+    begin = np.repeat(at - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+    return low[begin], high[begin]
+
+
+def _suffixes(words: np.ndarray, lengths: np.ndarray, lo: np.ndarray, hi: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     words = words.astype(np.uint64) + np.uint64(1)  # 0 stands beyond a unit's ends
     width = window - gram + 1
     starts = np.cumsum(lengths) - lengths
