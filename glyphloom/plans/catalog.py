@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphloom.functions import text as T
-from glyphloom.operators import classify, duplicates, features, lexicon, lsa, morphology, tune
+from glyphloom.operators import classify, duplicates, features, lexicon, lsa, measure, morphology, tune
 from glyphloom.sources import corpora, reports, workbooks
 from glyphloom.storage import scratch, spread, written
 from glyphloom.streaming import service
@@ -681,6 +681,13 @@ def morphology_lookup(spark: SparkSession, d: str) -> DataFrame:
     return different_tokens(spark, d).select("token", morphology.all_shown(pairs).alias("analysis"))
 
 
+@query(assemble("SELECT count(*) AS words, count(coalesce(noun, verb)) AS analysed, CAST(sum(len(coalesce(noun, verb))) AS BIGINT) AS parts FROM analysed", **_TOKENS))
+def lookup_observed(spark: SparkSession, d: str) -> DataFrame:
+    """What a run of morphology_lookup says of itself, beside its rate: words, those with an analysis, and their parts."""
+    seen = measure.timed(morphology_lookup(spark, d), "lookup", analysed=F.count("analysis"), parts=F.sum(F.size("analysis")).cast("long"))
+    return spark.createDataFrame([(seen["rows"], seen["analysed"], seen["parts"])], "words long, analysed long, parts long")
+
+
 @query(assemble("SELECT word AS token, segments FROM segmented", **_TOKENS))
 def stem_words(spark: SparkSession, d: str) -> DataFrame:
     return different_tokens(spark, d).select("token", morphology.stem_word(F.col("token")).alias("segments"))

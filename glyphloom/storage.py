@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,7 +21,7 @@ def shared_folder(spark: SparkSession) -> str:
     if top:
         return top
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not re.match(r"local(\[|$)", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if context.applicationId not in _LOCAL:
         _LOCAL[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='glyphloom')}"

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphloom.functions import text as T
-from glyphloom.operators import classify, duplicates, features, lexicon, lsa, morphology, tune
+from glyphloom.operators import classify, duplicates, features, lexicon, lsa, measure, morphology, tune
 from glyphloom.sources import corpora, reports, workbooks
 from glyphloom.streaming import service
 
@@ -425,3 +425,11 @@ def test_numbers_of_emoji_stay_when_a_corpus_comes(spark):
     both = features.more_surrogates(known, later)
     assert {r.emoji: r.surrogate for r in both.collect()} == {"\U0001f602": "eMJ0", "\U0001f600": "eMJ1", "\U0001f601": "eMJ2", "\U0001f603": "eMJ3"}
     assert features.more_surrogates(both, first).count() == 4 and features.more_surrogates(known.limit(0), later).count() == 3
+
+
+def test_runs_say_what_they_did(spark, tmp_path, caplog):
+    rows = spark.range(1000).select(F.when(F.col("id") % 4 == 0, F.col("id")).alias("x"))
+    with caplog.at_level("INFO", "glyphloom.runs"):
+        seen = measure.timed(rows, "test", f"file://{tmp_path}/out", known=F.count("x"), most=F.max("x"))
+    assert (seen["rows"], seen["known"], seen["most"]) == (1000, 250, 996) and seen["rows_per_second"] > 0 and "known=250" in caplog.text
+    assert spark.read.parquet(f"file://{tmp_path}/out").count() == 1000 and measure.timed(rows.limit(0))["rows"] == 0
