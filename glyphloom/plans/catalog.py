@@ -620,6 +620,14 @@ def trained_range(spark: SparkSession, d: str) -> DataFrame:
     return tune.create_and_tune_range(x.docs.where(~held), x.docs.where(held), x.gold, 1.0, 0.2, 0.4, top=TOP, rounds=1, labels=LABELS)
 
 
+@query(" UNION ALL ".join(f"SELECT CAST({t!r}{'' if 'e' in repr(t) else 'e0'} AS DOUBLE) AS threshold, * FROM ({assemble(measured('tconf'), **tested_parts(3, repr(t) + ('' if 'e' in repr(t) else 'e0')))})" for t in tune.grid_values(1.0, 0.0, 0.1, True)))
+def trained_range_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Three rounds of tuning from each of eleven starting thresholds."""
+    x = Labelled(spark, d)
+    held = F.col("doc_id") % 5 == 0
+    return tune.create_and_tune_range(x.docs.where(~held), x.docs.where(held), x.gold, top=TOP, labels=LABELS)
+
+
 @query(assemble(measured("oneconf"), oneconf="SELECT * FROM conf WHERE label = 'toxic'"))
 def evaluated_label(spark: SparkSession, d: str) -> DataFrame:
     """One label's measures, in shares of the greatest score of all."""
