@@ -205,4 +205,4 @@ def create_and_tune_range(
     """threshold, p, r, f, j: create_and_tune() from each starting threshold, all of them together."""
     starts = grid_values(start, end, step, closed=True)
     named = F.broadcast(gs.sparkSession.createDataFrame(list(enumerate(starts)), "start int, threshold double"))
-    return _ranged(train, test, gs, starts, top, rounds, labels, counts).join(named, "start").select("threshold", "p", "r", "f", "j")
+    return _ranged(train, test, gs, starts, top, rounds, labels, counts).join(named, "start").orderBy("start").select("threshold", "p", "r", "f", "j")

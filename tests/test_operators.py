@@ -433,3 +433,20 @@ def test_runs_say_what_they_did(spark, tmp_path, caplog):
         seen = measure.timed(rows, "test", f"file://{tmp_path}/out", known=F.count("x"), most=F.max("x"))
     assert (seen["rows"], seen["known"], seen["most"]) == (1000, 250, 996) and seen["rows_per_second"] > 0 and "known=250" in caplog.text
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == 1000 and measure.timed(rows.limit(0))["rows"] == 0
+
+
+def test_starts_together_are_starts_apart(spark, example):
+    docs, tok, gold = example
+    counts, lex = features.term_counts(tok), lexicon.learn(tok, gold)
+    starts = [0.9, 0.5, 0.1]
+    both = tune.Tuning(docs, counts, gold, lex, starts).run(2)
+    for i, t in enumerate(starts):
+        # One start by itself, each round scored anew with the lexicon as it is by then.
+        now, own = t, lex
+        for _ in range(2):
+            own = tune.corrected(docs, counts, gold, own, now)[0]
+            now = tune.label_thresholds(tune.swept(classify.scores(docs, counts, own), gold, tune.grid(spark)))
+        assert sorted(map(tuple, both.lexicon(i).collect())) == sorted(map(tuple, own.select("token", "label", "weight").collect()))
+        assert sorted(map(tuple, both.limits(i).collect())) == sorted(map(tuple, now.collect()))
+        want = classify.prfj(classify.confusion(classify.decide(classify.scores(docs, counts, own), now), gold)).first()
+        assert tuple(both.tested(docs, counts, gold).where(F.col("start") == i).first())[1:] == tuple(want)
