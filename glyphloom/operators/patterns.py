@@ -69,7 +69,8 @@ class Spelled:
             self.made.setdefault("", []).append(names[m[1]])
             return f"(?<{names[m[1]]}>"
 
-        text = re.sub(r"\(\?P<(\w+)>", numbered, text)
+        # Three or more stand in look-aheads alone, where three say as much; Java counts repeats of a group on its stack, which a long word would fill.
+        text = re.sub(r"\(\?P<(\w+)>", numbered, text).replace("{3,}", "{3}")
         return f"(?:{re.sub(r'\(\?P=(\w+)\)', lambda m: rf'\k<{names[m[1]]}>', text)})".replace(" ", "")
 
     def vowels(self, n: str) -> str:

@@ -72,3 +72,14 @@ def test_joins_say_what_the_grammar_says():
 @pytest.mark.parametrize("text, bound, want", [("a(?(G2)k)|b", True, "ak|b"), ("a(?(G2)k)|b", False, "a|b"), ("(?(G2)(?<!(h|n))Ax)y(?(G2)z)", True, "(?<!(h|n))Axyz"), ("(?(ON)x)", True, "(?(ON)x)")])
 def test_conditionals_are_decided(text, bound, want):
     assert patterns.decided(text, "G2", bound) == want
+
+
+def test_very_long_words(spark):
+    listed = ["ktb" * 20_000, "A" * 50_000, "k" * 50_000, "wa" * 30_000, "wAl" + "ktab" * 10_000, "mu" * 30_000, "sy" + "\u0644" * 20_000]
+    table = spark.createDataFrame([(w,) for w in listed], "w string")
+    rows = table.select("w", morphology.lookup(F.col("w"), "NN").alias("n"), morphology.lookup(F.col("w"), "VB").alias("v"), morphology.stem_word(F.col("w")).alias("s")).collect()
+    for r in rows:
+        for got, rule in ((r.n, "NN"), (r.v, "VB")):
+            want = told(r.w, rule, morphology.STANDARD)
+            assert want == (None if got is None else [tuple(p) for p in got])
+        assert "".join(r.s) == r.w and list(r.s) == morphology.segments(r.w)
