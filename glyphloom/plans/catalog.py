@@ -672,6 +672,45 @@ def svd_reconstruct(spark: SparkSession, d: str) -> DataFrame:
     return lsa.compare(rows, lsa.reconstruct(lsa.prune(lsa.factors(rows, index, 10), first=8), index, 0.0005), 0.001)
 
 
+# A matrix of two rows, the labels, and a column a word has a factorisation in closed form: that of its rows' products.
+_TWO_ROWS = {
+    "lw": "SELECT token, max(weight) FILTER (label = 'quality') AS a, max(weight) FILTER (label = 'toxic') AS b FROM (SELECT token, label, round(q, 6) + 0.0e0 AS weight FROM q) GROUP BY token",
+    "gram": "SELECT sum(a * a) AS aa, sum(b * b) AS bb, sum(a * b) AS ab FROM lw",
+    "eigen": "SELECT *, (aa + bb) / 2 + sqrt(((aa - bb) / 2) ** 2 + ab * ab) AS hi, (aa + bb) / 2 - sqrt(((aa - bb) / 2) ** 2 + ab * ab) AS lo FROM gram",
+    "first_axis": "SELECT ab / sqrt(ab * ab + (hi - aa) ** 2) AS u, (hi - aa) / sqrt(ab * ab + (hi - aa) ** 2) AS v FROM eigen",
+    "projected": "SELECT 0 AS doc_id, token, u * (u * a + v * b) AS w, a AS w0 FROM lw CROSS JOIN first_axis UNION ALL SELECT 1, token, v * (u * a + v * b), b FROM lw CROSS JOIN first_axis",
+}
+
+
+def label_matrix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The words' shares of each label as a matrix (doc_id, token, w) with the labels as its rows, and its term index."""
+    lex = Labelled(spark, d).lexicon("TFIDF")
+    rows = written(lex.select((F.col("label") == LABELS[1]).cast("long").alias("doc_id"), "token", F.col("weight").alias("w")), "matrix")
+    return rows, written(lsa.term_index(rows), "terms")
+
+
+@query(assemble("SELECT 0 AS i, round(sqrt(hi), 6) AS s FROM eigen UNION ALL SELECT 1, round(sqrt(lo), 6) FROM eigen", **_TWO_ROWS))
+def label_svd(spark: SparkSession, d: str) -> DataFrame:
+    """The singular values of the labels' matrix."""
+    found = lsa.factors(*label_matrix(spark, d), 2)
+    return spark.createDataFrame([(i, round(float(s), 6)) for i, s in enumerate(found.s)], "i int, s double")
+
+
+@query(assemble("SELECT CAST(doc_id AS BIGINT) AS doc_id, token, round(w, 4) AS w FROM projected WHERE w > 0.3", **_TWO_ROWS))
+def label_reconstruct(spark: SparkSession, d: str) -> DataFrame:
+    """The labels' matrix of its first singular value alone: entries over 0.3."""
+    rows, index = label_matrix(spark, d)
+    return lsa.reconstruct(lsa.prune(lsa.factors(rows, index, 2), first=1), index, 0.3).withColumn("w", F.round("w", 4))
+
+
+@query(assemble("SELECT CAST(doc_id AS BIGINT) AS doc_id, token, round(w, 4) AS w FROM projected WHERE w > 0.3 AND (SELECT sqrt(lo) FROM eigen) <= (SELECT sqrt(hi) FROM eigen) / 1.5", **_TWO_ROWS))
+def label_reconstruct_above(spark: SparkSession, d: str) -> DataFrame:
+    """As label_reconstruct, of the singular values over two thirds of the first."""
+    rows, index = label_matrix(spark, d)
+    made = lsa.factors(rows, index, 2)
+    return lsa.reconstruct(lsa.prune(made, above=float(made.s[0]) / 1.5), index, 0.3).withColumn("w", F.round("w", 4))
+
+
 # ------------------------------------------------------------------ morphology, service
 
 
