@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from glyphloom.functions import text as T
 
-from . import patterns
+from . import features, patterns
 
 # The grammar. A name in capitals stands for its rule as a group of that name, with # before it for its rule alone; spaces don't count.
 GRAMMAR = {
@@ -169,10 +169,19 @@ def stem_word(word: Column) -> Column:
     return F.when(word.isNotNull(), F.get(F.transform(F.array(both), cut), F.lit(0)))
 
 
+def words(text: Column) -> Column:
+    """The words of a text in Buckwalter letters. Null has none."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), f"{T.SPACE}+"), lambda w: w != "")
+
+
 def tokens(text: Column) -> Column:
     """The segments of the words of a text in Buckwalter letters: what the tokens of an Arabic corpus are. Null has none."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), f"{T.SPACE}+"), lambda w: w != "")
-    return F.filter(F.flatten(F.transform(words, stem_word)), lambda s: s != "")
+    return F.filter(F.flatten(F.transform(words(text), stem_word)), lambda s: s != "")
+
+
+def counts(docs: DataFrame) -> DataFrame:
+    """doc_id, token, n of the tokens() of docs (doc_id, text); each different word is analysed once."""
+    return features.counts_by_word(docs, words, stem_word)
 
 
 def stem_text(text: Column) -> Column:

@@ -35,8 +35,8 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     raw = written(raw, "lines")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = raw.groupBy("file", "block").agg(F.count("*").alias("many"), F.min("at").alias("first")).withColumn("start", F.coalesce(F.sum("many").over(before), F.lit(0)))
-    # A block's rows have consecutive numbers in the order of its lines.
-    return raw.join(starts.select("file", "block", "first", "start"), ["file", "block"]).select("file", (F.col("start") + F.col("at") - F.col("first")).alias("n"), "value")
+    # A block's rows have consecutive numbers in the order of its lines. A row a block is broadcast: lines aren't gathered by their file.
+    return raw.join(F.broadcast(starts.select("file", "block", "first", "start")), ["file", "block"]).select("file", (F.col("start") + F.col("at") - F.col("first")).alias("n"), "value")
 
 
 def _cleaned(arabic: bool) -> Column:
@@ -59,7 +59,7 @@ def labelled_files(spark: SparkSession, path: str, arabic: bool = False) -> Data
     lines = written(numbered_lines(spark, path).select("file", "n", _cleaned(arabic).alias("line")).where("line <> ''"), "cleaned")
     heads = lines.groupBy("file").agg(F.min_by("line", "n").alias("head"), F.min("n").alias("first"))
     names = F.filter(F.split(F.col("head"), f"{T.SPACE}+"), lambda x: x != "")
-    rows = lines.join(heads.select("file", "first", F.slice(names, 3, 1 << 20).alias("labels")), "file").where("n > first")
+    rows = lines.join(F.broadcast(heads.select("file", "first", F.slice(names, 3, 1 << 20).alias("labels"))), "file").where("n > first")
     return _cells(rows, "labels").select("doc_id", "text", "gs", "labels")
 
 
