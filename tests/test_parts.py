@@ -38,3 +38,14 @@ def test_factors_are_tables_and_vectors_as_long_as_the_shorter_side(spark, shape
         assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-8 for k in want)
     assert lsa.reconstruct(lsa.prune(found, above=1e9), index, 0.0).count() == 0
     assert lsa.factors(rows, index, 5, vectors=False).u is None
+
+
+def test_neighbours_leave_no_table_that_nothing_reads(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a{i % 3} b{i % 4} c{i % 5} d") for i in range(40)], "doc_id long, text string")
+    gone, drop = [], features.dropped
+    monkeypatch.setattr(features, "dropped", lambda df: (gone.append(df._glyphloom_path.split("glyphloom-")[1].split("-")[0]), drop(df)))
+    own = features.frequencies(features.counts(docs))
+    want = features.neighbours(own, docs.where("doc_id < 4")).collect()
+    assert gone == ["rare"] and own.count() == 160
+    got = features.neighbours(features.counts(docs), docs.where("doc_id < 4")).collect()
+    assert gone == ["rare", "frequencies", "rare"] and sorted(got) == sorted(want) and len(got) == 40
