@@ -74,10 +74,15 @@ def word_errors(counts: DataFrame, decisions: DataFrame, gs: DataFrame) -> DataF
 
 def report(docs: DataFrame, tok: DataFrame, lex: DataFrame, decisions: DataFrame, gs: DataFrame) -> DataFrame:
     """doc_id, label, cell, colour, best, worst: what a reader's table shows of each decision. Right ones are green, wrong ones red, missed ones blue, others black."""
+    return weighed_report(docs, tok, lex, decisions, gs).drop("best_weight", "worst_weight")
+
+
+def weighed_report(docs: DataFrame, tok: DataFrame, lex: DataFrame, decisions: DataFrame, gs: DataFrame) -> DataFrame:
+    """report() with best_weight and worst_weight."""
     rows = decisions.join(gs, ["doc_id", "label"]).join(best_and_worst(docs, tok, lex), ["doc_id", "label"])
     said, true = F.col("decision") == 1, F.col("gs") == 1
     colour = F.when(said & true, "GREEN").when(said, "RED").when(true, "BLUE").otherwise("BLACK")
-    return rows.select("doc_id", "label", F.concat_ws(":", "label", T.fixed(F.col("ratio"), 2)).alias("cell"), colour.alias("colour"), "best", "worst")
+    return rows.select("doc_id", "label", F.concat_ws(":", "label", T.fixed(F.col("ratio"), 2)).alias("cell"), colour.alias("colour"), "best", "worst", "best_weight", "worst_weight")
 
 
 def report_lines(docs: DataFrame, tok: DataFrame, lex: DataFrame, decisions: DataFrame, gs: DataFrame, labels: list[str], arabic: bool = False) -> DataFrame:
@@ -85,7 +90,7 @@ def report_lines(docs: DataFrame, tok: DataFrame, lex: DataFrame, decisions: Dat
 
     Of an Arabic corpus words and tokens are shown in Arabic script. A line's cells are as many as the labels, and one more in line 0.
     """
-    rows = report(docs, tok, lex, decisions, gs).join(best_and_worst(docs, tok, lex).select("doc_id", "label", "best_weight", "worst_weight"), ["doc_id", "label"])
+    rows = weighed_report(docs, tok, lex, decisions, gs)
     worded = lambda word, weight: F.coalesce(F.concat_ws(":", T.displayed(F.col(word), arabic), F.when(F.col(word).isNotNull(), T.fixed(F.col(weight), 2))), F.lit(""))
     shown = rows.select("doc_id", "label", "cell", "colour", worded("best", "best_weight").alias("b"), worded("worst", "worst_weight").alias("w"))
     pick = lambda c: F.array(*[F.max(F.when(F.col("label") == x, F.col(c))) for x in labels]).alias(c)

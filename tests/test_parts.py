@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from glyphloom.operators import features, lsa, morphology
+from glyphloom.operators import classify, features, lexicon, lsa, morphology
 
 
 def test_words_are_cut_once_and_counted_as_in_their_texts(spark, monkeypatch):
@@ -49,3 +49,14 @@ def test_neighbours_leave_no_table_that_nothing_reads(spark, monkeypatch):
     assert gone == ["rare"] and own.count() == 160
     got = features.neighbours(features.counts(docs), docs.where("doc_id < 4")).collect()
     assert gone == ["rare", "frequencies", "rare"] and sorted(got) == sorted(want) and len(got) == 40
+
+
+def test_report_lines_look_for_the_best_words_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a{i % 3} b{i % 2} c") for i in range(6)], "doc_id long, text string")
+    gold = spark.createDataFrame([(i, x, int(i % 3 == n)) for i in range(6) for n, x in enumerate(["p", "q"])], "doc_id long, label string, gs int")
+    tok, counts, looked, look = features.tokens(docs), features.counts(docs), [], classify.best_and_worst
+    lex = lexicon.learn(counts, gold, 10)
+    said = classify.decide(classify.scores(docs, counts, lex), 0.3)
+    monkeypatch.setattr(classify, "best_and_worst", lambda *a: looked.append(1) or look(*a))
+    assert classify.report_lines(docs, tok, lex, said, gold, ["p", "q"]).count() == 24 and len(looked) == 1
+    assert classify.report(docs, tok, lex, said, gold).columns == ["doc_id", "label", "cell", "colour", "best", "worst"]
