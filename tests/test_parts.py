@@ -60,3 +60,27 @@ def test_report_lines_look_for_the_best_words_once(spark, monkeypatch):
     monkeypatch.setattr(classify, "best_and_worst", lambda *a: looked.append(1) or look(*a))
     assert classify.report_lines(docs, tok, lex, said, gold, ["p", "q"]).count() == 24 and len(looked) == 1
     assert classify.report(docs, tok, lex, said, gold).columns == ["doc_id", "label", "cell", "colour", "best", "worst"]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_line_end_behind_white_space_is_no_part_of_the_last_word(spark):
+    from pyspark.sql import functions as F
+
+    from glyphloom.functions import text as T
+
+    texts = ["abc \u2028", "a\t\x85", "rt @bob @ al start @al.. x&amp;y z", "gonna\ncannot cannots 12a3b", "İΣ @\U0001f602"]
+    got = [r.t for r in spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", T.tokens(F.col("text")).alias("t")).orderBy("i").collect()]
+    assert got == [["abc", "\u2028"], ["a", "\x85"], ["al", "sta", "x", "z"], ["gon", "na", "can", "not", "cannots", "a", "b"], ["i̇", "σ", "\U0001f602"]]
+
+
+def test_words_without_a_shadda_need_no_fold(spark):
+    from pyspark.sql import functions as F
+
+    from glyphloom.functions import text as T
+
+    words = ["mudo", "mud~o", "~ab~", "oo", "", "a~~", None]
+    assert [r.t for r in spark.createDataFrame(list(enumerate(words)), "i int, s string").orderBy("i").select(T.shaddas(F.col("s")).alias("t")).collect()] == ["mud", "mudd", "~abb", "", "", "aaa", None]
+    assert "contains" in spark.createDataFrame([("a",)], "s string").select(T.shaddas(F.col("s")).alias("t"))._jdf.queryExecution().analyzed().toString().lower()
