@@ -76,6 +76,17 @@ def test_a_line_end_behind_white_space_is_no_part_of_the_last_word(spark):
     assert got == [["abc", "\u2028"], ["a", "\x85"], ["al", "sta", "x", "z"], ["gon", "na", "can", "not", "cannots", "a", "b"], ["i̇", "σ", "\U0001f602"]]
 
 
+def test_surrogates_leave_tokens_where_they_are(spark):
+    docs = spark.createDataFrame([(1, "a \U0001f602 \U0001f602 b"), (2, "\U0001f600 a")], "doc_id long, text string")
+    tok = features.tokens(docs)
+    surrogates = features.emoji_surrogates(tok)
+    made = features.with_surrogates(tok, surrogates)
+    assert sorted(map(tuple, made.collect())) == [(1, 0, "a"), (1, 1, "eMJ0"), (1, 2, "eMJ0"), (1, 3, "b"), (2, 0, "eMJ1"), (2, 1, "a")]
+    assert "BroadcastHashJoin" in plan_of(made)
+    counted = features.with_surrogates(features.counts(docs), surrogates)
+    assert sorted((r.doc_id, r.token, r.n) for r in counted.collect()) == [(1, "a", 1), (1, "b", 1), (1, "eMJ0", 2), (2, "a", 1), (2, "eMJ1", 1)]
+
+
 def test_words_without_a_shadda_need_no_fold(spark):
     from pyspark.sql import functions as F
 
