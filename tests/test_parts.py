@@ -76,6 +76,15 @@ def test_a_line_end_behind_white_space_is_no_part_of_the_last_word(spark):
     assert got == [["abc", "\u2028"], ["a", "\x85"], ["al", "sta", "x", "z"], ["gon", "na", "can", "not", "cannots", "a", "b"], ["i̇", "σ", "\U0001f602"]]
 
 
+def test_the_pruned_vocabulary_joins_nothing(spark):
+    docs = spark.createDataFrame([(1, "a a b"), (2, "a b b b c"), (3, "d a")], "doc_id long, text string")
+    counts = features.counts(docs)
+    made = features.pruned_vocabulary(counts, 0.25)
+    want = features.tfidf(counts, 0.25).groupBy("token", "df").count().collect()
+    assert sorted((r.token, r.df, r.idf) for r in made.collect()) == sorted((r.token, r.df, 1.0 / r.df) for r in want) == [("b", 2, 0.5)]
+    assert "Join" not in plan_of(made)
+
+
 def test_surrogates_leave_tokens_where_they_are(spark):
     docs = spark.createDataFrame([(1, "a \U0001f602 \U0001f602 b"), (2, "\U0001f600 a")], "doc_id long, text string")
     tok = features.tokens(docs)
