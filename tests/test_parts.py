@@ -85,6 +85,16 @@ def test_the_pruned_vocabulary_joins_nothing(spark):
     assert "Join" not in plan_of(made)
 
 
+def test_weights_have_the_terms_places_without_a_second_join(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{chr(97 + (i * k) % 7)} u{chr(97 + i)}" for k in range(5))) for i in range(20)] + [(30, "ua ub")], "doc_id long, text string")
+    counts = features.counts(docs)
+    rows = features.tfidf(counts, index=True)
+    want = lsa.matrix_rows(features.tfidf(counts), lsa.term_index(features.tfidf(counts))).collect()
+    made = lsa.matrix_rows(rows)
+    assert sorted(made.collect()) == sorted(want) and len(want) == 21
+    assert "SortMergeJoin" not in plan_of(made)
+
+
 def test_surrogates_leave_tokens_where_they_are(spark):
     docs = spark.createDataFrame([(1, "a \U0001f602 \U0001f602 b"), (2, "\U0001f600 a")], "doc_id long, text string")
     tok = features.tokens(docs)
