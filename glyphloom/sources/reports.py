@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphloom.functions import text as T
@@ -36,13 +36,12 @@ def score_lines(scored: DataFrame, labels: list[str], header: bool = False) -> D
 
 def feature_lines(features: DataFrame, most: int | None = None) -> DataFrame:
     """doc_id, line: all of each document's terms, or its `most` heaviest, as "term: weight", heaviest first."""
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("w").desc(), "token"))
-    ranked = features.withColumn("n", rank)
-    ranked = ranked if most is None else ranked.where(F.col("n") <= most)
-    lists = ranked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", F.concat_ws(": ", "token", T.fixed(F.col("w"), 3)).alias("t")))).alias("parts"))
-    return lists.select("doc_id", F.array_join(F.col("parts.t"), ", ").alias("line"))
+    if most is not None:
+        rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("w").desc(), "token"))
+        features = features.withColumn("n", rank).where(F.col("n") <= most)
+    # A line holds all its terms, so they are put in order where it is made.
+    lists = features.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("w")).alias("w"), "token", T.fixed(F.col("w"), 3).alias("shown")))).alias("parts"))
+    return lists.select("doc_id", F.array_join(F.zip_with("parts.token", "parts.shown", lambda t, w: F.concat(t, F.lit(": "), w)), ", ").alias("line"))
 
 
 def document_form(docs: DataFrame, sizes: DataFrame) -> DataFrame:

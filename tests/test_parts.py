@@ -114,3 +114,13 @@ def test_words_without_a_shadda_need_no_fold(spark):
     words = ["mudo", "mud~o", "~ab~", "oo", "", "a~~", None]
     assert [r.t for r in spark.createDataFrame(list(enumerate(words)), "i int, s string").orderBy("i").select(T.shaddas(F.col("s")).alias("t")).collect()] == ["mud", "mudd", "~abb", "", "", "aaa", None]
     assert "contains" in spark.createDataFrame([("a",)], "s string").select(T.shaddas(F.col("s")).alias("t"))._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_lines_of_terms_are_sorted_without_a_window(spark):
+    from glyphloom.sources import reports
+
+    rows = spark.createDataFrame([(1, "b", 0.5), (1, "a", 0.5), (1, "c", 0.75), (2, "x", 0.0004)], "doc_id long, token string, w double")
+    made = reports.feature_lines(rows)
+    assert sorted(map(tuple, made.collect())) == [(1, "c: 0.750, a: 0.500, b: 0.500"), (2, "x: 0.000")]
+    assert "Window" not in plan_of(made)
+    assert sorted(map(tuple, reports.feature_lines(rows, 2).collect())) == [(1, "c: 0.750, a: 0.500"), (2, "x: 0.000")]
