@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphloom.functions import text as T
+from glyphloom.storage import written
 
 from . import features, patterns
 
@@ -238,9 +239,12 @@ def show_index(index: DataFrame, most: int = 20) -> DataFrame:
     """segment, size, words: each segment's number of words and the first `most` of them; ranked before they are gathered."""
     from pyspark.sql import Window
 
-    own = Window.partitionBy("segment")
-    ranked = index.withColumn("n", F.row_number().over(own.orderBy("form", "tag", "bw"))).withColumn("size", F.count("*").over(own)).where(F.col("n") <= most)
-    return ranked.groupBy("segment", "size").agg(F.array_sort(F.collect_list("form")).alias("words"))
+    index = written(index, "segments")
+    sizes = index.groupBy("segment").agg(F.count("*").alias("size"))
+    # Nothing but a rank and its limit, so that each task sends on the first words of a segment alone, and no segment gathers all its words.
+    ranked = index.withColumn("n", F.row_number().over(Window.partitionBy("segment").orderBy("form", "tag", "bw"))).where(F.col("n") <= most)
+    words = ranked.groupBy("segment").agg(F.array_sort(F.collect_list("form")).alias("words"))
+    return words.join(sizes, "segment").select("segment", "size", "words")
 
 
 def show(analysed: DataFrame, sources: tuple[str, ...] = (), most: int | None = None) -> DataFrame:

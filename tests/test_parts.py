@@ -106,6 +106,13 @@ def test_surrogates_leave_tokens_where_they_are(spark):
     assert sorted((r.doc_id, r.token, r.n) for r in counted.collect()) == [(1, "a", 1), (1, "b", 1), (1, "eMJ0", 2), (2, "a", 1), (2, "eMJ1", 1)]
 
 
+def test_a_segments_words_are_cut_before_they_are_gathered(spark):
+    index = spark.createDataFrame([("s/NN", f"f{i:02}", "NN", f"b{i:02}") for i in range(30)] + [("t/NN", "f", "NN", "b")], "segment string, form string, tag string, bw string")
+    made = morphology.show_index(index, 3)
+    assert sorted(map(tuple, made.collect())) == [("s/NN", 30, ["f00", "f01", "f02"]), ("t/NN", 1, ["f"])]
+    assert "WindowGroupLimit" in plan_of(made)
+
+
 def test_words_without_a_shadda_need_no_fold(spark):
     from pyspark.sql import functions as F
 
