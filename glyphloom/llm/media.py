@@ -2,7 +2,7 @@
 
 Stored forms are WAV files with mu-law, A-law or IMA ADPCM data. The first two are expanded by lookup tables; ADPCM blocks are
 independent, so numpy decodes the n-th sample of all blocks of all files together. Decoded sound goes through a polyphase low-pass filter in
-whole numbers to another rate, and is stored as a column of 16-bit PCM beside the file. The way back, from sound to each of the three codes, is here too.
+whole numbers to another rate, and is a column of 16-bit PCM beside the file. The way back, from sound to each of the three codes, is here too.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ STEPS = np.array(
 MOVES = np.array([-1, -1, -1, -1, 2, 4, 6, 8], np.int32)
 #: Bytes of an ADPCM block: four of them are its head.
 BLOCK = 64
-#: Samples a second of a stored file, and of the PCM that is stored beside it.
+#: Samples a second of a stored file, and of the PCM that is made of it.
 RATE, RESAMPLED = 8000, 4000
 #: Bytes of files that are decoded together.
 SOUND_BYTES = 1 << 18
@@ -264,7 +264,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def described(media: DataFrame) -> DataFrame:
-    """What a stored table (doc_id, n_bytes, media, pcm) holds, from its bytes: the payload of each file, and codec, length, peak, energy, changes of sign and crc32 of its PCM."""
+    """What a table (doc_id, n_bytes, media, pcm) holds, from its bytes: the payload of each file, and codec, length, peak, energy, changes of sign and crc32 of its PCM."""
     return media.mapInArrow(_describe, _FIELDS)
 
 
@@ -288,9 +288,11 @@ def with_pcm(media: DataFrame, rate: int = RESAMPLED) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """described() of a table that is written with the files of stored() and their PCM, and read back: one row per row of docs (doc_id, text).
+    """described() of a table that is written with the files of stored() and read back, and of the sound of what is read: one row per row of docs (doc_id, text).
+
+    The sound is made of the files whenever it is needed, and not stored again: filtered samples are twice as large as what they come from, and don't compress.
 
     Repeated rows and null doc_ids have rows of their own; equal texts have equal values. Null and empty texts are 64 zeros; very long ones are one file, whose sound
     is decoded alone. No rows give no rows. Other columns are ignored.
     """
-    return described(written(with_pcm(stored(docs)), "media"))
+    return described(with_pcm(written(stored(docs), "media")))

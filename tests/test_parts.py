@@ -131,3 +131,15 @@ def test_lines_of_terms_are_sorted_without_a_window(spark):
     assert sorted(map(tuple, made.collect())) == [(1, "c: 0.750, a: 0.500, b: 0.500"), (2, "x: 0.000")]
     assert "Window" not in plan_of(made)
     assert sorted(map(tuple, reports.feature_lines(rows, 2).collect())) == [(1, "c: 0.750, a: 0.500"), (2, "x: 0.000")]
+
+
+def test_media_are_stored_without_the_sound_made_of_them(spark, monkeypatch):
+    from glyphloom.llm import media
+
+    kept, write = [], media.written
+    monkeypatch.setattr(media, "written", lambda df, name: kept.append(df.columns) or write(df, name))
+    docs = spark.createDataFrame([(1, "some words"), (2, None), (3, "x" * 300)], "doc_id long, text string")
+    made = {r.doc_id: r for r in media.digest(docs).collect()}
+    assert kept == [["doc_id", "n_bytes", "media"]]
+    want = {r.doc_id: r for r in media.described(media.with_pcm(media.stored(docs))).collect()}
+    assert made == want and all(",peak=" in r.feature for r in made.values())
