@@ -43,3 +43,47 @@ def test_groups_that_reach_over_ranges(spark, partitions):
 
 def test_no_rows(spark):
     assert got(spark, []) == {}
+
+
+class Counted(str):
+    """A token that counts how often it is compared."""
+
+    times = 0
+    __hash__ = str.__hash__
+
+    def __eq__(self, other):
+        Counted.times += 1
+        return str.__eq__(self, other)
+
+    def __ne__(self, other):
+        Counted.times += 1
+        return str.__ne__(self, other)
+
+
+def test_equal_ends_are_compared_once():
+    rng = random.Random(1)
+    for _ in range(2000):
+        a, b = ([rng.choice("ab") for _ in range(rng.randrange(7))] for _ in range(2))
+        table = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1)}
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                table[i, j] = min(table[i - 1, j] + 1, table[i, j - 1] + 1, table[i - 1, j - 1] if x == y else i + j)
+        want = table[len(a), len(b)]
+        got_cost = duplicates.alignment_cost(a, b, 2)
+        assert got_cost == want if want <= 2 else got_cost > 2
+    words = [Counted(i) for i in range(2000)]
+    assert duplicates.alignment_cost(words, [*words[:1000], "x", *words[1001:]], 2) == 2
+    assert Counted.times < 2 * len(words)
+
+
+def test_texts_go_to_the_fold_and_do_not_come_back(spark, monkeypatch):
+    """Tokens travel as one string each, and a range's table has the texts at its ends alone; control characters sort as in lists of tokens."""
+    tables, real = [], duplicates.written
+    monkeypatch.setattr(duplicates, "written", lambda df, name: tables.append(real(df, name)) or tables[-1])
+    ends = ["a", "a b", "a\0 b", "a\0\0", "a\1 b", "a\1", "a\2 b c d", "\0", "\1", "\1\1 \0", "\1\2", "", "b \0 c", "b c"]
+    rows = [(i, t) for i, t in enumerate(ends * 2)] + [(100 + i, f"long text {i} " + "word " * 50 + str(chr(97 + i))) for i in range(20)]
+    want = folded([(i, "".join(c for c in t if not c.isdigit())) for i, t in rows])
+    assert got(spark, rows) == want
+    assert not any(kind.startswith("array") for t in tables for _, kind in t.dtypes)
+    made = next(t for t in tables if "head" in t.columns and "range" in t.columns)
+    assert made.where("first IS NOT NULL").count() <= made.select("range").distinct().count() < made.count()
