@@ -190,6 +190,22 @@ def stem_text(text: Column) -> Column:
     return T.to_arabic(F.array_join(F.transform(F.split(T.to_buckwalter(text), " "), lambda w: F.array_join(stem_word(w), " ")), " "))
 
 
+def stem_texts(requests: DataFrame) -> DataFrame:
+    """value, answer of a batch of requests (value): stem_text() of each; each different word is analysed once, however often it stands in them.
+
+    Words that stand in them very often are broadcast with their segments, as in features.counts_by_word(); the others meet theirs by hash.
+    """
+    own = written(requests.select(F.monotonically_increasing_id().alias("row"), "value"), "requests")
+    each = own.select("row", F.posexplode(F.split(T.to_buckwalter(F.col("value")), " ")).alias("pos", "word"))
+    found = written(each.groupBy("word").agg(F.count("*").alias("n")).withColumn("said", F.array_join(stem_word(F.col("word")), " ")), "parts")
+    least = (found.agg(F.sum("n")).first()[0] or 0) / features.HEAVY
+    heavy = found.where(F.col("n") > least)
+    common = each.join(F.broadcast(heavy.select("word", "said")), "word")
+    rest = each.join(F.broadcast(heavy.select("word")), "word", "left_anti").join(found.where(F.col("n") <= least).select("word", "said").hint("shuffle_hash"), "word")
+    placed = common.unionByName(rest).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "said"))).alias("words"))
+    return own.join(placed, "row", "left").select("value", T.to_arabic(F.array_join("words.said", " ")).alias("answer"))
+
+
 def root(pairs: Column) -> Column:
     """The first pair whose tag names a root, or null."""
     return F.get(F.filter(pairs, lambda p: F.contains(p["tag"], F.lit("ROOT"))), 0)

@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphloom.operators import morphology, patterns
-from glyphloom.plans import words
+from glyphloom.plans import catalog, words
 from glyphloom.plans.analyses import analyses
 from glyphloom.plans.sql import assemble
+from glyphloom.streaming import service
 
 LETTERS = "AbtvjHxdrzsSDTZEgfqklmnhwyoiuaFNK~pYOIW><&}|{`'\n"
 
@@ -83,3 +84,17 @@ def test_very_long_words(spark):
             want = told(r.w, rule, morphology.STANDARD)
             assert want == (None if got is None else [tuple(p) for p in got])
         assert "".join(r.s) == r.w and list(r.s) == morphology.segments(r.w)
+
+
+def test_a_batch_of_requests_analyses_each_word_once(spark, monkeypatch, tmp_path):
+    listed = ["وكتبها", "كتاب", "مُدِّ", "bytnA", "the", "mud~o", "", "x'"]
+    texts = [" ".join(listed[(i + k) % len(listed)] for k in range(i % 7 + 1)) for i in range(60)] * 3 + ["", " ", "  the ", None]
+    spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(texts)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    tables, real = [], morphology.written
+    monkeypatch.setattr(morphology, "written", lambda df, name: tables.append(real(df, name)) or tables[-1])
+    got = sorted(map(tuple, catalog.QUERIES["stemmed_requests"](spark, str(tmp_path)).collect()))
+    turns = spark.createDataFrame([(t or "",) for t in texts], "value string")
+    assert got == sorted(map(tuple, service.answers(turns, morphology.stem_text).collect()))
+    assert [t.count() for t in tables if "word" in t.columns] == [len(listed)]
+    alone = morphology.stem_texts(spark.createDataFrame([(None,), ("كتاب",)], "value string"))
+    assert {r.value: r.answer is None for r in alone.collect()} == {None: True, "كتاب": False}
