@@ -450,3 +450,24 @@ def test_starts_together_are_starts_apart(spark, example):
         assert sorted(map(tuple, both.limits(i).collect())) == sorted(map(tuple, now.collect()))
         want = classify.prfj(classify.confusion(classify.decide(classify.scores(docs, counts, own), now), gold)).first()
         assert tuple(both.tested(docs, counts, gold).where(F.col("start") == i).first())[1:] == tuple(want)
+
+
+def test_starts_come_to_sums_that_are_made_once(spark):
+    docs = spark.createDataFrame([(i, "good day" if i % 2 else "bad day") for i in range(40)], "doc_id long, text string")
+    gs = docs.select("doc_id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("label")).withColumn("gs", ((F.col("doc_id") % 2 == 0) == (F.col("label") == "a")).cast("int"))
+    counts = features.counts(docs)
+    made, plans, real = None, [], tune.written
+    tune.written = lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, name)
+    try:
+        made = tune.Tuning(docs, counts, gs, lexicon.learn(counts, gs), [0.1, 0.5, 0.9])
+    finally:
+        tune.written = real
+    assert made.scored.count() == 3 * 40
+    assert not any("CartesianProduct" in p for p in plans)
+
+
+def test_tokens_of_texts_with_and_without_what_a_step_looks_for(spark):
+    texts = ["plain words", "&amp x&lt y", "rt @bob hi", "größe é", "aāb", "\U0001f602x @y &z ā", "a@=b", "=@ x", "x=&y", "rt\n@a b", "", None]
+    plain = lambda t: T.pieces(F.lower(F.regexp_replace(F.regexp_replace(F.replace(F.replace(F.coalesce(t, F.lit("")), F.lit("=")), F.lit("\\n"), F.lit(" ")), T.BEYOND_LATIN, " $1 "), rf"(rt{T.SPACE}*)?@{T.SOLID}+", "")))
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(T.tokens(F.col("t")).alias("a"), plain(F.col("t")).alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows]
