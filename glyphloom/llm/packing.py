@@ -21,7 +21,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mixed, partitions_for, slices, trimmed, with_key, written
+from . import pieces
+from .common import mixed, partitions_for, slices, text_buffers, trimmed, with_key, written
 
 #: Token ids that a shard aims at, and documents that it has at most: what an index and the search for each seed cost is bounded by both.
 SHARD_TOKENS, SHARD_ROWS = 400_000, 2048
@@ -34,11 +35,12 @@ K1, B = 1.2, 0.75
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
+def encoder(path: str) -> Callable[[list[str] | pa.Array], list[np.ndarray]]:
     """A function from texts to their token ids, those that `tokenizers` gives with add_special_tokens=False.
 
     Where the vocabulary's ranks lie beside the file (.tiktoken), tiktoken makes the same ids several times faster; texts that spell a
-    special token go to `tokenizers` itself, which reads it as one.
+    special token go to `tokenizers` itself, which reads it as one. Texts of Latin letters are cut by pieces.cut(), and tiktoken is asked only for pieces
+    that this process has not met.
     """
     import os
 
@@ -49,16 +51,34 @@ def encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
     special = [t.content for t in whole.get_added_tokens_decoder().values()]
     ranks = path.removesuffix(".json") + ".tiktoken"
     if not os.path.exists(ranks):
-        return lambda texts: [np.array(e.ids, np.int32) for e in whole.encode_batch(texts, add_special_tokens=False)]
+        return lambda texts: [np.array(e.ids, np.int32) for e in whole.encode_batch(texts if isinstance(texts, list) else texts.to_pylist(), add_special_tokens=False)]
     import public_tokenizers
     import tiktoken
 
     with open(ranks, "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        return [np.array(whole.encode(t, add_special_tokens=False).ids if any(s in t for s in special) else fast.encode_ordinary(t), np.int32) for t in texts]
+    memory = pieces.Memory(fast._core_bpe.encode_single_piece) if public_tokenizers.PATTERN == pieces.PATTERN else None
+
+    def other(text: str) -> np.ndarray:
+        return np.array(whole.encode(text, add_special_tokens=False).ids if any(s in text for s in special) else fast.encode_ordinary(text), np.int32)
+
+    def encode(texts: list[str] | pa.Array) -> list[np.ndarray]:
+        column = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        buf, offs = text_buffers(column)
+        if memory is None or not len(buf):
+            return [other(t) for t in column.to_pylist()]
+        easy = pieces.plain(buf, offs)
+        raw = buf.tobytes()
+        if any(s.encode() in raw for s in special):
+            easy &= [not any(s in t for s in special) for t in column.to_pylist()]
+        if not easy.all():
+            buf = buf[np.repeat(easy, np.diff(offs))]
+        offs = np.append(0, np.cumsum(np.diff(offs)[easy]))
+        begin = pieces.cut(buf, offs)
+        ids, many = memory.encoded(buf, begin)
+        made = iter(np.split(ids, np.append(0, np.cumsum(many))[np.searchsorted(begin, offs[1:-1])]))
+        return [next(made) if e else other(column[i].as_py()) for i, e in enumerate(easy.tolist())]
 
     return encode
 
@@ -179,7 +199,7 @@ def tokenised(docs: DataFrame, tokenizer: str, closing: int = 0) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         for batch in slices(batches):
-            ids = [np.append(x, np.int32(closing)).astype("<i4") for x in encode(batch.column("text").to_pylist())]
+            ids = [np.append(x, np.int32(closing)).astype("<i4") for x in encode(batch.column("text"))]
             own = [batch.column(c) for c in ("row", "doc_id", "did", "tkey")]
             yield pa.RecordBatch.from_arrays([*own, pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["row", "doc_id", "did", "tkey", "n", "ids"])
 
