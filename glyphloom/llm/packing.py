@@ -253,7 +253,7 @@ def _keyed(whole: Broadcast, bounds: Broadcast | None) -> Callable[[Iterator[pa.
 
 
 def _bounds(keys: DataFrame, tokens: int) -> np.ndarray:
-    """The first row of each range but the first in the order of keys (n, _ORDER): ranges begin where the ids before them reach a multiple of `tokens`."""
+    """The first row of each range but the first in the order of keys (n, _ORDER), a written table, as it is read to find parts and to fill them: ranges begin where the ids before them reach a multiple of `tokens`."""
     ranged = written(keys.repartitionByRange(*_ORDER).withColumn("part", F.spark_partition_id()), "ranges")
     before = lambda w, x: F.coalesce(F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = ranged.groupBy("part").agg(F.sum("n").alias("m")).select("part", before(Window.orderBy("part"), "m").alias("start"))  # a row for each part
@@ -275,7 +275,8 @@ def pack(docs: DataFrame, tokenizer: str, width: int = 1024, closing: int = 0, s
     context = tokens.sparkSession.sparkContext
     whole = context.broadcast(statistics(tokens))  # two numbers and one for each token of the vocabulary
     longs = ", ".join(f"{x} long" for x in _ORDER)
-    bounds = context.broadcast(_bounds(tokens.select("ids", "did", "tkey", "row", "n").mapInArrow(_keyed(whole, None), f"n long, {longs}"), range_tokens))
+    keys = written(tokens.select("ids", "did", "tkey", "row", "n").mapInArrow(_keyed(whole, None), f"n long, {longs}"), "keys")
+    bounds = context.broadcast(_bounds(keys, range_tokens))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, at, held, doc_ids, size = -1, 0, [], [], 0

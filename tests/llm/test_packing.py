@@ -153,3 +153,11 @@ def test_odd_rows(spark):
     assert packing.pack(docs.limit(0), PATH).count() == 0
     unnamed = spark.createDataFrame([(None, "a b c"), (None, "d")], "doc_id long, text string")
     assert sum(r.length for r in packing.pack(unnamed, PATH).collect()) == 6
+
+
+def test_keys_are_made_once_for_the_bounds(spark, monkeypatch):
+    """Dealing rows out by range reads them twice; what it reads is a table, not the keys' making."""
+    plans, real = {}, packing.written
+    monkeypatch.setattr(packing, "written", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or real(df, name))
+    packing.pack(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), PATH)
+    assert "MapInArrow" in plans["tokens"] and "MapInArrow" not in plans["ranges"]
