@@ -51,6 +51,37 @@ def test_neighbours_leave_no_table_that_nothing_reads(spark, monkeypatch):
     assert gone == ["rare", "frequencies", "rare"] and sorted(got) == sorted(want) and len(got) == 40
 
 
+def test_neighbours_keep_the_queries_terms_alone_and_no_shuffles(spark, monkeypatch):
+    import pathlib
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in (rng.random(rng.integers(1, 14)) ** 3 * 90).astype(int)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept, write = {}, features.written
+    monkeypatch.setattr(features, "written", lambda df, name: kept.setdefault(name, write(df, name)) if name != "best" else write(df, name))
+    monkeypatch.setattr(features, "BLOCK", 8, raising=False)
+    dirs = [pathlib.Path(str(x)) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffles = lambda: {p.name for top in dirs for p in top.rglob("shuffle_*.data")}
+    before = shuffles()
+    made = features.neighbours(features.counts(docs), docs.where("doc_id < 5"), k=4, rare=6)
+    # What is left is of the few actions that write no table.
+    assert len(shuffles() - before) <= 8
+    weights = kept["weights"]
+    asked = {w for x in texts[:5] for w in x.split()}
+    df = {w: sum(w in x.split() for x in texts) for w in asked}
+    assert "size" not in weights.columns and weights.count() == sum(n for n in df.values() if n > 1)
+    bag = [{w: x.split().count(w) / len(x.split()) for w in x.split()} for x in texts]
+    size = [sum(v * v for v in b.values()) ** 0.5 for b in bag]
+    cos = lambda a, b: round(sum(bag[a][w] * bag[b][w] / df[w] ** 2 for w in bag[a] if w in bag[b]) / (size[a] * size[b]), 9)
+    want = set()
+    for a in range(5):
+        near = sorted((-cos(a, b), b) for b in range(60) if b != a and bag[a].keys() & bag[b].keys())[:4]
+        want |= {(a, b, i + 1, -c) for i, (c, b) in enumerate(near)}
+    assert {tuple(r) for r in made.select("doc_id", "other_id", "rank", "cos").collect()} == want
+    states = {r.closed for r in kept["bounds"].collect()}
+    assert False in states
+
+
 def test_report_lines_look_for_the_best_words_once(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"a{i % 3} b{i % 2} c") for i in range(6)], "doc_id long, text string")
     gold = spark.createDataFrame([(i, x, int(i % 3 == n)) for i in range(6) for n, x in enumerate(["p", "q"])], "doc_id long, label string, gs int")
