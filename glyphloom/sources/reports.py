@@ -53,14 +53,14 @@ def write_csv(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").option("header", False).csv(path)
 
 
-def write_xlsx(rows: DataFrame, path: str, colour: str | None = "colour", drop: tuple[str, ...] = (), size: int = 11, most: int = workbooks.MOST_ROWS) -> int:
+def write_xlsx(rows: DataFrame, path: str, colour: str | None = "colour", drop: tuple[str, ...] = (), size: int = 11, most: int | None = None) -> int:
     """A workbook of `rows`, in their order; a row's font has the colour that its colour column names. Returns how many rows it has.
 
-    Rows of the colours in `drop` are left out. More rows than the format holds are an error, which leaves no file.
+    Rows of the colours in `drop` are left out. Rows that one worksheet can't hold go on in the next; more than `most` are an error, which leaves no file.
     """
     named = rows.withColumnRenamed(colour, "colour") if colour in rows.columns else rows
     kept = named.where(~F.col("colour").isin(*drop) | F.col("colour").isNull()) if drop else named
-    if kept.limit(most + 1).count() > most:
+    if most is not None and kept.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} rows: write_csv() is for these")
-    workbooks.write(kept, path, size=size, most=most)
+    workbooks.write(kept, path, size=size, **({} if most is None else {"most": most}))
     return workbooks.read(rows.sparkSession, path).count()

@@ -82,6 +82,45 @@ def test_neighbours_keep_the_queries_terms_alone_and_no_shuffles(spark, monkeypa
     assert False in states
 
 
+@pytest.mark.parametrize("rows", [0, 10, 11, 95])
+def test_a_workbook_goes_on_in_further_sheets(spark, tmp_path, monkeypatch, rows):
+    import zipfile
+
+    from pyspark.sql import functions as F
+
+    from glyphloom.sources import workbooks
+
+    lines = spark.range(0, rows, numPartitions=3).select(F.array(F.col("id").cast("string"), F.lit("</row>")).alias("cells"), F.array(F.lit("RED"), F.lit("BLUE")).alias("colours"))
+    path = f"file://{tmp_path}/more.xlsx"
+    workbooks.write(lines, path, sheet=10)
+    with zipfile.ZipFile(tmp_path / "more.xlsx") as book:
+        counts = [book.read(n).count(b"<row>") for n in sorted(book.namelist(), key=len) if "worksheets/" in n]
+    assert sum(counts) == rows and len(counts) == max(1, -(-rows // 10)) and max(counts) <= 10
+    got = workbooks.read(spark, path).collect()
+    assert [(r.line, r.cells, r.colours) for r in got] == [(i, [str(i), "</row>"], ["RED", "BLUE"]) for i in range(rows)]
+
+
+def test_a_worksheets_end_may_lie_in_two_blocks(tmp_path, monkeypatch):
+    import zipfile
+
+    from pyspark.sql.types import StructType
+
+    from glyphloom.sources import workbooks
+
+    monkeypatch.setattr(workbooks, "_BLOCK", 3)
+    monkeypatch.setattr(workbooks, "_LONG", 0)
+    writer = workbooks._Writer({"path": str(tmp_path / "w.xlsx"), "sheet": "3"}, StructType())
+    found = []
+    for part, rows in enumerate([2, 0, 5]):
+        (tmp_path / f"{part}.xml").write_text("".join(workbooks.row_xml([f"{part}.{i}"], [None]) for i in range(rows)))
+        found.append(workbooks.Fragment(part, str(tmp_path / f"{part}.xml"), rows))
+    writer.commit(found)
+    with zipfile.ZipFile(tmp_path / "w.xlsx") as book:
+        assert [book.read(f"xl/worksheets/sheet{i}.xml").count(b"</row>") for i in (1, 2, 3)] == [3, 3, 1]
+    reader = workbooks._Reader(str(tmp_path / "w.xlsx"))
+    assert [(line, cells[0]) for p in reader.partitions() for line, cells, _ in reader.read(p)] == list(enumerate(["0.0", "0.1", "2.0", "2.1", "2.2", "2.3", "2.4"]))
+
+
 def test_report_lines_look_for_the_best_words_once(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"a{i % 3} b{i % 2} c") for i in range(6)], "doc_id long, text string")
     gold = spark.createDataFrame([(i, x, int(i % 3 == n)) for i in range(6) for n, x in enumerate(["p", "q"])], "doc_id long, label string, gs int")
