@@ -40,6 +40,27 @@ def test_factors_are_tables_and_vectors_as_long_as_the_shorter_side(spark, shape
     assert lsa.factors(rows, index, 5, vectors=False).u is None
 
 
+@pytest.mark.parametrize("shape", [(7, 30), (90, 40)])
+def test_factors_of_a_long_side_keep_vectors_off_the_driver(spark, shape, monkeypatch):
+    rng = np.random.default_rng(6)
+    m = rng.random(shape) * (rng.random(shape) < 0.4)
+    m[0, :], m[:, 0] = 0.3, 0.7
+    rows = spark.createDataFrame([(i * 10, f"t{j:02}", float(m[i, j])) for i, j in np.argwhere(m).tolist()], "doc_id long, token string, w double")
+    monkeypatch.setattr(lsa, "ON_DRIVER", 5, raising=False)
+    monkeypatch.setattr(lsa, "IndexedRowMatrix", None)
+    from glyphloom.operators import lanczos
+
+    for name, value in {"SPAN": 8, "BASIS": 24, "WIDTH": 2, "CHUNK": 50}.items():
+        monkeypatch.setattr(lanczos, name, value)
+    index = lsa.term_index(rows)
+    found = lsa.factors(rows, index, 5)
+    u, s, v = np.linalg.svd(m, full_matrices=False)
+    assert np.allclose(found.s, s[:5], atol=1e-10, rtol=0)
+    low = (u[:, :3] * s[:3]) @ v[:3]
+    got = {(r.doc_id, r.token): r.w for r in lsa.reconstruct(lsa.prune(found, first=3), index, -9.0).collect()}
+    assert len(got) == m.size and all(abs(got[i * 10, f"t{j:02}"] - low[i, j]) < 1e-8 for i in range(shape[0]) for j in range(shape[1]))
+
+
 def test_neighbours_leave_no_table_that_nothing_reads(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"a{i % 3} b{i % 4} c{i % 5} d") for i in range(40)], "doc_id long, text string")
     gone, drop = [], features.dropped
