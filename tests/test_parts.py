@@ -61,6 +61,16 @@ def test_factors_of_a_long_side_keep_vectors_off_the_driver(spark, shape, monkey
     assert len(got) == m.size and all(abs(got[i * 10, f"t{j:02}"] - low[i, j]) < 1e-8 for i in range(shape[0]) for j in range(shape[1]))
 
 
+def test_svd_reconstruct_is_the_same_with_vectors_in_files(spark, monkeypatch):
+    from glyphloom.plans import catalog
+
+    ask = lambda: {(r.doc_id, r.token): (round(r.w0, 9), round(r.w, 7), r.star) for r in catalog.QUERIES["svd_reconstruct"](spark, "/root/testdata/sf0.001").collect()}
+    want = ask()
+    monkeypatch.setattr(lsa, "ON_DRIVER", 0, raising=False)
+    monkeypatch.setattr(lsa, "IndexedRowMatrix", None)
+    assert want and ask() == want
+
+
 def test_neighbours_leave_no_table_that_nothing_reads(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"a{i % 3} b{i % 4} c{i % 5} d") for i in range(40)], "doc_id long, text string")
     gone, drop = [], features.dropped
